@@ -28,17 +28,13 @@ def _segments(line: Column) -> Column:
 
 
 def _with_problem(lines: DataFrame, column: str) -> DataFrame:
-    line = F.regexp_replace(F.col(column), NONSORT, "")
-    segments = F.split(line, r"\[/\]")
-    head = F.trim(F.get(segments, F.lit(1)))
+    clean = F.regexp_replace(F.col(column), NONSORT, "")
+    head = F.trim(F.get(F.split("line", r"\[/\]"), F.lit(1)))
     problem = F.when(~F.coalesce(head.startswith("#00 "), F.lit(False)), NO_ID).when(
         F.exists(_segments(F.col("line")), lambda s: F.length(s) < 4), BROKEN
     )
-    return lines.select(F.col(column).alias("source"), line.alias("line")).select(
-        "source",
-        "line",
-        F.substring(F.trim(F.get(F.split("line", r"\[/\]"), F.lit(1))), 5, 1_000_000).alias("rec_id"),
-        problem.alias("problem"),
+    return lines.select(F.col(column).alias("source"), clean.alias("line")).select(
+        "source", "line", F.substring(head, 5, 1_000_000).alias("rec_id"), problem.alias("problem")
     )
 
 
