@@ -1 +1,112 @@
-"""Queries."""
+"""Change logs, contracts, repairs of whole sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import changes, quality
+from ..session import scratch_path
+from ..sinks import read_snapshot, swap_snapshot
+from ..streaming.changes import read_log, replay_dedupe, replay_upserts
+from .registry import query
+
+LATEST = """
+WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS op, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1)
+SELECT user_id, event_id, round(value, 2) AS value FROM l WHERE op <> 'error'
+"""
+
+
+def _log(rows):
+    """Events as change log of users: an error deletes, anything else puts."""
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("put")
+    return rows.select("user_id", "event_id", F.round("value", 2).alias("value"), op.alias("op"))
+
+
+@query(LATEST)
+def changes_applied(t):
+    return changes.apply_changes(None, _log(t.events), "user_id", "event_id")
+
+
+@query("""
+WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS op, max(event_id) AS event_id FROM events WHERE event_type <> 'view' GROUP BY 1),
+b AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS event_id FROM events WHERE event_type = 'view')
+SELECT user_id, event_id FROM l WHERE op <> 'error' UNION ALL SELECT * FROM b WHERE user_id NOT IN (SELECT user_id FROM l)
+""")
+def changes_over_base(t):
+    """Users seen in views are the base set, all other events the log."""
+    base = t.events.where("event_type = 'view'").select("user_id", F.lit(-1).cast("bigint").alias("event_id")).distinct()
+    log = _log(t.events.where("event_type <> 'view'")).drop("value")
+    return changes.apply_changes(base, log, "user_id", "event_id")
+
+
+@query(LATEST)
+def stream_upserts(t):
+    """The log as a stream into a snapshot; the same table as the batch."""
+    stream = read_log(t.spark, t.path("events") + "*", t.events.schema)
+    return replay_upserts(_log(stream), "user_id", "event_id")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_first_seen(t):
+    """First arrival per user; which event that is depends on arrival, so only the ids are compared."""
+    return replay_dedupe(t.spark, t.path("events") + "*", t.events.schema, "user_id").select("user_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang <> 'de'")
+def swapped_snapshot(t):
+    """Two versions written, the second one is read."""
+    root = scratch_path(t.spark, "snapshots")
+    swap_snapshot(t.documents.select("doc_id", "lang"), root, "docs")
+    swap_snapshot(t.documents.where("lang <> 'de'").select("doc_id", "lang"), root, "docs")
+    return read_snapshot(t.spark, root, "docs")
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'o_totalprice' AS path, 'pattern' AS rule FROM orders WHERE NOT regexp_matches(CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), '^[1-3]\\d+$')
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_orderstatus', 'enum' FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'note', 'required' FROM orders WHERE o_orderpriority = '5-LOW'
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'link', 'uri' FROM orders WHERE o_orderpriority = '2-HIGH'
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'kind', 'const' FROM orders WHERE o_orderpriority = '1-URGENT'
+""")
+def contract_violations(t):
+    priority = F.col("o_orderpriority")
+    rows = t.orders.select(
+        "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"),
+        F.when(priority != "5-LOW", priority).alias("note"),
+        F.when(priority == "2-HIGH", "no uri").otherwise("http://example.org/x").alias("link"),
+        F.when(priority == "1-URGENT", "other").when(priority == "5-LOW", None).otherwise("order").alias("kind"),
+    ).withColumn("o_totalprice", F.round("o_totalprice", 0).cast("bigint"))
+    checks = [
+        quality.pattern("o_totalprice", r"^[1-3]\d+$"), quality.one_of("o_orderstatus", ["O", "F"]), quality.required("note"),
+        quality.uri("link"), quality.constant("kind", "order"),
+    ]
+    return quality.validate(rows, "o_orderkey", checks)
+
+
+@query("""
+SELECT 'lang' AS path, 'enum' AS rule, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'de')
+UNION ALL SELECT 'text', 'pattern', count(*) FROM documents WHERE NOT regexp_matches(text, '^\\p{Lu}') HAVING count(*) > 0
+""")
+def violations_per_rule(t):
+    checks = [quality.one_of("lang", ["en", "de"]), quality.pattern("text", r"^\p{Lu}")]
+    return quality.violation_counts(quality.validate(t.documents, "doc_id", checks))
+
+
+@query("""
+SELECT 'o' || o_orderkey AS rec_id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'
+""")
+def subset_of_records(t):
+    """Records with a status and without a number field, from the long field table."""
+    fields = t.orders.select(
+        F.concat(F.lit("o"), "o_orderkey").alias("rec_id"),
+        F.explode(
+            F.filter(
+                F.array(
+                    F.struct(F.lit("f36_").alias("tag"), F.col("o_orderstatus").alias("value")),
+                    F.when(F.col("o_orderpriority") == "1-URGENT", F.struct(F.lit("f983").alias("tag"), F.lit("x").alias("value"))),
+                ),
+                lambda f: f.isNotNull(),
+            )
+        ).alias("f"),
+    ).select("rec_id", "f.*")
+    return quality.select_subset(fields, ("f36_", "O"), "f983")

@@ -27,7 +27,7 @@ def _segments(line: Column) -> Column:
     return F.filter(F.split(line, r"\[/\]"), lambda s: s != "")
 
 
-def _with_problem(lines: DataFrame, column: str) -> DataFrame:
+def checked_lines(lines: DataFrame, column: str) -> DataFrame:
     clean = F.regexp_replace(F.col(column), NONSORT, "")
     head = F.trim(F.get(F.split("line", r"\[/\]"), F.lit(1)))
     problem = F.when(~F.coalesce(head.startswith("#00 "), F.lit(False)), NO_ID).when(
@@ -40,7 +40,7 @@ def _with_problem(lines: DataFrame, column: str) -> DataFrame:
 
 def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines that are no record, with the reason."""
-    return _with_problem(lines, column).where("problem IS NOT NULL").select("source", "problem")
+    return checked_lines(lines, column).where("problem IS NOT NULL").select("source", "problem")
 
 
 def _explode(records: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def _explode(records: DataFrame) -> DataFrame:
 
 def decode_tagged(lines: DataFrame, column: str = "value", volumes: bool = True) -> DataFrame:
     """Lines → fields (rec_id, seq, tag, value); multi-volume lines give one record per volume."""
-    good = _with_problem(lines, column).where("problem IS NULL")
+    good = checked_lines(lines, column).where("problem IS NULL")
     if volumes:
         return _explode(split_volumes(good))
     return _explode(good.select("rec_id", _segments(F.col("line")).alias("segments")))
