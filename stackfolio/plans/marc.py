@@ -1,37 +1,53 @@
-"""Access to the fields of a MARC row (leader, control, data) and combined heading labels."""
+"""Access to the fields of a MARC row (leader, control, data) and combined heading labels.
 
-from __future__ import annotations
+``prepared`` adds ``by_tag``, the data fields of a row by tag, so that a rule looks at the fields of its
+tag only. Whole-row access is written as SQL text: one expression per call, parsed once.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.marcxml import DATA
+
 NO_TEXT = "array<string>"
 
 
 def no_texts() -> Column:
-    return F.array().cast(NO_TEXT)
+    return F.expr("cast(array() as array<string>)")
 
 
 def present(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull())
 
 
+def prepared(records: DataFrame) -> DataFrame:
+    """Add ``by_tag`` (tag → data fields in order), unless it is there."""
+    if "by_tag" in records.columns:
+        return records
+    return records.withColumn(
+        "by_tag",
+        F.expr(
+            "map_from_entries(transform(array_distinct(transform(data, d -> d.tag)), "
+            "t -> struct(t, filter(data, d -> d.tag = t))))"
+        ),
+    )
+
+
 def control(tag: str) -> Column:
-    return F.get(F.filter("control", lambda c: c["tag"] == tag), F.lit(0))["value"]
+    return F.expr(f"get(filter(control, c -> c.tag = '{tag}'), 0).value")
 
 
 def controls(tag: str) -> Column:
-    return F.transform(F.filter("control", lambda c: c["tag"] == tag), lambda c: c["value"])
+    return F.expr(f"transform(filter(control, c -> c.tag = '{tag}'), c -> c.value)")
 
 
-def _indicator(value: Column, spec: str) -> Column | None:
+def _indicator(name: str, spec: str) -> list[str]:
     if spec == "?":
-        return None
-    if spec.startswith("["):
-        return value.isin(*spec[1:-1])
-    return value == spec
+        return []
+    listed = ", ".join(f"'{c}'" for c in spec.strip("[]"))
+    return [f"d.{name} IN ({listed})"]
 
 
 def _parts(spec: str) -> tuple[str, str, str]:
@@ -45,44 +61,62 @@ def _parts(spec: str) -> tuple[str, str, str]:
     return spec[:3], first, second
 
 
-def is_field(d: Column, spec: str) -> Column:
-    """Tag and indicators match one of the ``|``-separated patterns: plain comparisons, no regex."""
-    options = []
-    for one in spec.split("|"):
-        tag, first, second = _parts(one)
-        tests = [d["tag"] == tag, _indicator(d["ind1"], first), _indicator(d["ind2"], second)]
-        options.append(reduce(lambda a, b: a & b, [t for t in tests if t is not None]))
-    return reduce(lambda a, b: a | b, options)
+def fields_sql(spec: str) -> str:
+    """Fields whose tag and indicators match one of the ``|``-separated patterns, in document order."""
+    options = [_parts(one) for one in spec.split("|")]
+    if len({tag for tag, _, _ in options}) > 1:
+        tests = [
+            " AND ".join([f"d.tag = '{tag}'", *_indicator("ind1", a), *_indicator("ind2", b)]) for tag, a, b in options
+        ]
+        return f"filter(data, d -> ({') OR ('.join(tests)}))"
+    tag = options[0][0]
+    listed = f"coalesce(try_element_at(by_tag, '{tag}'), cast(array() as {DATA}))"
+    tests = [" AND ".join([*_indicator("ind1", a), *_indicator("ind2", b)]) for _, a, b in options]
+    if "" in tests:
+        return listed
+    return f"filter({listed}, d -> ({') OR ('.join(tests)}))"
+
 
+def subs_sql(field: str, codes: str) -> str:
+    test = f"s.code = '{codes}'" if len(codes) == 1 else "s.code IN (" + ", ".join(f"'{c}'" for c in codes) + ")"
+    return f"transform(filter({field}.subs, s -> {test}), s -> s.value)"
 
-def fields(spec: str) -> Column:
-    return F.filter("data", lambda d: is_field(d, spec))
+
+def _name(code: str) -> str:
+    """Struct names do not tell upper from lower case, so upper-case codes get another prefix."""
+    return f"u{code.lower()}" if code.isupper() else f"s{code}"
+
+
+def fields(spec: str, codes: str) -> Column:
+    """Matching fields as structs: tag, first indicator, and one value list per subfield code."""
+    lists = ", ".join(f"{subs_sql('d', c)} AS {_name(c)}" for c in codes)
+    return F.expr(f"transform({fields_sql(spec)}, d -> struct(d.tag AS tag, d.ind1 AS ind1, {lists}))")
 
 
 def has_field(spec: str) -> Column:
-    return F.exists("data", lambda d: is_field(d, spec))
+    return F.expr(f"size({fields_sql(spec)}) > 0")
 
 
-def subs(d: Column, codes: str) -> Column:
-    """Values of the subfields with one of the codes, in field order."""
-    hits = F.filter(d["subs"], lambda s: s["code"].isin(*codes) if len(codes) > 1 else s["code"] == codes)
-    return F.transform(hits, lambda s: s["value"])
+def subs(d: Column, code: str) -> Column:
+    """Values of one subfield of an entry of ``fields``."""
+    return d[_name(code)]
 
 
 def sub(d: Column, code: str) -> Column:
-    return F.get(subs(d, code), F.lit(0))
+    return F.get(d[_name(code)], F.lit(0))
 
 
 def values(spec: str, codes: str) -> Column:
-    return F.flatten(F.transform(fields(spec), lambda d: subs(d, codes)))
+    """Values of the subfields with one of the codes, in document order."""
+    return F.expr(f"flatten(transform({fields_sql(spec)}, d -> {subs_sql('d', codes)}))")
 
 
 def value(spec: str, code: str) -> Column:
     return F.get(values(spec, code), F.lit(0))
 
 
-def each(spec: str, make) -> Column:
-    return F.transform(fields(spec), make)
+def each(spec: str, codes: str, make) -> Column:
+    return F.transform(fields(spec, codes), make)
 
 
 def code_at(text: Column, place: int) -> Column:
@@ -100,6 +134,8 @@ def without_brackets(text: Column) -> Column:
 
 # --- heading labels ---------------------------------------------------------------------------
 
+PERSON_CODES, EVENT_CODES, OTHER_CODES = "abcgxt", "abngdct", "apbcfgnxtz"
+
 
 def _joined(d: Column, codes: str, sep: str) -> Column:
     """All values of the codes, code by code."""
@@ -107,42 +143,41 @@ def _joined(d: Column, codes: str, sep: str) -> Column:
 
 
 def _more(d: Column, code: str, before: str, after: str = "") -> Column:
-    found = sub(d, code)
-    return F.when(found.isNotNull(), F.concat(F.lit(before), found, F.lit(after))).otherwise("")
+    return F.concat(F.lit(before), sub(d, code), F.lit(after))
 
 
 def person_label(d: Column) -> Column:
     """``name number, title (extra) / part: work``"""
-    return F.concat(
-        _joined(d, "ab", " "), _more(d, "c", ", "), _more(d, "g", " (", ")"), _more(d, "x", " / "), _more(d, "t", ": ")
+    return F.concat_ws(
+        "", _joined(d, "ab", " "), _more(d, "c", ", "), _more(d, "g", " (", ")"), _more(d, "x", " / "), _more(d, "t", ": ")
     )
 
 
 def event_label(d: Column) -> Column:
     """``name. part (number : extra : date : place): work``"""
-    details = _joined(d, "ngdc", " : ")
-    return F.concat(
-        _joined(d, "ab", ". "),
-        F.when(details != "", F.concat(F.lit(" ("), details, F.lit(")"))).otherwise(""),
-        _more(d, "t", ": "),
-    )
+    details = F.nullif(_joined(d, "ngdc", " : "), F.lit(""))
+    return F.concat_ws("", _joined(d, "ab", ". "), F.concat(F.lit(" ("), details, F.lit(")")), _more(d, "t", ": "))
 
 
 def other_label(d: Column) -> Column:
     """``name. part. subunit, c (f) (g), n / x: t (z)``"""
-    return F.concat(
-        _joined(d, "apb", ". "), _more(d, "c", ", "), _more(d, "f", " (", ")"), _more(d, "g", " (", ")"),
+    return F.concat_ws(
+        "", _joined(d, "apb", ". "), _more(d, "c", ", "), _more(d, "f", " (", ")"), _more(d, "g", " (", ")"),
         _more(d, "n", ", "), _more(d, "x", " / "), _more(d, "t", ": "), _more(d, "z", " (", ")"),
     )
 
 
-def heading_label(d: Column, kind: str) -> Column:
-    return {"person": person_label, "event": event_label, "other": other_label}[kind](d)
+LABELS = {"person": (person_label, PERSON_CODES), "event": (event_label, EVENT_CODES), "other": (other_label, OTHER_CODES)}
+
+
+def union_codes(*codes: str) -> str:
+    return "".join(dict.fromkeys("".join(codes)))
 
 
 # --- authority ids ----------------------------------------------------------------------------
 
 AUTHORITY = r"^\(DE-588\)(.+)$"
+ID_CODES = "0B"
 
 
 def authority_number(d: Column) -> Column:
@@ -166,13 +201,14 @@ def variant_entries(specs: list[tuple[str, str]]) -> Column:
     """Enrichment fields as (idn[], label): ``specs`` gives field pattern and kind of label."""
     parts = []
     for spec, kind in specs:
-        usable = F.filter(
-            fields(spec), lambda d: F.lit(kind == "person") | ~F.array_contains(subs(d, "i"), "Spitzenorgan")
-        )
+        make, codes = LABELS[kind]
+        usable = fields(spec, union_codes(codes, "Bi"))
+        if kind != "person":
+            usable = F.filter(usable, lambda d: ~F.array_contains(subs(d, "i"), "Spitzenorgan"))
         parts.append(
             F.transform(
                 usable,
-                (lambda k: lambda d: F.struct(subs(d, "B").alias("idn"), without_brackets(heading_label(d, k)).alias("label")))(kind),
+                (lambda f: lambda d: F.struct(subs(d, "B").alias("idn"), without_brackets(f(d)).alias("label")))(make),
             )
         )
     return F.concat(*parts)
@@ -184,6 +220,6 @@ SUBJECT_VARIANTS = [("GPN??", "person"), ("GKS??", "event"), ("GEL??|GKT??|GKS??
 
 
 def variants_of(idn: Column, entries: Column) -> Column:
-    """Variant names of one authority record within the row."""
+    """Variant names of one authority record within the row (``entries`` is a column made before)."""
     hits = F.filter(entries, lambda e: F.array_contains(e["idn"], idn))
     return F.array_distinct(F.transform(hits, lambda e: e["label"]))

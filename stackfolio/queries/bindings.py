@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.marcxml import control_field, data_field, fields_array
-
 TREE = "http://example.org/tree#"
 
 
@@ -33,98 +31,83 @@ def isbn12(key: Column) -> Column:
     return F.concat(F.lit("978"), F.lpad(key.cast("string"), 9, "0"))
 
 
+def _field(tag: str, indicators: str, *subs: tuple[str, str], when: str | None = None) -> str:
+    """SQL text of one data field; NULL subfields are left out later, the field when ``when`` fails."""
+    pairs = ", ".join(f"named_struct('code', '{code}', 'value', {value})" for code, value in subs)
+    field = f"named_struct('tag', '{tag}', 'ind1', '{indicators[0]}', 'ind2', '{indicators[1]}', 'subs', array({pairs}))"
+    return f"CASE WHEN {when} THEN {field} END" if when else field
+
+
+# Fields of the MARC record of an order: u is the first letter of the priority, s the status, c the
+# customer, k the order, y the year.
+MARC_FIELDS = [
+    _field("016", "7 ", ("a", "concat('1', k, '- X')"), ("2", "'DE-600'"), when="s = 'F'"),
+    _field("020", "  ", ("a", "concat('978-', lpad(k, 9, '0'), '-0')"), when="s = 'O'"),
+    _field("022", "  ", ("a", "concat('1234-', lpad(c, 4, '0'))"), when="s = 'F'"),
+    _field("024", "7 ", ("a", "concat('10.1/', k)"), ("2", "'doi'"), when="u = '1'"),
+    _field("035", "  ", ("a", "concat('(OCoLC)', k)")),
+    _field("035", "  ", ("a", "concat('(DE-605)HT', k)")),
+    _field("041", "  ", ("a", "'fre'"), ("a", "'mul'"), when="u = '2'"),
+    _field("082", "0 ", ("a", "concat(u, '00')"), ("2", "'22'")),
+    _field("084", "  ", ("a", "concat('A', u)"), ("2", "'rvk'")),
+    _field("084", "  ", ("a", "concat('place_99_o', u, '_')")),
+    _field("100", "1 ", ("a", "concat('Customer ', c, ', A.')"), ("d", "concat('v43-', u)"), ("0", "concat('(DE-588)11', c, 'x')"), ("0", "concat('(DE-101)', c)")),
+    _field("245", "10", ("6", "'880-01'"), ("a", "concat('Order <', p, '> & more /')"), ("b", "concat('status ', s, ' /')"), ("c", "concat('by ', c)"),
+           ("n", "IF(s = 'P', concat('Vol. ', u), NULL)"), ("p", "IF(s <> 'O', 'A part.', NULL)")),
+    _field("246", "1 ", ("a", "concat('Also <<', k, '>>')"), when="s = 'P'"),
+    _field("250", "  ", ("a", "concat(u, '. ed. /')")),
+    _field("264", " 1", ("a", "concat('[Town ', u, '] :')"), ("b", "concat('Firm ', c, ',')"), ("c", "concat('[', y, ']')")),
+    _field("264", "31", ("a", "'Current'"), ("c", "concat('ca. ', y, '-')"), when="s = 'F'"),
+    _field("300", "  ", ("a", "concat(u, ' Seiten :')"), ("b", "'Ill. ;'"), ("c", "'21 cm'"), ("e", "IF(u = '5', '1 CD', NULL)")),
+    _field("490", "0 ", ("a", "concat('Series ', u)"), ("v", "concat(u, ' ;')"), when="s = 'O'"),
+    _field("500", "  ", ("a", "concat('Note ', u)")),
+    _field("500", "  ", ("a", "concat('In: Journal ', u)"), when="u = '3'"),
+    _field("520", "  ", ("a", "concat('<p>About ', p, '</p>')")),
+    _field("533", "  ", ("a", "'Online'"), ("b", "'Place'"), ("c", "'Agency,'"), ("d", "'2001-2004'"), when="u = '4'"),
+    _field("540", "  ", ("u", "'http://creativecommons.org/licenses/by/4.0'"), when="u = '1'"),
+    _field("600", "14", ("a", "concat('Free ', u)"), ("x", "'Sub'")),
+    _field("650", " 0", ("a", "concat('Loc ', u)")),
+    _field("650", " 7", ("a", "concat('Fast ', u)"), ("2", "'fast'"), when="u = '2'"),
+    _field("650", " 7", ("a", "concat('Topic ', u)"), ("0", "concat('(DE-588)4', c, '-1')"), ("B", "concat('GND-', c)")),
+    _field("655", " 7", ("a", "CASE u WHEN '1' THEN 'Festschrift' WHEN '2' THEN 'CD' WHEN '3' THEN 'Website' ELSE 'Statistik' END")),
+    _field("689", "00", ("a", "'Mainz'"), ("D", "'g'"), ("0", "concat('(DE-588)4036-', u)")),
+    _field("689", "01", ("a", "concat('Person ', c)"), ("b", "'II.'"), ("D", "'p'"), ("d", "'1850-1912'")),
+    _field("689", "10", ("a", "concat('Event ', u)"), ("n", "'2'"), ("c", "'Trier'"), ("D", "'f'"), when="s = 'P'"),
+    _field("700", "1 ", ("a", "concat('Helper ', c)"), ("e", "CASE u WHEN '1' THEN 'Herausgeber' WHEN '2' THEN 'Übersetzer' WHEN '3' THEN 'unklar' END")),
+    _field("710", "2 ", ("a", "concat('Body ', c)"), ("b", "'Unit'"), ("4", "'isb'"), ("4", "'pbl'")),
+    _field("711", "2 ", ("a", "'Congress'"), ("n", "u"), ("d", "y"), ("c", "'Trier'"), when="s = 'P'"),
+    _field("773", "08", ("i", "'Enthalten in'"), ("t", "concat('Host <<', u, '>>')"), ("w", "concat('(DE-603)', c)"), ("q", "concat('1', u, '.')"), when="s = 'P'"),
+    _field("776", "08", ("i", "'Erscheint auch als Online'"), ("t", "'Other'"), ("z", "concat('978-', lpad(k, 9, '0'), '-0')"), when="s = 'O'"),
+    _field("780", "00", ("t", "concat('Vorg. ---> Old ', u)"), ("w", "concat('(DE-600)', c)"), when="s = 'F'"),
+    _field("830", " 0", ("a", "concat('Traced ', u)"), ("w", "concat('(DE-605)HT', c)"), ("v", "u"), when="s = 'O'"),
+    _field("856", "40", ("u", "concat('http://example.org/o/', k)"), ("3", "CASE u WHEN '1' THEN 'Inhaltsverzeichnis' WHEN '2' THEN 'Volltext' WHEN '3' THEN 'Inhaltstext' END"),
+           ("x", "CASE u WHEN '4' THEN 'Verlag' WHEN '5' THEN 'EZB' END"), ("z", "IF(u = '4', 'kostenfrei', NULL)"), ("7", "IF(u = '1', '0', NULL)")),
+    _field("880", "10", ("6", "'245-01/(N'"), ("a", "concat('Kyr ', u)")),
+    _field("912", "  ", ("a", "CASE u WHEN '1' THEN 'ZDB-30-PQE' WHEN '2' THEN 'ZDB-OERSI' WHEN '3' THEN 'vd18' ELSE 'ZDB-x' END")),
+    _field("924", "  ", ("b", "IF(s = 'P', 'DE-36', 'DE-77')"), ("g", "concat('K ', c, '/', y)")),
+    _field("GGN", "  ", ("B", "concat('GND-', c)"), ("a", "concat('Variant <<', u, '>>')")),
+    _field("GPN", "  ", ("B", "concat('GND-', c)"), ("a", "concat('Other Name ', c)"), ("c", "'Dr.'")),
+    _field("GSI", "  ", ("B", "concat('GND-', c)"), ("a", "concat('0000-', c)"), ("2", "'orcid'"), when="s = 'O'"),
+    _field("GST", "  ", ("B", "concat('GND-', c)"), ("a", "'Top'"), ("i", "'Spitzenorgan'")),
+]
+MARC_008 = (
+    "concat(date_format(o_orderdate, 'yyMMdd'), IF(s = 'F', 'c', 's'), y, IF(s = 'F', '9999', '    '), 'gw ', "
+    "IF(s = 'F', IF(u = '2', 'm', 'u'), '#'), '  ', IF(s = 'F', 'p', ' '), ' ', IF(u = '3', 'o', ' '), IF(u = '4', 'b', ' '), '   ', "
+    "' ', IF(u = '5', '1', '0'), '0 0  ', CASE WHEN s = 'P' THEN 'und' WHEN u = '1' THEN 'eng' ELSE 'ger' END, '  ')"
+)
+
+
 def marc_rows(t) -> DataFrame:
     """One MARC record per order: (rec_id, leader, control, data)."""
-    o = t.orders
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    year = F.year("o_orderdate").cast("string")
-    kind = F.when(status == "O", "am").when(status == "F", "as").otherwise("em")
-    urgent = F.substring(priority, 1, 1)
-    leader = F.concat(
-        F.lit("00000n"), kind, F.lit(" a2200000 c"), F.when(urgent == "1", "a").otherwise(" "), F.lit("4500")
-    )
-    frequency = F.when(status == "F", F.when(urgent == "2", "m").otherwise("u")).otherwise("#")
-    fixed = F.concat(
-        F.date_format("o_orderdate", "yyMMdd"),
-        F.when(status == "F", "c").otherwise("s"), year, F.when(status == "F", "9999").otherwise("    "),
-        F.lit("gw "), frequency, F.lit("  "), F.when(status == "F", "p").otherwise(" "), F.lit(" "),
-        F.when(urgent == "3", "o").otherwise(" "), F.when(urgent == "4", "b").otherwise(" "), F.lit("   "),
-        F.lit(" "), F.when(urgent == "5", "1").otherwise("0"), F.lit("0 0  "),
-        F.when(status == "P", "und").when(urgent == "1", "eng").otherwise("ger"), F.lit("  "),
-    )
-    key = F.col("o_orderkey").cast("string")
-    cust = F.col("o_custkey").cast("string")
-    link = F.concat(F.lit("http://example.org/o/"), key)
-    isbn = F.concat(F.lit("978-"), F.lpad(key, 9, "0"), F.lit("-0"))
-    data = fields_array(
-        data_field("016", "7 ", ("a", F.concat(F.lit("1"), key, F.lit("- X"))), ("2", F.lit("DE-600")), when=status == "F"),
-        data_field("020", "  ", ("a", isbn), when=status == "O"),
-        data_field("022", "  ", ("a", F.concat(F.lit("1234-"), F.lpad(cust, 4, "0"))), when=status == "F"),
-        data_field("024", "7 ", ("a", F.concat(F.lit("10.1/"), key)), ("2", F.lit("doi")), when=urgent == "1"),
-        data_field("035", "  ", ("a", F.concat(F.lit("(OCoLC)"), key))),
-        data_field("035", "  ", ("a", F.concat(F.lit("(DE-605)HT"), key))),
-        data_field("041", "  ", ("a", F.lit("fre")), ("a", F.lit("mul")), when=urgent == "2"),
-        data_field("082", "0 ", ("a", F.concat(urgent, F.lit("00"))), ("2", F.lit("22"))),
-        data_field("084", "  ", ("a", F.concat(F.lit("A"), urgent)), ("2", F.lit("rvk"))),
-        data_field("084", "  ", ("a", F.concat(F.lit("place_99_o"), urgent, F.lit("_")))),
-        data_field(
-            "100", "1 ", ("a", F.concat(F.lit("Customer "), cust, F.lit(", A."))), ("d", F.concat(F.lit("v43-"), urgent)),
-            ("0", F.concat(F.lit("(DE-588)11"), cust, F.lit("x"))), ("0", F.concat(F.lit("(DE-101)"), cust)),
-        ),
-        data_field(
-            "245", "10", ("6", F.lit("880-01")), ("a", F.concat(F.lit("Order <"), priority, F.lit("> & more /"))),
-            ("b", F.concat(F.lit("status "), status, F.lit(" /"))), ("c", F.concat(F.lit("by "), cust)),
-            ("n", F.when(status == "P", F.concat(F.lit("Vol. "), urgent))), ("p", F.when(status != "O", F.lit("A part."))),
-        ),
-        data_field("246", "1 ", ("a", F.concat(F.lit("Also <<"), key, F.lit(">>"))), when=status == "P"),
-        data_field("250", "  ", ("a", F.concat(urgent, F.lit(". ed. /")))),
-        data_field(
-            "264", " 1", ("a", F.concat(F.lit("[Town "), urgent, F.lit("] :"))), ("b", F.concat(F.lit("Firm "), cust, F.lit(","))),
-            ("c", F.concat(F.lit("["), year, F.lit("]"))),
-        ),
-        data_field("264", "31", ("a", F.lit("Current")), ("c", F.concat(F.lit("ca. "), year, F.lit("-"))), when=status == "F"),
-        data_field(
-            "300", "  ", ("a", F.concat(urgent, F.lit(" Seiten :"))), ("b", F.lit("Ill. ;")), ("c", F.lit("21 cm")),
-            ("e", F.when(urgent == "5", F.lit("1 CD"))),
-        ),
-        data_field("490", "0 ", ("a", F.concat(F.lit("Series "), urgent)), ("v", F.concat(urgent, F.lit(" ;"))), when=status == "O"),
-        data_field("500", "  ", ("a", F.concat(F.lit("Note "), urgent))),
-        data_field("500", "  ", ("a", F.concat(F.lit("In: Journal "), urgent)), when=urgent == "3"),
-        data_field("520", "  ", ("a", F.concat(F.lit("<p>About "), priority, F.lit("</p>")))),
-        data_field("533", "  ", ("a", F.lit("Online")), ("b", F.lit("Place")), ("c", F.lit("Agency,")), ("d", F.lit("2001-2004")), when=urgent == "4"),
-        data_field("540", "  ", ("u", F.lit("http://creativecommons.org/licenses/by/4.0")), when=urgent == "1"),
-        data_field("600", "14", ("a", F.concat(F.lit("Free "), urgent)), ("x", F.lit("Sub"))),
-        data_field("650", " 0", ("a", F.concat(F.lit("Loc "), urgent))),
-        data_field("650", " 7", ("a", F.concat(F.lit("Fast "), urgent)), ("2", F.lit("fast")), when=urgent == "2"),
-        data_field(
-            "650", " 7", ("a", F.concat(F.lit("Topic "), urgent)), ("0", F.concat(F.lit("(DE-588)4"), cust, F.lit("-1"))), ("B", F.concat(F.lit("GND-"), cust))
-        ),
-        data_field("655", " 7", ("a", F.when(urgent == "1", "Festschrift").when(urgent == "2", "CD").when(urgent == "3", "Website").otherwise("Statistik"))),
-        data_field("689", "00", ("a", F.lit("Mainz")), ("D", F.lit("g")), ("0", F.concat(F.lit("(DE-588)4036-"), urgent))),
-        data_field("689", "01", ("a", F.concat(F.lit("Person "), cust)), ("b", F.lit("II.")), ("D", F.lit("p")), ("d", F.lit("1850-1912"))),
-        data_field("689", "10", ("a", F.concat(F.lit("Event "), urgent)), ("n", F.lit("2")), ("c", F.lit("Trier")), ("D", F.lit("f")), when=status == "P"),
-        data_field("700", "1 ", ("a", F.concat(F.lit("Helper "), cust)), ("e", F.when(urgent == "1", "Herausgeber").when(urgent == "2", "Übersetzer").when(urgent == "3", "unklar"))),
-        data_field("710", "2 ", ("a", F.concat(F.lit("Body "), cust)), ("b", F.lit("Unit")), ("4", F.lit("isb")), ("4", F.lit("pbl"))),
-        data_field("711", "2 ", ("a", F.lit("Congress")), ("n", urgent), ("d", year), ("c", F.lit("Trier")), when=status == "P"),
-        data_field("773", "08", ("i", F.lit("Enthalten in")), ("t", F.concat(F.lit("Host <<"), urgent, F.lit(">>"))), ("w", F.concat(F.lit("(DE-603)"), cust)), ("q", F.concat(F.lit("1"), urgent, F.lit("."))), when=status == "P"),
-        data_field("776", "08", ("i", F.lit("Erscheint auch als Online")), ("t", F.lit("Other")), ("z", isbn), when=status == "O"),
-        data_field("780", "00", ("t", F.concat(F.lit("Vorg. ---> Old "), urgent)), ("w", F.concat(F.lit("(DE-600)"), cust)), when=status == "F"),
-        data_field("830", " 0", ("a", F.concat(F.lit("Traced "), urgent)), ("w", F.concat(F.lit("(DE-605)HT"), cust)), ("v", urgent), when=status == "O"),
-        data_field("856", "40", ("u", link), ("3", F.when(urgent == "1", "Inhaltsverzeichnis").when(urgent == "2", "Volltext").when(urgent == "3", "Inhaltstext")), ("x", F.when(urgent == "4", "Verlag").when(urgent == "5", "EZB")), ("z", F.when(urgent == "4", "kostenfrei")), ("7", F.when(urgent == "1", "0"))),
-        data_field("880", "10", ("6", F.lit("245-01/(N")), ("a", F.concat(F.lit("Kyr "), urgent))),
-        data_field("912", "  ", ("a", F.when(urgent == "1", "ZDB-30-PQE").when(urgent == "2", "ZDB-OERSI").when(urgent == "3", "vd18").otherwise("ZDB-x"))),
-        data_field("924", "  ", ("b", F.when(status == "P", "DE-36").otherwise("DE-77")), ("g", F.concat(F.lit("K "), cust, F.lit("/"), year))),
-        data_field("GGN", "  ", ("B", F.concat(F.lit("GND-"), cust)), ("a", F.concat(F.lit("Variant <<"), urgent, F.lit(">>")))),
-        data_field("GPN", "  ", ("B", F.concat(F.lit("GND-"), cust)), ("a", F.concat(F.lit("Other Name "), cust)), ("c", F.lit("Dr."))),
-        data_field("GSI", "  ", ("B", F.concat(F.lit("GND-"), cust)), ("a", F.concat(F.lit("0000-"), cust)), ("2", F.lit("orcid")), when=status == "O"),
-        data_field("GST", "  ", ("B", F.concat(F.lit("GND-"), cust)), ("a", F.lit("Top")), ("i", F.lit("Spitzenorgan"))),
+    base = t.orders.selectExpr(
+        "cast(o_orderkey AS string) AS k", "cast(o_custkey AS string) AS c", "o_orderstatus AS s", "o_orderpriority AS p",
+        "substring(o_orderpriority, 1, 1) AS u", "cast(year(o_orderdate) AS string) AS y", "o_orderdate",
     )
-    control = F.filter(
-        F.array(
-            control_field("001", text("o", "o_orderkey")),
-            control_field("007", F.when(urgent == "2", "ss foo").otherwise("tu")),
-            control_field("008", fixed),
-        ),
-        lambda c: c["value"].isNotNull(),
+    return base.selectExpr(
+        "concat('o', k) AS rec_id",
+        "concat('00000n', CASE s WHEN 'O' THEN 'am' WHEN 'F' THEN 'as' ELSE 'em' END, ' a2200000 c', IF(u = '1', 'a', ' '), '4500') AS leader",
+        "array(named_struct('tag', '001', 'value', concat('o', k)), named_struct('tag', '007', 'value', IF(u = '2', 'ss foo', 'tu')), "
+        f"named_struct('tag', '008', 'value', {MARC_008})) AS control",
+        f"transform(filter(array({', '.join(MARC_FIELDS)}), f -> f IS NOT NULL), f -> named_struct('tag', f.tag, 'ind1', f.ind1, 'ind2', f.ind2, "
+        "'subs', filter(f.subs, x -> x.value IS NOT NULL))) AS data",
     )
-    return o.select(text("o", "o_orderkey").alias("rec_id"), leader.alias("leader"), control.alias("control"), data.alias("data"))

@@ -8,6 +8,7 @@ from ..functions.text import words
 from ..operators import changes, lookup, sets
 from ..operators.reconcile import reconcile
 from ..plans import marc_titles
+from ..plans.marc import prepared
 from ..sources import inline_lookup
 from .bindings import concepts, marc_rows, text
 from .registry import query
@@ -371,7 +372,8 @@ SELECT 'o' || o_orderkey AS rec_id, '(N' AS script, '245' AS tags, 'Kyr ' || sub
 """)
 def scripts_in_rows(t):
     """The same inside the MARC row, grouped by script."""
-    rows = marc_rows(t).select("rec_id", F.explode(marc_titles.by_script(marc_titles.script_links())).alias("s"))
+    rows = prepared(marc_rows(t)).withColumn("links", marc_titles.script_links())
+    rows = rows.select("rec_id", F.explode(marc_titles.by_script(F.col("links"))).alias("s"))
     return rows.select(
         "rec_id", "s.script", F.array_join(F.transform("s.fields", lambda f: f["tag"]), " ").alias("tags"),
         F.array_join(F.transform("s.fields", lambda f: f["other_value"]), " ").alias("texts"),

@@ -35,10 +35,10 @@ def marc_title_statements(t):
 
 
 @query(O + """
-SELECT rec_id, CAST(0 AS INTEGER) AS event_no, 'PublicationEvent' AS type, CASE WHEN s = 'F' THEN 'Current' ELSE 'Town ' || u END AS location,
+SELECT rec_id, CAST(0 AS INTEGER) AS event_no, 'PublicationEvent' AS type, CASE WHEN s = 'F' THEN 'Current' ELSE '[Town ' || u || ']' END AS location,
   CASE WHEN s = 'F' THEN '' ELSE 'Firm ' || c END AS publisher, CASE WHEN s = 'F' THEN 'ca. ' || y || '-' ELSE '[' || y || ']' END AS date_statement,
   y AS start_date, NULL AS end_date, CASE WHEN s = 'F' THEN 'laufend' END AS status, CASE WHEN s = 'F' AND u = '2' THEN 'monatlich' END AS frequency FROM o
-UNION ALL SELECT rec_id, 1, 'PublicationEvent', 'Town ' || u, 'Firm ' || c, '[' || y || ']', y, NULL, NULL, NULL FROM o WHERE s = 'F'
+UNION ALL SELECT rec_id, 1, 'PublicationEvent', '[Town ' || u || ']', 'Firm ' || c, '[' || y || ']', y, NULL, NULL, NULL FROM o WHERE s = 'F'
 UNION ALL SELECT rec_id, CASE WHEN s = 'F' THEN 2 ELSE 1 END, 'SecondaryPublicationEvent', 'Place', 'Agency', NULL, '2001', '2004', NULL, NULL FROM o WHERE u = '4'
 """)
 def marc_publication_events(t):
@@ -174,8 +174,7 @@ UNION ALL SELECT rec_id, '{NS.host_catalogue}' || rec_id || '#!', 'Verbund-Resso
 UNION ALL SELECT rec_id, 'https://doi.org/10.1/' || o_orderkey, 'DOI-Link' FROM o WHERE u = '1'
 """)
 def marc_same_as(t):
-    rows = marc_rows(t).select("rec_id", F.explode(marc_links.same_as()).alias("l"))
-    return rows.select("rec_id", "l.id", "l.label")
+    return marc_links.marc_same_as(marc_rows(t))
 
 
 @query(O + f"""
@@ -199,7 +198,7 @@ def marc_collections(t):
     found = marc_links.collections(
         [("EZB", "http://x/ezb", "Journals")], [("084??", "a", "^A4", "http://x/marked", "Marked")]
     )
-    rows = marc_rows(t).select("rec_id", F.explode(found).alias("c"))
+    rows = marc_links.with_identifiers(M.prepared(marc_rows(t)), ("zdb_id",)).select("rec_id", F.explode(found).alias("c"))
     return rows.select("rec_id", "c.label")
 
 
@@ -207,7 +206,7 @@ def marc_collections(t):
 SELECT rec_id, 'K ' || c || '/' || y AS call_number, '{NS.item}' || rec_id || ':DE-36:K+' || c || '%2F' || y || '#!' AS id FROM o WHERE s = 'P'
 """)
 def marc_holdings(t):
-    rows = marc_rows(t).select("rec_id", F.explode(marc_links.holdings("DE-36")).alias("h"))
+    rows = M.prepared(marc_rows(t)).select("rec_id", F.explode(marc_links.holdings("DE-36")).alias("h"))
     return rows.select("rec_id", "h.call_number", "h.id")
 
 
@@ -244,7 +243,7 @@ def marc_languages(t):
 e AS (SELECT *,
   list_distinct(['BibliographicResource']
   || CASE WHEN s IN ('O', 'F') AND u = '4' THEN ['Bibliography'] ELSE [] END
-  || CASE WHEN (s = 'O' AND u = '5') OR u = '1' THEN ['Festschrift'] ELSE [] END
+  || CASE WHEN u = '1' THEN ['Festschrift'] ELSE [] END
   || CASE WHEN s = 'P' THEN ['Map'] ELSE [] END
   || CASE WHEN s IN ('O', 'P') AND u = '1' THEN ['MultiVolumeBook'] ELSE [] END
   || CASE WHEN s = 'F' THEN ['Periodical'] ELSE [] END
@@ -286,12 +285,13 @@ SELECT rec_id, '245' AS tag, 'Body ' || c || '. Unit' AS body, 'Event ' || u ||
 """)
 def marc_heading_labels(t):
     """Combined labels of a body, an event and a person."""
-    def label(spec, make):
-        return F.get(M.each(spec, make), F.lit(0))
+    def label(spec, kind, place):
+        make, codes = M.LABELS[kind]
+        return F.get(M.each(spec, codes, make), F.lit(place))
 
-    rows = marc_rows(t).select(
-        "rec_id", F.lit("245").alias("tag"), label("710??", M.other_label).alias("body"), label("6891?", M.event_label).alias("event"),
-        F.element_at(M.each("6890?", M.person_label), 2).alias("person"),
+    rows = M.prepared(marc_rows(t)).select(
+        "rec_id", F.lit("245").alias("tag"), label("710??", "other", 0).alias("body"), label("6891?", "event", 0).alias("event"),
+        label("6890?", "person", 1).alias("person"),
     )
     return rows.where("event IS NOT NULL")
 
