@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_diacritics
-from .legacy_titles import tag_value, tag_values
+from .legacy_titles import by_name, tag_value, tag_values
 from .persons import clean_name
 
 # Heading type by letter.
@@ -28,7 +28,8 @@ def heading_type(value: Column) -> Column:
 
 def authorities(records: DataFrame) -> DataFrame:
     """(rec_id, segments) → local headings; records that have an authority id are left out."""
-    return records.where(tag_value("#82b").isNull()).select(
+    local = records.where(~F.exists("segments", lambda s: s.startswith("#82b")))
+    return by_name(local).select(
         F.col("rec_id").alias("local_id"),
         tag_value("#3na").alias("preferred_name"),
         tag_value("#3nz").alias("other_information"),

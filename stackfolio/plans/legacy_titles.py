@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import agent_uri, heading_uri, spatial_uri, subject_uri
 from ..functions.text import absent_if_empty, around, paste
 from ..naming import Namespaces
-from ..operators.shape import wildcard_to_regex
 
 # Role of a person or body by field, in field order.
 PERSON_ROLES = {
@@ -30,8 +29,9 @@ PERSON_ROLES = {
     "#58?": "Performer/in",
     "#59?": "Gefeierte Person",
 }
+# (#60e holds a redundant older form of the name)
 BODY_ROLES = {
-    "#60?": "Geistiger Schöpfer",
+    "#60[ 0123456789abcdfghijklmnopqrstuvwxyz]": "Geistiger Schöpfer",
     "#61?": "Herausgebendes Organ",
     "#69?": "Gefeierte Körperschaft",
 }
@@ -55,16 +55,40 @@ class CollectionNames:
     second: str = "nur zweite"
 
 
-def tag_values(pattern: str, segments: str = "segments") -> Column:
-    """Values of the fields whose name matches, in document order."""
-    regex = wildcard_to_regex(pattern)
-    hits = F.filter(segments, lambda s: F.substring(s, 1, 4).rlike(regex))
-    return F.transform(hits, lambda s: F.substring(s, 5, 1_000_000_000))
+def by_name(records: DataFrame) -> DataFrame:
+    """Add ``by_name``: the fields of a record by the first three characters of their name."""
+    return records.withColumn(
+        "by_name",
+        F.expr(
+            "map_from_entries(transform(array_distinct(transform(segments, s -> substring(s, 1, 3))), p -> struct(p, "
+            "transform(filter(segments, s -> startswith(s, p)), "
+            "s -> struct(substring(s, 4, 1) AS last, substring(s, 5) AS value)))))"
+        ),
+    )
+
+
+def tag_values(pattern: str) -> Column:
+    """Values of the fields whose name matches (``#40?``, ``#2[37]?``, ``#90e``), in document order."""
+    head, rest = pattern[0], pattern[1:]
+    places = []
+    while rest:
+        end = rest.index("]") + 1 if rest[0] == "[" else 1
+        places.append(rest[:end])
+        rest = rest[end:]
+    first, second, last = places
+    parts = []
+    for a in first.strip("[]"):
+        for b in second.strip("[]"):
+            listed = f"coalesce(try_element_at(by_name, '{head}{a}{b}'), cast(array() as array<struct<last:string,value:string>>))"
+            if last != "?":
+                letters = ", ".join(f"'{x}'" for x in last.strip("[]"))
+                listed = f"filter({listed}, f -> f.last IN ({letters}))"
+            parts.append(f"transform({listed}, f -> f.value)")
+    return F.expr(parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")
 
 
-def tag_value(tag: str, segments: str = "segments") -> Column:
-    hits = F.filter(segments, lambda s: s.startswith(tag))
-    return F.substring(F.get(hits, F.lit(0)), 5, 1_000_000_000)
+def tag_value(tag: str) -> Column:
+    return F.get(tag_values(tag), F.lit(0))
 
 
 def series_parts(value: Column) -> Column:
@@ -77,16 +101,8 @@ def series_parts(value: Column) -> Column:
     )
 
 
-def by_role(roles: dict[str, str], ns: Namespaces, skip: str | None = None) -> Column:
-    parts = []
-    for pattern, role in roles.items():
-        values = tag_values(pattern)
-        if skip and pattern[:3] == skip[:3]:
-            regex = wildcard_to_regex(pattern)
-            hits = F.filter("segments", lambda s: F.substring(s, 1, 4).rlike(regex) & ~s.startswith(skip))
-            values = F.transform(hits, lambda s: F.substring(s, 5, 1_000_000_000))
-        parts.append(_typed(values, role, ns))
-    return F.concat(*parts)
+def by_role(roles: dict[str, str], ns: Namespaces) -> Column:
+    return F.concat(*[_typed(tag_values(pattern), role, ns) for pattern, role in roles.items()])
 
 
 def _typed(values: Column, role: str, ns: Namespaces) -> Column:
@@ -113,8 +129,8 @@ def legacy_titles(
     join.
     """
     text = tag_value
-    base = records.select(
-        "segments",
+    base = by_name(records).select(
+        "by_name",
         F.col("rec_id").alias("local_id"),
         text("#01 ").alias("numbering"),
         F.when(text("#36 ") == "um", "u").otherwise(text("#36 ")).alias("kind"),
@@ -204,7 +220,7 @@ def legacy_titles(
         urls.alias("url"),
         items.alias("item"),
         by_role(PERSON_ROLES, ns).alias("person"),
-        by_role(BODY_ROLES, ns, skip="#60e").alias("corporate_body"),
+        by_role(BODY_ROLES, ns).alias("corporate_body"),
         volume_in.alias("volume_in"),
         F.transform(tag_values("#87?"), lambda v: F.struct(v.alias("value"), F.lit(True).alias("valid"))).alias("isbn"),
     )

@@ -12,7 +12,7 @@ from ..naming import Namespaces
 from ..operators.lookup import lookup
 from ..operators.shape import vacuum
 from .labels import Vocabularies
-from .legacy_titles import tag_value, tag_values
+from .legacy_titles import by_name, tag_value, tag_values
 
 # List fields, text groups and flags of a tagged person record.
 LIST_FIELDS = {
@@ -62,7 +62,7 @@ def legacy_persons(
     lists["related_person"] = F.transform(
         lists["related_person"], lambda v: F.when(v.rlike("^_.+"), F.regexp_replace(v, "_", "")).otherwise(v)
     )
-    out = records.select(
+    out = by_name(records).select(
         F.col("rec_id").alias("local_id"),
         authority.alias("authority_id"),
         *[text(tag).isNotNull().alias(name) for tag, name in FLAGS.items()],

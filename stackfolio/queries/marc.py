@@ -289,11 +289,11 @@ def marc_heading_labels(t):
         make, codes = M.LABELS[kind]
         return F.get(M.each(spec, codes, make), F.lit(place))
 
-    rows = M.prepared(marc_rows(t)).select(
+    maps = marc_rows(t).where("substring(leader, 7, 1) = 'e'")
+    return M.prepared(maps).select(
         "rec_id", F.lit("245").alias("tag"), label("710??", "other", 0).alias("body"), label("6891?", "event", 0).alias("event"),
         label("6890?", "person", 1).alias("person"),
     )
-    return rows.where("event IS NOT NULL")
 
 
 @query(O + """

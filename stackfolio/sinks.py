@@ -96,7 +96,7 @@ def skos_blocks(tree: DataFrame, scheme: str, texts: DataFrame | None = None, la
         rows = tree.withColumn("_text", F.lit(None).cast("string"))
 
     def quoted(value: Column) -> Column:
-        safe = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+        safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         return F.concat(F.lit('"'), safe, F.lit('"'))
 
     lines = F.concat_ws(

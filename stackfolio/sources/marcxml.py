@@ -29,7 +29,9 @@ def read_marcxml(spark: SparkSession, path: str, row_tag: str = "record") -> Dat
 
 def parse_marcxml(df: DataFrame, column: str) -> DataFrame:
     options = {"ignoreSurroundingSpaces": "false", "ignoreNamespace": "true"}
-    return marc_records(df.select(F.from_xml(column, XML_SCHEMA, options).alias("r")).select("r.*"))
+    parsed = df.select(F.from_xml(column, XML_SCHEMA, options).alias("r"))
+    # A generator keeps later filters above the parser; pushed below it, they would parse again.
+    return marc_records(parsed.select(F.inline(F.array("r"))))
 
 
 def marc_records(raw: DataFrame) -> DataFrame:
@@ -54,27 +56,20 @@ def marc_records(raw: DataFrame) -> DataFrame:
             ).alias("subs"),
         ),
     )
-    records = raw.select(
+    kept = raw.where(~is_deleted())
+    records = kept.select(
         "leader",
         control.alias("control"),
         F.coalesce(data, F.array().cast(DATA)).alias("data"),
-    ).select(
-        F.get(F.filter("control", lambda c: c["tag"] == "001"), F.lit(0))["value"].alias("rec_id"),
-        "leader",
-        "control",
-        "data",
     )
-    return records.where(~is_deleted())
+    record_id = F.expr("get(filter(control, c -> c.tag = '001'), 0).value")
+    return records.select(record_id.alias("rec_id"), "leader", "control", "data")
 
 
 def is_deleted() -> Column:
-    return F.coalesce(
-        F.exists(
-            "data",
-            lambda d: (d["tag"] == "DEL")
-            & F.exists(d["subs"], lambda s: (s["code"] == "a") & (s["value"] == "Y")),
-        ),
-        F.lit(False),
+    """Test on the parsed XML, before any field work."""
+    return F.expr(
+        "coalesce(exists(datafield, d -> d._tag = 'DEL' AND exists(d.subfield, s -> s._code = 'a' AND s._VALUE = 'Y')), false)"
     )
 
 
@@ -87,63 +82,27 @@ def marc_fields(records: DataFrame) -> DataFrame:
     )
 
 
-# --- composing records ------------------------------------------------------------------------
-
-
-def control_field(tag: str, value: Column) -> Column:
-    return F.struct(F.lit(tag).alias("tag"), value.cast("string").alias("value"))
-
-
-def data_field(tag: str, indicators: str, *subs: tuple[str, Column], when: Column | None = None) -> Column:
-    """One data field; subfields with a NULL value are left out, the field when ``when`` fails."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(code).alias("code"), value.cast("string").alias("value"))
-            for code, value in subs
-        ]
-    )
-    field = F.struct(
-        F.lit(tag).alias("tag"),
-        F.lit(indicators[0]).alias("ind1"),
-        F.lit(indicators[1]).alias("ind2"),
-        F.filter(pairs, lambda s: s["value"].isNotNull()).alias("subs"),
-    )
-    return field if when is None else F.when(when, field)
-
-
-def fields_array(*fields: Column) -> Column:
-    return F.filter(F.array(*fields), lambda f: f.isNotNull())
+# --- writing -------------------------------------------------------------------------------------
 
 
 def to_marcxml(records: DataFrame) -> DataFrame:
     """(rec_id, xml): the XML text of each record."""
 
-    def escaped(value: Column) -> Column:
-        value = F.replace(value, F.lit("&"), F.lit("&amp;"))
-        return F.replace(F.replace(value, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    def escaped(value: str) -> str:
+        return f"replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
-    control = F.transform(
-        "control",
-        lambda c: F.format_string('<controlfield tag="%s">%s</controlfield>', c["tag"], escaped(c["value"])),
+    control = (
+        "array_join(transform(control, c -> concat('<controlfield tag=\"', c.tag, '\">', "
+        f"{escaped('c.value')}, '</controlfield>')), '')"
     )
-    data = F.transform(
-        "data",
-        lambda d: F.concat(
-            F.format_string('<datafield tag="%s" ind1="%s" ind2="%s">', d["tag"], d["ind1"], d["ind2"]),
-            F.array_join(
-                F.transform(
-                    d["subs"],
-                    lambda s: F.format_string(
-                        '<subfield code="%s">%s</subfield>', s["code"], escaped(s["value"])
-                    ),
-                ),
-                "",
-            ),
-            F.lit("</datafield>"),
-        ),
+    subfields = (
+        "array_join(transform(d.subs, s -> concat('<subfield code=\"', s.code, '\">', "
+        f"{escaped('s.value')}, '</subfield>')), '')"
+    )
+    data = (
+        "array_join(transform(data, d -> concat('<datafield tag=\"', d.tag, '\" ind1=\"', d.ind1, '\" ind2=\"', d.ind2, "
+        f"'\">', {subfields}, '</datafield>')), '')"
     )
-    xml = F.concat(
-        F.lit("<record><leader>"), "leader", F.lit("</leader>"),
-        F.array_join(control, ""), F.array_join(data, ""), F.lit("</record>"),
+    return records.select(
+        "rec_id", F.expr(f"concat('<record><leader>', leader, '</leader>', {control}, {data}, '</record>')").alias("xml")
     )
-    return records.select("rec_id", xml.alias("xml"))
