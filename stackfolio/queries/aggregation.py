@@ -222,7 +222,7 @@ WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lo
 SELECT token, count(*) AS n FROM w GROUP BY 1
 """)
 def token_frequencies(t):
-    index = search.token_index(t.documents, "doc_id", "text")
+    index = search.token_index(t.wide("documents", "doc_id", "text"), "doc_id", "text")
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

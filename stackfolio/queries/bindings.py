@@ -99,7 +99,8 @@ MARC_008 = (
 
 def marc_rows(t) -> DataFrame:
     """One MARC record per order: (rec_id, leader, control, data)."""
-    base = t.orders.selectExpr(
+    orders = t.wide("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    base = orders.selectExpr(
         "cast(o_orderkey AS string) AS k", "cast(o_custkey AS string) AS c", "o_orderstatus AS s", "o_orderpriority AS p",
         "substring(o_orderpriority, 1, 1) AS u", "cast(year(o_orderdate) AS string) AS y", "o_orderdate",
     )

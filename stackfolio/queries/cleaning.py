@@ -212,7 +212,8 @@ SELECT isbn13, rec_id, first_id FROM g WHERE n > 1
 """)
 def isbn_clusters(t):
     """Orders that share a part, by the ISBN of the part."""
-    rows = t.lineitem.select("l_orderkey", F.array(F.concat(isbn12(F.col("l_partkey")), isbn.check13(isbn12(F.col("l_partkey"))))).alias("isbn"))
+    lines = t.wide("lineitem", "l_orderkey", "l_partkey").select("l_orderkey", isbn12(F.col("l_partkey")).alias("d"))
+    rows = lines.select("l_orderkey", F.array(F.concat("d", isbn.check13(F.col("d")))).alias("isbn"))
     return marc_links.isbn_cluster(rows, "l_orderkey", "isbn")
 
 
@@ -238,7 +239,7 @@ SELECT name, 'old; ' || plain AS variants FROM p WHERE plain <> name
 """)
 def ascii_variants(t):
     """Words as headings that need a variant without accents."""
-    headings = t.documents.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("name")).distinct()
+    headings = t.wide("documents", "text").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("name")).distinct()
     rows = headings.select("name", F.array(F.lit("old")).alias("old_variants"))
     found = authorities.ascii_variants(rows, "name", "name", "old_variants")
     return found.select("name", F.array_join("old_variants", "; ").alias("variants"))

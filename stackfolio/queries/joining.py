@@ -78,7 +78,7 @@ def lookup_in_lists(t):
     """Each word of a text looked up in the words of the benchmark texts, order kept."""
     known = t.benchmark.select(F.explode(words(F.col("text"))).alias("k")).distinct()
     table = known.select("k", F.concat(F.lit("*"), "k").alias("v"))
-    docs = t.documents.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    docs = t.wide("documents", "doc_id", "text").select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     marked = lookup.lookup_array(docs, "doc_id", "words", table)
     return marked.select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"),
@@ -248,7 +248,7 @@ SELECT item_id, doc_id, round(overlap, 6) AS overlap, round(overlap + bonus, 6)
 def reconciled_titles(t):
     """Benchmark texts matched with the documents that contain (almost) all their words."""
     records = t.benchmark.withColumn("lang", F.lit("en"))
-    best = reconcile(records, t.documents, "item_id", "text", "doc_id", "text", {"lang": 0.25}, 0.8)
+    best = reconcile(records, t.wide("documents", "doc_id", "text", "lang"), "item_id", "text", "doc_id", "text", {"lang": 0.25}, 0.8)
     return best.withColumn("overlap", F.round("overlap", 6)).withColumn("score", F.round("score", 6))
 
 

@@ -109,7 +109,7 @@ SELECT word, row_number() OVER (ORDER BY word COLLATE de, word) AS rank FROM w W
 """)
 def ranked_german(t):
     """Different words of the German documents in German order."""
-    found = t.documents.where("lang = 'de'").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
+    found = t.wide("documents", "lang", "text").where("lang = 'de'").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
     rows = found.where("word <> ''").distinct()
     return scan.ranked(rows, [], [sortkeys.german(F.col("word")).asc(), F.asc("word")])
 

@@ -32,7 +32,8 @@ def title_records(t):
         out = F.concat(F.lit(tag), value)
         return out if when is None else F.when(when, out)
 
-    lines = t.orders.select(
+    orders = t.wide("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    lines = orders.select(
         tagged_line(
             F.concat(F.when(urgent == "5", "w").otherwise("o"), F.col("o_orderkey").cast("string")),
             f("#01 ", urgent, kind == "sbd"),
@@ -53,7 +54,7 @@ def title_records(t):
             f("#983", F.concat(F.lit("HT"), cust), urgent != "1"),
         ).alias("value")
     )
-    return split_volumes(checked_lines(lines, "value").where("problem IS NULL"))
+    return split_volumes(checked_lines(lines))
 
 
 BASE = """
@@ -201,7 +202,7 @@ def person_records(t):
     key = F.col("c_custkey").cast("string")
     kind = F.col("c_mktsegment")
     nation = F.col("c_nationkey").cast("string")
-    lines = t.customer.select(
+    lines = t.wide("customer").select(
         tagged_line(
             F.concat(F.lit("p"), key), around("#82b", F.when(F.col("c_acctbal") > 0, F.concat(F.lit("1"), key, F.lit("n5")))),
             F.when(kind == "MACHINERY", "#14 x"), F.concat(F.lit("#1na"), "c_name", F.lit(" / 1850-1912")),
@@ -212,7 +213,7 @@ def person_records(t):
             F.lit("#1ny20240312"), F.lit("#1z1First."), F.concat(F.lit("#1z2Second "), key), F.lit("#1ä1Third"),
         ).alias("value")
     )
-    return split_volumes(checked_lines(lines, "value").where("problem IS NULL"))
+    return split_volumes(checked_lines(lines))
 
 
 PERSON = "WITH p AS (SELECT *, CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS n FROM customer) "
@@ -310,14 +311,14 @@ def own_person_labels(t):
 
 
 def heading_records(t):
-    lines = t.part.select(
+    lines = t.wide("part").select(
         tagged_line(
             F.concat(F.lit("00S"), F.col("p_partkey").cast("string")), F.when(F.col("p_type") == "PROMO", "#82b1n2"),
             F.concat(F.lit("#3na"), "p_name"), F.concat(F.lit("#3nb"), "p_brand"), F.concat(F.lit("#3nc"), "p_type"), F.concat(F.lit("#3ra"), "p_size"),
             F.concat(F.lit("#99z"), F.when(F.col("p_type") == "SMALL", "Sx").when(F.col("p_type") == "ECONOMY", "G").otherwise("q")),
         ).alias("value")
     )
-    return split_volumes(checked_lines(lines, "value").where("problem IS NULL"))
+    return split_volumes(checked_lines(lines))
 
 
 @query("""

@@ -24,7 +24,7 @@ UNION ALL SELECT rec_id, 4, 'f76b', CAST(year(o_orderdate) AS VARCHAR) FROM o
 UNION ALL SELECT rec_id, 5, 'f983', o_orderstatus FROM o
 """)
 def tagged_roundtrip(t):
-    lines = t.orders.select(
+    lines = t.wide("orders", "o_orderkey", "o_orderpriority", "o_orderdate", "o_orderstatus").select(
         tagged_line(
             text("o", "o_orderkey"), F.concat(F.lit("#20 "), "o_orderpriority"), F.lit("#36 s"),
             F.concat(F.lit("#76b"), F.year("o_orderdate")), F.concat(F.lit("#983"), "o_orderstatus"),
@@ -69,7 +69,7 @@ def multivolume_split(t):
     volumes = F.transform(
         F.split("text", "\n"), lambda p: F.concat(F.lit("#01 "), p, F.lit("[/]#36 sbd"))
     )
-    lines = t.documents.select(
+    lines = t.wide("documents", "doc_id", "text", "lang", "source").select(
         tagged_line(
             text("d", "doc_id"), F.concat(F.lit("#20 "), "lang", F.lit(" "), "source"),
             F.when(F.col("lang") == "de", "#88 1-x"), F.lit("#36 sm"), F.array_join(volumes, "[/]"),
@@ -115,7 +115,7 @@ WITH found AS (
 SELECT id FROM found UNION SELECT translate(id, '-', 'n') FROM found
 """)
 def mined_ids(t):
-    texts = t.documents.select("text").unionByName(t.pages.select(F.col("html").alias("text")))
+    texts = t.wide("documents", "text").unionByName(t.pages.select(F.col("html").alias("text")))
     return mine_ids(texts, "text", AUTHORITY_ID)
 
 

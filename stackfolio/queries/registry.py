@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import spread, tune
 
 NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -27,6 +27,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def wide(self, name: str, *columns: str) -> DataFrame:
+        """A table for work that is heavy per row: the needed columns over all cores."""
+        table = getattr(self, name)
+        return spread(table.select(*columns) if columns else table)
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 

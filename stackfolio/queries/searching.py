@@ -15,12 +15,12 @@ TOKENS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambd
 SELECT doc_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'of']) AND lang = 'en'
 """)
 def search_all_terms(t):
-    return t.documents.where((F.col("lang") == "en") & search.has_all_terms(F.col("text"), "the-of")).select("doc_id")
+    return t.wide("documents", "doc_id", "lang", "text").where((F.col("lang") == "en") & search.has_all_terms(F.col("text"), "the-of")).select("doc_id")
 
 
 @query(f"SELECT doc_id AS rec_id FROM documents WHERE list_has_all({TOKENS}, ['la', 'de', 'un'])")
 def search_by_index(t):
-    return search.search_index(search.token_index(t.documents, "doc_id", "text"), "la de un")
+    return search.search_index(search.token_index(t.wide("documents", "doc_id", "text"), "doc_id", "text"), "la de un")
 
 
 @query(f"""
@@ -28,7 +28,7 @@ SELECT doc_id FROM documents WHERE (list_contains({TOKENS}, 'the') AND NOT list_
   OR len(list_filter({TOKENS}, lambda w: w LIKE 'sch%')) > 0
 """)
 def search_with_operators(t):
-    return t.documents.where(search.has_all_terms(F.col("text"), "+the -of OR sch*")).select("doc_id")
+    return t.wide("documents", "doc_id", "text").where(search.has_all_terms(F.col("text"), "+the -of OR sch*")).select("doc_id")
 
 
 CONTRIB = """

@@ -27,15 +27,16 @@ def _segments(line: Column) -> Column:
     return F.filter(F.split(line, r"\[/\]"), lambda s: s != "")
 
 
-def checked_lines(lines: DataFrame, column: str) -> DataFrame:
-    clean = F.regexp_replace(F.col(column), NONSORT, "")
-    head = F.trim(F.get(F.split("line", r"\[/\]"), F.lit(1)))
+def checked_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines → (source, line, rec_id, problem); ``problem`` is NULL for a good record."""
+    clean = lines.select(F.col(column).alias("source"), F.replace(F.col(column), F.lit(NONSORT), F.lit("")).alias("line"))
+    # Split once; the steps below read the parts.
+    cells = clean.select("source", "line", F.split("line", r"\[/\]").alias("cells"))
+    head = F.trim(F.get("cells", F.lit(1)))
     problem = F.when(~F.coalesce(head.startswith("#00 "), F.lit(False)), NO_ID).when(
-        F.exists(_segments(F.col("line")), lambda s: F.length(s) < 4), BROKEN
-    )
-    return lines.select(F.col(column).alias("source"), clean.alias("line")).select(
-        "source", "line", F.substring(head, 5, 1_000_000).alias("rec_id"), problem.alias("problem")
+        F.exists("cells", lambda s: (s != "") & (F.length(s) < 4)), BROKEN
     )
+    return cells.select("source", "line", F.substring(head, 5, 1_000_000).alias("rec_id"), problem.alias("problem"))
 
 
 def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -60,10 +61,10 @@ def _explode(records: DataFrame) -> DataFrame:
 
 def decode_tagged(lines: DataFrame, column: str = "value", volumes: bool = True) -> DataFrame:
     """Lines → fields (rec_id, seq, tag, value); multi-volume lines give one record per volume."""
-    good = checked_lines(lines, column).where("problem IS NULL")
+    checked = checked_lines(lines, column)
     if volumes:
-        return _explode(split_volumes(good))
-    return _explode(good.select("rec_id", _segments(F.col("line")).alias("segments")))
+        return _explode(split_volumes(checked))
+    return _explode(checked.select("rec_id", F.when(F.col("problem").isNull(), _segments(F.col("line"))).alias("segments")))
 
 
 def read_tagged(spark: SparkSession, path: str, charset: str = "IBM437") -> DataFrame:
@@ -71,9 +72,11 @@ def read_tagged(spark: SparkSession, path: str, charset: str = "IBM437") -> Data
 
 
 def split_volumes(records: DataFrame) -> DataFrame:
-    """(rec_id, line) → (rec_id, segments), one row per record or volume.
+    """``checked_lines`` → (rec_id, segments), one row per good record or volume.
 
-    The title before the volume marker ``#36 sm`` is carried to each following ``#01 `` volume.
+    The title before the volume marker ``#36 sm`` is carried to each following ``#01 `` volume. Lines
+    with a problem give no row: their list of pieces is NULL. (A filter would be pushed below the
+    checks, which would then be done twice.)
     """
     framed = F.concat(F.regexp_replace("line", r"(\[/\])+$", ""), F.lit("[/]"))
     mark = F.locate("[/]#36 sm[/]", F.col("framed"))
@@ -81,12 +84,14 @@ def split_volumes(records: DataFrame) -> DataFrame:
     tail = F.when(F.col("mark") > 0, F.expr("substring(framed, mark + 3)"))
     titles = F.filter("head_segments", lambda s: s.startswith("#20 "))
     parts = (
-        records.select("rec_id", framed.alias("framed"))
-        .select("rec_id", "framed", mark.alias("mark"))
+        records.select("rec_id", "problem", framed.alias("framed"))
+        .select("rec_id", "problem", "framed", mark.alias("mark"))
         .select(
             "rec_id",
             _segments(head).alias("head_segments"),
-            F.split(F.coalesce(tail, F.lit("")), r"\[/\](?=#01 )").alias("pieces"),
+            F.when(
+                F.col("problem").isNull(), F.split(F.coalesce(tail, F.lit("")), r"\[/\](?=#01 )")
+            ).alias("pieces"),
             F.col("framed").contains("#36 sbd").alias("has_volume_type"),
             F.col("framed").contains("#88 ").alias("is_periodical"),
         )
