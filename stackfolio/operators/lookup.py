@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import rows_of
+
 
 def lookup(
     df: DataFrame, column: str, table: DataFrame, on_miss: str = "keep",
@@ -61,7 +63,7 @@ def lookup_array(
     items of one record were one row before, so a group is never larger than a row was.
     """
     name = out or array_col
-    items = df.select(id_col, F.posexplode(array_col).alias("_pos", "_item"))
+    items = rows_of(df, [id_col], array_col, "_item", "_pos")
     found = lookup(items, "_item", table, on_miss)
     lists = (
         found.where("_item IS NOT NULL")
@@ -300,7 +302,7 @@ def broaden_places(
     A place also becomes the first heading when one of its broader notations matches
     ``keep_as_heading``, or it is in ``always_heading`` or in ``extra``, unless it is a heading already.
     """
-    items = df.select(id_col, F.posexplode(places).alias("_pos", "_place"))
+    items = rows_of(df, [id_col], places, "_place", "_pos")
     table = broader.select(F.col("k").alias("_k"), F.split("v", " ; ").alias("_broader"))
     hit = items.join(table, F.col("_place") == F.col("_k"), "left")
     if extra is not None:

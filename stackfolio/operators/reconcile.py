@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import rows_of
 from ..functions.text import words
 
 
@@ -31,8 +32,8 @@ def reconcile(
         F.col(cat_id).alias("_cat"), F.array_distinct(words(F.col(cat_title))).alias("_cwords"),
         *[F.col(p).alias(f"_c_{p}") for p in props],
     )
-    cat_words = cat.select("_cat", F.explode("_cwords").alias("_word"))
-    rec_words = rec.select("_rec", F.explode("_words").alias("_word"))
+    cat_words = rows_of(cat, ["_cat"], "_cwords", "_word")
+    rec_words = rows_of(rec, ["_rec"], "_words", "_word")
     used = rec_words.select(F.col("_word").alias("_w")).distinct()
     frequency = (
         cat_words.join(used, F.col("_word") == F.col("_w"), "left_semi")

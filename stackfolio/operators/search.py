@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import overlaps
+from ..functions.rows import rows_of
 from ..functions.text import words
 
 
@@ -56,7 +57,8 @@ def _operators(text: Column, query: str) -> Column:
 
 def token_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, rec_id), each pair once; write it bucketed by token for repeated search."""
-    return df.select(F.col(id_col).alias("rec_id"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("token"))
+    rows = df.select(F.col(id_col).alias("rec_id"), F.array_distinct(words(F.col(text_col))).alias("_tokens"))
+    return rows_of(rows, ["rec_id"], "_tokens", "token")
 
 
 def search_index(index: DataFrame, query: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import compact_to_iso, dotted_to_iso
 from ..functions.identifiers import field_uri, place_uri, profession_uri
+from ..functions.rows import rows_of
 from ..functions.text import absent_if_empty
 from ..naming import Namespaces
 from ..operators.lookup import lookup
@@ -149,7 +150,7 @@ def regroup(labelled: DataFrame, roles: list[str]) -> DataFrame:
 
 def professions(persons: DataFrame, vocab: Vocabularies) -> DataFrame:
     """(local_id, pos, id, label, alt_label[]): label by local headings, then by the authority file."""
-    rows = persons.select("local_id", F.posexplode("profession").alias("pos", "id")).withColumn(
+    rows = rows_of(persons, ["local_id"], "profession", "id", "pos").withColumn(
         "_key", F.regexp_replace("id", r"^http.+/(\d.+)", "$1")
     )
     local = vocab.headings.select(F.col("k").alias("_k1"), F.col("label").alias("_l1"), F.col("variants").alias("_variants"))
@@ -163,7 +164,7 @@ def professions(persons: DataFrame, vocab: Vocabularies) -> DataFrame:
 
 def subject_categories(persons: DataFrame, categories: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:
     """(local_id, pos, id, label): known codes get their public URI, others the local one."""
-    rows = persons.select("local_id", F.posexplode("subject_category").alias("pos", "value")).withColumn(
+    rows = rows_of(persons, ["local_id"], "subject_category", "value", "pos").withColumn(
         "_code", F.regexp_replace("value", r"^http.+/n?(\d.*)", "$1")
     )
     known = categories.select(F.col("k").alias("_k"), F.col("v").alias("label"))
@@ -174,7 +175,7 @@ def subject_categories(persons: DataFrame, categories: DataFrame, ns: Namespaces
 
 def related_labels(persons: DataFrame, authorities: DataFrame, own_labels: DataFrame) -> DataFrame:
     """(local_id, pos, id, label): other persons by the authority file, then by the own set."""
-    rows = persons.select("local_id", F.posexplode("related_person").alias("pos", "id"))
+    rows = rows_of(persons, ["local_id"], "related_person", "id", "pos")
     is_uri = F.col("id").rlike("^http.+")
     rows = rows.withColumn("_key", F.when(is_uri, F.regexp_replace("id", r"^http.+/([p\d].+)", "$1")))
     a = authorities.select(F.col("k").alias("_k1"), F.col("label").alias("_l1"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import rows_of
+
 XML_SCHEMA = (
     "leader string, "
     "controlfield array<struct<_tag:string,_VALUE:string>>, "
@@ -76,8 +78,8 @@ def is_deleted() -> Column:
 def marc_fields(records: DataFrame) -> DataFrame:
     """Long form (rec_id, fseq, tag, ind1, ind2, sseq, code, value) for ad-hoc analysis."""
     return (
-        records.select("rec_id", F.posexplode("data").alias("fseq", "d"))
-        .select("rec_id", "fseq", "d.tag", "d.ind1", "d.ind2", F.posexplode("d.subs").alias("sseq", "s"))
+        rows_of(rows_of(records, ["rec_id"], "data", "d", "fseq"), ["rec_id", "fseq", "d"], "d.subs", "s", "sseq")
+        .select("rec_id", "fseq", "d.tag", "d.ind1", "d.ind2", "sseq", "s")
         .select("rec_id", "fseq", "tag", "ind1", "ind2", "sseq", "s.code", "s.value")
     )
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.rows import rows_of
+
 
 def read_ndjson(
     spark: SparkSession, path: str, schema: StructType | str, record_path: str | None = None
@@ -42,6 +44,6 @@ def select_entity(export: DataFrame, entity: str, type_column: str = "type") ->
 def mine_ids(texts: DataFrame, column: str, pattern: str) -> DataFrame:
     """All ids found in raw text, with ``-`` and with ``n``, each once."""
     found = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0)))
-    ids = texts.select(F.explode(found).alias("id")).distinct()
+    ids = rows_of(texts, [], found, "id").distinct()
     spelled = F.array_distinct(F.array(F.col("id"), F.translate("id", "-", "n")))
     return ids.select(F.explode(spelled).alias("id")).distinct()

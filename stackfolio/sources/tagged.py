@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import rows_of
+
 NONSORT = "¬"
 NO_ID = "Can't get ID from input"
 BROKEN = "Segment without tag"
@@ -46,7 +48,7 @@ def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def _explode(records: DataFrame) -> DataFrame:
     """(rec_id, segments) → (rec_id, seq, tag, value)."""
-    rows = records.select("rec_id", F.posexplode("segments").alias("pos", "segment"))
+    rows = rows_of(records, ["rec_id"], "segments", "segment", "pos")
     name = F.substring("segment", 1, 4)
     tag = F.regexp_replace(
         F.regexp_replace(name, "#([^ ]{2}) ", "f$1_"), "#([^ ]{3})", "f$1"
@@ -100,8 +102,9 @@ def split_volumes(records: DataFrame) -> DataFrame:
             F.substring(F.try_element_at(titles, F.lit(-1)), 5, 1_000_000_000).alias("parent_title"),
             (F.size("pieces") > 1).alias("has_volumes"),
         )
-        .select("*", F.posexplode("pieces").alias("n", "piece"))
     )
+    kept = ["rec_id", "head_segments", "has_volume_type", "is_periodical", "parent_title", "has_volumes"]
+    parts = rows_of(parts, kept, "pieces", "piece", "n")
     piece = _segments(F.col("piece"))
     kind = F.when(
         F.col("has_volumes") & F.col("has_volume_type"),
