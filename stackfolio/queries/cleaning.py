@@ -137,14 +137,14 @@ def wider_places_learned(t):
 
 
 @query("""
-WITH s AS (SELECT c_custkey, CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) % 2500 AS VARCHAR) AS b, CAST(c_custkey % 2100 AS VARCHAR) AS d, c_mktsegment AS m FROM customer)
+WITH s AS (SELECT c_custkey, CAST(CAST(floor(abs(c_acctbal) / 4) AS BIGINT) AS VARCHAR) AS b, CAST(CAST(floor(abs(c_acctbal) / 6) AS BIGINT) AS VARCHAR) AS d, c_mktsegment AS m FROM customer)
 SELECT c_custkey,
   CASE WHEN m = 'BUILDING' THEN NULL ELSE CASE WHEN m = 'MACHINERY' THEN '-' ELSE '' END || lpad(b, 4, '0') END AS born,
   CASE WHEN m = 'HOUSEHOLD' THEN '-' ELSE '' END || lpad(d, 4, '0') AS died, CASE WHEN m = 'BUILDING' THEN 'ca. ' || b || '-' || d END AS approximate FROM s
 """)
 def life_dates(t):
-    born = (F.floor(F.abs("c_acctbal")).cast("bigint") % 2500).cast("string")
-    died = (F.col("c_custkey") % 2100).cast("string")
+    born = F.floor(F.abs("c_acctbal") / 4).cast("bigint").cast("string")
+    died = F.floor(F.abs("c_acctbal") / 6).cast("bigint").cast("string")
     kind = F.col("c_mktsegment")
     span = F.concat(
         F.when(kind == "BUILDING", "ca. ").when(kind == "MACHINERY", "v").otherwise(""), born, F.lit("-"),
@@ -156,7 +156,7 @@ def life_dates(t):
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, year(o_orderdate) - 100 * (o_custkey % 5) AS y, month(o_orderdate) AS m, CASE o_orderstatus WHEN 'F' THEN 31 WHEN 'O' THEN 29 ELSE 30 END AS d FROM orders)
+WITH o AS (SELECT o_orderkey, year(o_orderdate) - 100 * (CAST(substr(o_orderpriority, 1, 1) AS INT) - 1) AS y, month(o_orderdate) AS m, CASE o_orderstatus WHEN 'F' THEN 31 WHEN 'O' THEN 29 ELSE 30 END AS d FROM orders)
 SELECT o_orderkey, CAST(y AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || CASE
   WHEN m = 2 AND d > 29 THEN '28'
   WHEN m = 2 AND d = 29 AND NOT ((y BETWEEN 1800 AND 2099) AND y % 4 = 0 AND y NOT IN (1800, 1900)) THEN '28'
@@ -164,7 +164,7 @@ SELECT o_orderkey, CAST(y AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0')
 """)
 def calendar_fixed(t):
     """Order dates with days that not every month has, over five centuries."""
-    year = (F.year("o_orderdate") - 100 * (F.col("o_custkey") % 5)).cast("string")
+    year = (F.year("o_orderdate") - 100 * (F.substring("o_orderpriority", 1, 1).cast("int") - 1)).cast("string")
     day = F.when(F.col("o_orderstatus") == "F", "31").when(F.col("o_orderstatus") == "O", "29").otherwise("30")
     date = F.concat_ws("-", year, F.date_format("o_orderdate", "MM"), day)
     return t.orders.select("o_orderkey", dates.calendar_fix(date).alias("fixed"))
@@ -218,12 +218,12 @@ def isbn_clusters(t):
 
 
 @query("""
-WITH u AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN replace(url, '://', ':/') WHEN length(url) > 45 THEN replace(url, '/', '/ ') ELSE url END AS link FROM pages)
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '?') THEN replace(url, '://', ':/') WHEN length(url) > 45 THEN replace(url, '/', '/ ') ELSE url END AS link FROM pages)
 SELECT page_id, link FROM u WHERE NOT regexp_matches(link, '^(https?|ftp)://(\\S+\\.)+\\S+(/\\S*)?$')
 """)
 def audited_urls(t):
     link = (
-        F.when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "://", ":/"))
+        F.when(F.col("url").contains("?"), F.regexp_replace("url", "://", ":/"))
         .when(F.length("url") > 45, F.regexp_replace("url", "/", "/ ")).otherwise(F.col("url"))
     )
     return marc_links.audit_urls(t.pages.select("page_id", link.alias("link")), "link")

@@ -78,8 +78,8 @@ def lookup_in_lists(t):
     """Each word of a text looked up in the words of the benchmark texts, order kept."""
     known = t.benchmark.select(F.explode(words(F.col("text"))).alias("k")).distinct()
     table = known.select("k", F.concat(F.lit("*"), "k").alias("v"))
-    docs = t.wide("documents", "doc_id", "text").select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    marked = lookup.lookup_array(docs, "doc_id", "words", table)
+    docs = t.wide("documents", "doc_id", "text").select("doc_id", words(F.col("text")).alias("words"))
+    marked = lookup.lookup_array(docs, "doc_id", "words", table).where(F.size("words") > 0)
     return marked.select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"),
         F.size(F.filter("words", lambda w: w.startswith("*"))).cast("bigint").alias("known"),
