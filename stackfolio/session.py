@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +26,9 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one is made only in local mode."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the warehouse, shared as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="stackfolio-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
