@@ -14,6 +14,8 @@ from ..session import tune
 BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    # a small side with a filter also thins out the other before its exchange, whatever the table's size
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
 }
 
 
