@@ -179,12 +179,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
+        whole = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             good = []
             for i, (v, x, y) in enumerate(zip(batch.column("v").to_pylist(), texts_of(batch.column("u_text")), texts_of(batch.column("v_text")))):
                 if v != last:
-                    last, kept = v, shingles(y, words)
-                if similar(shingles(x, words), kept, percent):
+                    last, kept = v, shingles(whole(y), words)
+                if similar(shingles(whole(x), words), kept, percent):
                     good.append(i)
             yield batch.select(["u", "v"]).take(pa.array(good, pa.int64()))
 
@@ -258,10 +259,17 @@ def several_classes(rows: DataFrame) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(cls, text) of one document of each class that may have a link."""
+    """(cls, text) of one document of each class that may have a link, compressed before it is dealt out."""
     wanted = members.where("n > 0").select("cls", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("id"))
     found = docs.join(wanted, (docs["text_key"] == wanted["text_key"]) & docs["doc_id"].eqNullSafe(wanted["id"]))
-    return found.groupBy("cls").agg(F.min("text").alias("text"))
+
+    def press(batch: pa.RecordBatch) -> pa.RecordBatch:
+        small = zstandard.ZstdCompressor(level=3)
+        texts = pa.array([small.compress(t) for t in texts_of(batch.column("text"))], pa.binary())
+        return pa.record_batch({"cls": batch.column("cls"), "text": texts})
+
+    pressed = found.select("cls", "text").mapInArrow(per_batch(press), "cls binary, text binary")
+    return pressed.dropDuplicates(["cls"])
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
