@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, ngram_join, packing, quality, sharding, suffix_dedup
+from . import language_id, licenses, ngram_join, packing, quality, search, sentence_pieces, sharding, suffix_dedup
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(docs).drop("text")
 
 
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.identified(docs.select("doc_id", "text"), language_id.learned(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,3 +73,36 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.license_scan(docs).drop("text", "detections")
+
+
+@query
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of every twentieth conversation against all turns."""
+    turns = table(spark, sf_dir, "conversations")
+    return search.top_k(turns, F.col("conv_id") % 20 == 0, ["conv_id", "turn"])
+
+
+ORACLES["op10_search"] = """
+WITH rows AS (
+  SELECT conv_id, turn, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM conversations
+), lengths AS (SELECT conv_id, turn, len(words) AS n FROM rows),
+facts AS (SELECT count(*)::DOUBLE AS n, avg(coalesce(n, 0)) AS mean FROM lengths),
+tf AS (SELECT conv_id, turn, term, count(*)::DOUBLE AS tf FROM (SELECT conv_id, turn, unnest(words) AS term FROM rows) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (any_value(facts.n) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM tf, facts GROUP BY term),
+parts AS (
+  SELECT tf.conv_id, tf.turn, term, w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.n / mean)) AS part
+  FROM tf JOIN idf USING (term) JOIN lengths l ON l.conv_id = tf.conv_id AND l.turn = tf.turn, facts
+), scored AS (
+  SELECT q.conv_id AS query_conv_id, q.turn AS query_turn, r.conv_id AS row_conv_id, r.turn AS row_turn, round(sum(part), 6) AS score
+  FROM tf q JOIN parts r USING (term) WHERE q.conv_id % 20 = 0 GROUP BY ALL
+)
+SELECT *, row_number() OVER (PARTITION BY query_conv_id, query_turn ORDER BY score DESC, row_conv_id, row_turn) AS rank
+FROM scored QUALIFY rank <= 10
+"""
