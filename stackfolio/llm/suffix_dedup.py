@@ -9,7 +9,7 @@ suffixes of a corpus moves many times its size, so only suffixes that can have a
 2. A bucket with one stretch has no repeat; in one whose stretches are all alike, everything is
    repeated. Both are seen by sums made before the exchange, so copies cost a row a task.
 3. The different stretches of the other buckets are refined by bytes: positions get bucket numbers by
-   8-gram (per bucket and offset), then by pairs of the numbers at i and i + 8, i + 16, ... up to the
+   4-gram (per bucket and offset), then by pairs of the numbers at i and i + 4, i + 8, ... up to the
    span, each round reusing the numbers of the one before. Windows that share a last number are equal.
 4. A bucket of more than ``chunk`` different stretches (a passage with that many surroundings) is not
    gathered: its windows are counted by a digest of 128 bits, one key a window.
@@ -36,7 +36,7 @@ from .base import per_batch, prepare, texts_of
 SPAN = 200
 Q = 32
 SEGMENT = 2 << 20
-CHUNK = 8192
+CHUNK = 4096
 PLACE = np.uint64((1 << 24) - 1)  # low bits of a sort key hold the place in a segment
 
 RANDOM = np.random.default_rng(7)
@@ -117,19 +117,19 @@ def repeated_windows(bucket: np.ndarray, offset: np.ndarray, parts: list[bytes],
     ends = np.cumsum(sizes)
     first = ends - sizes
     total = int(ends[-1])
-    buf = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
+    buf = np.frombuffer(b"".join(parts) + bytes(4), np.uint8)
     of = np.repeat(np.arange(len(parts)), sizes)
     # column: place relative to the q-gram, with the bucket, so that only like places compare
     column = np.arange(total) - np.repeat(first + offset, sizes)
     _, bucket = np.unique(bucket, return_inverse=True)
-    lane = bucket[of] * (1 << 20) + (column + (1 << 19))
-    word = np.zeros(total, np.uint64)
-    for k in range(8):
-        word |= buf[k : k + total].astype(np.uint64) << np.uint64(8 * k)
-    grams, _ = numbered(word)
-    lanes, _ = numbered(lane)
-    number, twice = numbered(grams * (int(lanes.max()) + 1) + lanes)
-    depth = 8
+    width = 4 * span
+    lane = bucket[of] * width + column + 2 * span
+    gram = np.zeros(total, np.int64)
+    for k in range(4):
+        gram |= buf[k : k + total].astype(np.int64) << (8 * k)
+    number, twice = numbered((lane << 32) | gram)
+    del of, column, lane, gram
+    depth = 4
     # a window lives while all its parts have an equal somewhere
     live = np.arange(total) <= np.repeat(ends - span, sizes)
     while True:
@@ -204,7 +204,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     return rows.dropDuplicates(["a", "t", "o"])  # copies of a text give the same stretch
 
 
-def _refine(span: int, limit: int = 4 << 20):
+def _refine(span: int, limit: int = 1 << 20):
     """Stream sorted by bucket: whole buckets, some megabytes at a time."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
