@@ -2,10 +2,12 @@
 
 Rows are dealt into shards of about ``SHARD_ROWS``. A task indexes one shard: postings by term, in
 blocks of ``BLOCK`` neighbouring rows with the largest contribution of the term in each block. A query
-sums these bounds over its terms; the pivot is always the block of the largest bound, whole blocks are
-scored at a time, and blocks whose bound is below the k-th best score so far are skipped. Term weights
-and the mean length come from all rows, so scores of different shards compare and the best k of each
-shard's best k are the exact answer.
+takes its terms rare first. The rows best by the rarest give a threshold; the pivot is the term after
+which the bounds of all terms together stay below it, so a row without a term before the pivot is
+never looked at; a row with one is skipped if its sum so far and the bounds of its block stay below
+the threshold, else it is scored whole. This is WAND's test, made for all rows of a list at a time.
+Term weights and the mean length come from all rows, so scores of different shards compare and the
+best k of each shard's best k are the exact answer.
 
 Queries meet shards block by block: a group is one shard and at most about ``QUERY_ROWS`` queries.
 
@@ -33,7 +35,7 @@ from .licenses import WORD_BYTES
 K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_ROWS = 32768
-QUERY_ROWS = 4096
+QUERY_ROWS = 16384
 DIGITS = 6
 
 
@@ -46,56 +48,82 @@ class Index:
     """One shard. Contributions are tf parts of BM25; a query brings the weights of its terms."""
 
     def __init__(self, texts: list[bytes], mean: float):
-        numbers: dict[bytes, int] = {}
-        term, row, tf, length = [], [], [], np.zeros(len(texts))
-        for r, text in enumerate(texts):
-            counts = Counter(terms(text))
-            length[r] = sum(counts.values())
-            term += [numbers.setdefault(t, len(numbers)) for t in counts]
-            tf += counts.values()
-            row += [r] * len(counts)
-        t, r, f = np.array(term, np.int64), np.array(row, np.int64), np.array(tf, np.float64)
-        order = np.argsort(t, kind="stable")
-        t, self.row, f = t[order], r[order], f[order]
+        words = [terms(text) for text in texts]
+        numbers = {t: i for i, t in enumerate(dict.fromkeys(w for found in words for w in found))}
+        length = np.array([len(w) for w in words], np.float64)
+        term = np.fromiter((numbers[w] for found in words for w in found), np.int64, int(length.sum()))
+        key, f = np.unique(term * len(texts) + np.repeat(np.arange(len(texts)), length.astype(np.int64)), return_counts=True)
+        t, self.row, f = key // max(1, len(texts)), key % max(1, len(texts)), f.astype(np.float64)
         self.part = f * (K1 + 1) / (f + K1 * (1 - B + B * length[self.row] / mean)) if len(f) else f
         self.numbers, self.rows = numbers, len(texts)
-        # blocks of a term's postings: first posting, block number, largest contribution
+        # blocks of a term's postings: block number, largest contribution
+        by_row = np.argsort(self.row, kind="stable")
+        self.row_term, self.row_part = t[by_row], self.part[by_row]
+        self.row_start = np.searchsorted(self.row[by_row], np.arange(len(texts) + 1))
+        self.weight = np.zeros(len(numbers))
         key = t * (len(texts) // BLOCK + 1) + self.row // BLOCK
-        self.first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        self.end = np.append(self.first[1:], len(key))
-        self.block = self.row[self.first] // BLOCK
-        self.most = np.maximum.reduceat(self.part, self.first) if len(key) else self.part
-        self.of_term = np.searchsorted(t[self.first], np.arange(len(numbers) + 1))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        self.block = self.row[first] // BLOCK
+        self.most = np.maximum.reduceat(self.part, first) if len(key) else self.part
+        self.of_term = np.searchsorted(t[first], np.arange(len(numbers) + 1))
+        self.start = np.searchsorted(t, np.arange(len(numbers) + 1))
+
+    def add(self, scores: np.ndarray, chosen: list[tuple[int, float]]) -> np.ndarray:
+        """Contributions of whole posting lists added up by row."""
+        if not chosen:
+            return scores
+        spans = [(int(self.start[n]), int(self.start[n + 1])) for n, _ in chosen]
+        rows = np.concatenate([self.row[a:b] for a, b in spans])
+        values = np.concatenate([self.part[a:b] * w for (a, b), (_, w) in zip(spans, chosen)])
+        return scores + np.bincount(rows, values, self.rows)
+
+    def exact(self, rows: np.ndarray, known: list[tuple[int, float]]) -> np.ndarray:
+        """Whole scores of some rows, from the terms of each."""
+        names = [n for n, _ in known]
+        self.weight[names] = [w for _, w in known]
+        size = self.row_start[rows + 1] - self.row_start[rows]
+        at = np.repeat(self.row_start[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        values = self.weight[self.row_term[at]] * self.row_part[at]
+        self.weight[names] = 0
+        return np.round(np.bincount(np.repeat(np.arange(len(rows)), size), values, len(rows)), DIGITS)
 
     def best(self, query: list[tuple[bytes, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the best k and all that tie with the last of them."""
         known = [(self.numbers[t], w) for t, w in query if t in self.numbers]
         if not known:
             return np.empty(0, np.int64), np.empty(0)
-        spans = [(self.of_term[n], self.of_term[n + 1]) for n, _ in known]
-        entry = np.concatenate([np.arange(a, b) for a, b in spans])
-        weight = np.repeat([w for _, w in known], [b - a for a, b in spans])
-        blocks = self.block[entry]
-        bound = np.bincount(blocks, weight * self.most[entry], self.rows // BLOCK + 1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, seen, least, at, width = np.zeros(self.rows), [], 0.0, 0, 4
-        while at < len(order) and bound[order[at]] >= least - 10.0**-DIGITS:
-            now = order[at : at + width]
-            at, width = at + len(now), 2 * width
-            chosen = np.zeros(len(bound), bool)
-            chosen[now] = True
-            e = entry[here := chosen[blocks]]
-            sizes = self.end[e] - self.first[e]
-            at_posting = np.repeat(self.first[e] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-            rows = self.row[at_posting]
-            np.add.at(scores, rows, np.repeat(weight[here], sizes) * self.part[at_posting])
-            seen.append(np.unique(rows))
-            found = np.concatenate(seen)
-            if len(found) >= k:
-                least = float(np.round(np.partition(scores[found], len(found) - k)[len(found) - k], DIGITS))
-        found = np.concatenate(seen)
-        values = np.round(scores[found], DIGITS)
+        known.sort(key=lambda x: (-x[1], x[0]))  # rare terms first
+        count = [int(self.start[n + 1] - self.start[n]) for n, _ in known]
+        bound = np.array([w * self.most[self.of_term[n] : self.of_term[n + 1]].max() for n, w in known])
+        # a first threshold: rows that are best by the rare terms, scored whole
+        rare = next((i for i in range(len(known)) if sum(count[: i + 1]) > 8 * k + self.rows // 16), len(known) - 1) + 1
+        partial = self.add(np.zeros(self.rows), known[:rare])
+        some = np.flatnonzero(partial)
+        some = some[np.argsort(-partial[some], kind="stable")[: 2 * k]]
+        first = self.exact(some, known)
+        least = float(np.partition(first, len(first) - k)[len(first) - k]) if len(first) >= k else 0.0
+        slack = 10.0**-DIGITS
+        # pivot term: the bounds of the terms after it do not reach the threshold, a row needs one before it
+        after = np.concatenate([np.cumsum(bound[::-1])[::-1][1:], [0.0]])
+        pivot = int(np.argmax(after < least - slack)) + 1 if (after < least - slack).any() else len(known)
+        partial = self.add(partial, known[rare:pivot]) if pivot >= rare else self.add(np.zeros(self.rows), known[:pivot])
+        # block bounds of the rest: a row whose sum with that of its block stays below is skipped
+        rest = np.zeros(self.rows // BLOCK + 1)
+        for n, w in known[pivot:]:
+            a, b = self.of_term[n], self.of_term[n + 1]
+            rest[self.block[a:b]] += w * self.most[a:b]
+        found = np.flatnonzero(partial)
+        while True:
+            found = found[partial[found] + rest[found // BLOCK] >= least - slack]
+            if len(found) <= 8 * k or pivot >= len(known):
+                break
+            # still many: some more lists, whose bounds are then known sums
+            partial = self.add(partial, known[pivot : pivot + 4])
+            for n, w in known[pivot : pivot + 4]:
+                a, b = self.of_term[n], self.of_term[n + 1]
+                rest[self.block[a:b]] -= w * self.most[a:b]
+            pivot += 4
+        values = self.exact(found, known) if len(found) else np.empty(0)
         keep = values >= least
         return found[keep], values[keep]
 
