@@ -67,6 +67,7 @@ class Index:
         self.most = np.maximum.reduceat(self.part, first) if len(key) else self.part
         self.of_term = np.searchsorted(t[first], np.arange(len(numbers) + 1))
         self.start = np.searchsorted(t, np.arange(len(numbers) + 1))
+        self.top = np.maximum.reduceat(self.most, self.of_term[:-1]) if len(key) else self.most
 
     def add(self, scores: np.ndarray, chosen: list[tuple[int, float]]) -> np.ndarray:
         """Contributions of whole posting lists added up by row."""
@@ -93,10 +94,11 @@ class Index:
         if not known:
             return np.empty(0, np.int64), np.empty(0)
         known.sort(key=lambda x: (-x[1], x[0]))  # rare terms first
-        count = [int(self.start[n + 1] - self.start[n]) for n, _ in known]
-        bound = np.array([w * self.most[self.of_term[n] : self.of_term[n + 1]].max() for n, w in known])
+        names, weights = np.array([n for n, _ in known]), np.array([w for _, w in known])
+        total = np.cumsum(self.start[names + 1] - self.start[names])
+        bound = weights * self.top[names]
         # a first threshold: rows that are best by the rare terms, scored whole
-        rare = next((i for i in range(len(known)) if sum(count[: i + 1]) > 8 * k + self.rows // 16), len(known) - 1) + 1
+        rare = min(int(np.searchsorted(total, 8 * k + self.rows // 16, side="right")) + 1, len(known))
         partial = self.add(np.zeros(self.rows), known[:rare])
         some = np.flatnonzero(partial)
         some = some[np.argsort(-partial[some], kind="stable")[: 2 * k]]
