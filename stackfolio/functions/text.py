@@ -74,7 +74,7 @@ def local_part(uri: Column) -> Column:
 
 def short_id(uri: Column) -> Column:
     """``…#n141020`` → ``141020``; text without a hash as it is."""
-    return F.when(uri.contains("#"), F.substring(F.split(uri, "#")[1], 2, 1_000_000)).otherwise(uri)
+    return F.when(uri.contains("#"), F.substr(F.split(uri, "#")[1], F.lit(2))).otherwise(uri)
 
 
 def words(value: Column) -> Column:

@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 from ..functions.rows import rows_of
 
 
+def unique_keys(table: DataFrame) -> DataFrame:
+    """(k, v) with one row per key: the last by column ``o`` where there is one, else the greatest value."""
+    return table.groupBy("k").agg((F.max_by("v", "o") if "o" in table.columns else F.max("v")).alias("v"))
+
+
 def lookup(
     df: DataFrame, column: str, table: DataFrame, on_miss: str = "keep",
     default: str | None = None, out: str | None = None,
 ) -> DataFrame:
     """Replace a value by its mapped value. On a miss: ``keep`` it, ``delete`` it, or ``default``."""
-    probe = table.select(F.col("k").alias("_k"), F.col("v").alias("_v"))
+    probe = unique_keys(table).select(F.col("k").alias("_k"), F.col("v").alias("_v"))
     hit = df.join(probe, F.col(column) == F.col("_k"), "left")
     miss = {"keep": F.col(column).cast("string"), "delete": F.lit(None), "default": F.lit(default)}[on_miss]
     # A value that is itself missing stays missing.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,42 +18,58 @@ from ..functions.text import words
 def query_terms(query: str) -> list[str] | None:
     """Required words of a plain query; None when it uses operators and must be read as written."""
     text = query.strip()
-    if not text or re.search(r"[+~]|AND|OR|\s-[^\s]|\*|:", text):
+    if not text or re.search(r"[+~\"()]|AND|OR|(?:^|\s)-[^\s]|\*|:", text):
         return None if text else []
     return [t.lower() for t in re.split(r"[\s-]", text) if t.strip()]
 
 
-def has_all_terms(text: Column, query: str) -> Column:
-    """All words of the query occur as words of the text (one scan, no index)."""
-    terms = query_terms(query)
-    if terms is None:
-        return _operators(text, query)
-    if not terms:
-        return F.lit(True)
-    wanted = sorted({w for term in terms for w in re.findall(r"[^\W_]+", term)})
-    tokens = F.array_distinct(words(text))
-    return F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in wanted]))) == len(wanted)
+class Atom(NamedTuple):
+    """One word of a query: ``prefix`` if any word that starts with it will do."""
 
+    word: str
+    negative: bool
+    prefix: bool
 
-def _operators(text: Column, query: str) -> Column:
-    """The common query syntax: ``OR`` parts of ``AND``-ed words, ``+``/``-`` signs, trailing ``*``."""
-    tokens = words(text)
+    def matches(self, token: Column) -> Column:
+        return token.startswith(self.word) if self.prefix else token == self.word
 
-    def one(word: str) -> Column:
-        negative = word.startswith("-")
-        bare = word.lstrip("+-").strip('"').lower()
-        if bare in ("", "*"):
-            return F.lit(True)
-        if bare.endswith("*"):
-            test = F.exists(tokens, lambda t: t.startswith(bare[:-1]))
-        else:
-            test = F.array_contains(tokens, bare.rstrip("~"))
-        return ~test if negative else test
 
+def query_parts(query: str) -> list[list[Atom]]:
+    """Alternatives (``OR``) of required words; none at all for a query that asks for everything.
+
+    Phrases, fields and brackets are refused: read as loose words they would give wrong answers.
+    """
+    terms = query_terms(query)
+    if terms is not None:
+        wanted = sorted({w for term in terms for w in re.findall(r"[^\W_]+", term)})
+        return [[Atom(w, False, False) for w in wanted]] if wanted else []
+    if re.search(r"[()\[\]{}]|\w:\S", query) or re.search(r'"[^"\s]*\s', query):
+        raise ValueError(f"phrases, fields and brackets are not supported: {query!r}")
     parts = []
     for part in re.split(r"\s+OR\s+", query.strip()):
-        parts.append(reduce(lambda a, b: a & b, [one(w) for w in re.split(r"\s+AND\s+|\s+", part) if w]))
-    return reduce(lambda a, b: a | b, parts)
+        atoms = []
+        for word in re.split(r"\s+AND\s+|\s+", part):
+            bare = word.lstrip("+-").strip('"').rstrip("~").lower()
+            if bare not in ("", "*"):
+                atoms.append(Atom(bare.rstrip("*"), word.startswith("-"), bare.endswith("*")))
+        if not atoms:
+            return []
+        parts.append(atoms)
+    return parts
+
+
+def has_all_terms(text: Column, query: str) -> Column:
+    """The text answers the query: words, ``OR``, ``AND``, ``+``/``-`` signs, trailing ``*`` (one scan)."""
+    parts = query_parts(query)
+    if not parts:
+        return F.lit(True)
+    tokens = F.array_distinct(words(text))
+
+    def test(atom: Atom) -> Column:
+        found = F.exists(tokens, atom.matches) if atom.prefix else F.array_contains(tokens, atom.word)
+        return ~found if atom.negative else found
+
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(test, part)) for part in parts])
 
 
 def token_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,10 +79,27 @@ def token_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def search_index(index: DataFrame, query: str) -> DataFrame:
-    """Records that have all words of the query; only rows of these words are read and shuffled."""
-    terms = sorted({w for t in (query_terms(query) or []) for w in re.findall(r"[^\W_]+", t)})
-    hits = index.where(F.col("token").isin(*terms))
-    return hits.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("rec_id")
+    """Records that answer the query, as ``has_all_terms`` reads it.
+
+    One aggregate per record says which words it has. Only rows of these words are read and shuffled,
+    unless an alternative has forbidden words only, or the query asks for everything; then all indexed
+    records are looked at (a record without any word is not in an index).
+    """
+    parts = query_parts(query)
+    if not parts:
+        return index.select("rec_id").distinct()
+    atoms = sorted({atom for part in parts for atom in part})
+    token = F.col("token")
+    if all(any(not atom.negative for atom in part) for part in parts):
+        index = index.where(reduce(lambda a, b: a | b, [atom.matches(token) for atom in atoms]))
+    found = index.groupBy("rec_id").agg(*[F.max(atom.matches(token)).alias(f"a{i}") for i, atom in enumerate(atoms)])
+
+    def test(atom: Atom) -> Column:
+        has = F.col(f"a{atoms.index(atom)}")
+        return ~has if atom.negative else has
+
+    wanted = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(test, part)) for part in parts])
+    return found.where(wanted).select("rec_id")
 
 
 def contributor_is(contributions: Column, who: str, kind: str, authority: str = "https://d-nb.info/gnd/") -> Column:

@@ -195,7 +195,7 @@ def unpivot_record(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def rebuild(triples: DataFrame, predicates: Sequence[str]) -> DataFrame:
-    """Triples → one row per subject with the named predicates (smallest value if repeated)."""
+    """Triples → one row per subject; each named predicate has the sorted list of all its values."""
     return triples.groupBy("s").agg(
-        *[F.min(F.when(F.col("p") == p, F.col("o"))).alias(p) for p in predicates]
+        *[F.array_sort(F.collect_list(F.when(F.col("p") == p, F.col("o")))).alias(p) for p in predicates]
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +32,18 @@ def children_count(tree: DataFrame) -> DataFrame:
     return tree.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
 
 
-def paths(tree: DataFrame, max_depth: int = 64) -> DataFrame:
+def paths(tree: DataFrame) -> DataFrame:
     """(id, path): ids from the top concept to the node, for every node.
 
-    Each round doubles the known stretch above a node, so a tree of depth d needs log2(d) joins. A node
-    that no top concept reaches (unknown parent, circle) has itself as path.
+    Each round doubles the known stretch above a node, so a tree of depth d needs log2(d) joins, and
+    there is no limit to d. A stretch that meets a node twice is in a circle and is closed. A node that
+    no top concept reaches (unknown parent, circle) has itself as path.
     """
     start = tree.select(
         "id", F.array("id").alias("path"), F.col("parent").alias("up"), F.lit(True).alias("sound")
     )
     state = written(start, "paths")
-    for _ in range(math.ceil(math.log2(max_depth)) + 1):
-        if state.where("up IS NOT NULL").isEmpty():
-            break
+    while not state.where("up IS NOT NULL").isEmpty():
         above = state.select(
             F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("up").alias("_up"),
             F.col("sound").alias("_sound"),
@@ -60,7 +57,12 @@ def paths(tree: DataFrame, max_depth: int = 64) -> DataFrame:
             F.col("_up").alias("up"),
             (F.col("_id").isNotNull() & F.col("sound") & F.coalesce("_sound", F.lit(False))).alias("sound"),
         )
-        state = written(done.unionByName(moved), "paths")
+        circle = F.size(F.array_distinct("path")) < F.size("path")
+        closed = moved.select(
+            "id", F.when(circle, F.array("id")).otherwise(F.col("path")).alias("path"),
+            F.when(~circle, F.col("up")).alias("up"), (F.col("sound") & ~circle).alias("sound"),
+        )
+        state = written(done.unionByName(closed), "paths")
     whole = F.col("sound") & F.col("up").isNull()
     return state.select("id", F.when(whole, F.col("path")).otherwise(F.array("id")).alias("path"))
 

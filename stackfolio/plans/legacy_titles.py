@@ -109,6 +109,15 @@ def _typed(values: Column, role: str, ns: Namespaces) -> Column:
     return F.transform(values, lambda v: F.struct(agent_uri(v, ns).alias("value"), F.lit(role).alias("type")))
 
 
+def typed_values(kinds: dict[str, str]) -> Column:
+    """All values of the given fields, each with the kind that its field stands for."""
+
+    def typed(tag: str, kind: str) -> Column:
+        return F.transform(tag_values(tag), lambda v: F.struct(v.alias("value"), F.lit(kind).alias("type")))
+
+    return F.concat(*[typed(tag, kind) for tag, kind in kinds.items()])
+
+
 def citation_text(volume: Column, issue: Column, year: Column, pages: Column, extra: Column) -> Column:
     """Source statement of an article from its parts."""
     k, t = absent_if_empty(F.col("host_author")), F.col("host_title")
@@ -169,13 +178,10 @@ def legacy_titles(
         .otherwise(names.first)
     )
     urls = F.filter(
-        F.array(*[F.struct(text(tag).alias("value"), F.lit(kind).alias("type")) for tag, kind in URL_KINDS.items()]),
+        typed_values(URL_KINDS),
         lambda u: u["value"].isNotNull() & u["value"].rlike(URL_PATTERN),
     )
-    items = F.filter(
-        F.array(*[F.struct(text(tag).alias("value"), F.lit(place).alias("type")) for tag, place in ITEM_PLACES.items()]),
-        lambda i: i["value"].isNotNull(),
-    )
+    items = F.filter(typed_values(ITEM_PLACES), lambda i: i["value"].isNotNull())
     volume_in = F.when(
         F.col("numbering").isNotNull(),
         F.struct(

@@ -209,10 +209,11 @@ def lookup_tsv_lines(t):
 
 
 @query("""
-SELECT '[' || string_agg('"' || source || '"', ',' ORDER BY source) || ']' AS value FROM (SELECT DISTINCT source FROM documents)
+SELECT source AS v, CASE WHEN source = min(source) OVER () THEN '[' ELSE '' END || '"' || source || '"'
+  || CASE WHEN source = max(source) OVER () THEN ']' ELSE ',' END AS value FROM (SELECT DISTINCT source FROM documents)
 """)
 def json_value_list(t):
-    return sinks.json_array(t.documents, "source")
+    return sinks.json_array_lines(t.documents, "source")
 
 
 @query("""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread, tune
+from ..session import tune
 
 NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -28,9 +28,13 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def wide(self, name: str, *columns: str) -> DataFrame:
-        """A table for work that is heavy per row: the needed columns over all cores."""
+        """A table for work that is heavy per row: the needed columns over all cores.
+
+        The test tables are files of one row group, which one task would read.
+        """
         table = getattr(self, name)
-        return spread(table.select(*columns) if columns else table)
+        table = table.select(*columns) if columns else table
+        return table.repartition(self.spark.sparkContext.defaultParallelism)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

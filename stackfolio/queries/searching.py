@@ -31,6 +31,28 @@ def search_with_operators(t):
     return t.wide("documents", "doc_id", "text").where(search.has_all_terms(F.col("text"), "+the -of OR sch*")).select("doc_id")
 
 
+def _index(t):
+    return search.token_index(t.wide("documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query(f"""
+SELECT doc_id AS rec_id FROM documents WHERE (list_contains({TOKENS}, 'the') AND NOT list_contains({TOKENS}, 'of'))
+  OR len(list_filter({TOKENS}, lambda w: w LIKE 'sch%')) > 0
+""")
+def index_with_operators(t):
+    return search.search_index(_index(t), "+the -of OR sch*")
+
+
+@query(f"SELECT doc_id AS rec_id FROM documents WHERE len({TOKENS}) > 0 AND NOT list_contains({TOKENS}, 'de')")
+def index_without_word(t):
+    return search.search_index(_index(t), "-de")
+
+
+@query(f"SELECT doc_id AS rec_id FROM documents WHERE len({TOKENS}) > 0")
+def index_of_all(t):
+    return search.search_index(_index(t), "")
+
+
 CONTRIB = """
 WITH c AS (SELECT o_orderkey, 'Customer ' || o_custkey AS l1, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'Person' END AS t1,
   o_orderpriority AS l2, 'CorporateBody' AS t2, o_custkey FROM orders)

@@ -224,10 +224,12 @@ def triples_by_predicate(t):
 
 
 @query("""
-SELECT CAST(p_partkey AS VARCHAR) AS s, p_brand, CAST(p_size AS VARCHAR) AS p_size, list_min(string_split(p_name, ' ')) AS words FROM part
+SELECT CAST(p_partkey AS VARCHAR) AS s, p_brand, CAST(p_size AS VARCHAR) AS p_size,
+  array_to_string(list_sort(string_split(p_name, ' ')), '|') AS words FROM part
 """)
 def rebuilt_records(t):
-    return shape.rebuild(_part_triples(t), ["p_brand", "p_size", "words"])
+    names = ["p_brand", "p_size", "words"]
+    return shape.rebuild(_part_triples(t), names).select("s", *[F.array_join(c, "|").alias(c) for c in names])
 
 
 @query("""

@@ -45,13 +45,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core before work that is heavy per row.
-
-    An input of a few unsplittable files would keep most cores idle. Inputs with enough splits, as
-    large ones have, are left as they are, so no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

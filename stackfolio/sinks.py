@@ -44,17 +44,21 @@ def write_lookup_tsv(df: DataFrame, path: str, columns: Sequence[str], distinct:
     ).csv(path)
 
 
-def json_array(df: DataFrame, column: str) -> DataFrame:
-    """All different values as one sorted JSON list: for small lists (feature flags), one row."""
+def json_array_lines(df: DataFrame, column: str) -> DataFrame:
+    """All different values as the lines of one JSON list: (v, value), to be read in the order of v.
+
+    The first line opens the list and the last one closes it, so a list may have any length.
+    """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct()
-    return values.agg(F.to_json(F.array_sort(F.collect_list("v"))).alias("value"))
+    ends = values.agg(F.min("v").alias("first"), F.max("v").alias("last")).first()
+    item = F.regexp_extract(F.to_json(F.array("v")), r"(?s)^\[(.*)\]$", 1)
+    opening = F.when(F.col("v") == F.lit(ends["first"]), "[").otherwise("")
+    return values.select("v", F.concat(opening, item, F.when(F.col("v") == F.lit(ends["last"]), "]").otherwise(",")).alias("value"))
 
 
-def write_json_array(df: DataFrame, path: str, column: str, limit: int = 1_000_000) -> None:
-    """Refuses lists that are too long for one value instead of cutting them."""
-    if df.select(column).distinct().limit(limit + 1).count() > limit:
-        raise ValueError("too many values for one JSON list; use write_ndjson")
-    json_array(df, column).coalesce(1).write.text(path)
+def write_json_array(df: DataFrame, path: str, column: str) -> None:
+    """The list over part files, whose order is that of their names."""
+    json_array_lines(df, column).orderBy("v").select("value").write.text(path)
 
 
 def build_updates(df: DataFrame, id_col: str, columns: Sequence[str], base_url: str, path: str) -> DataFrame:

@@ -38,7 +38,7 @@ def checked_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     problem = F.when(~F.coalesce(head.startswith("#00 "), F.lit(False)), NO_ID).when(
         F.exists("cells", lambda s: (s != "") & (F.length(s) < 4)), BROKEN
     )
-    return cells.select("source", "line", F.substring(head, 5, 1_000_000).alias("rec_id"), problem.alias("problem"))
+    return cells.select("source", "line", F.substr(head, F.lit(5)).alias("rec_id"), problem.alias("problem"))
 
 
 def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -57,7 +57,7 @@ def _explode(records: DataFrame) -> DataFrame:
         "rec_id",
         (F.col("pos") + 1).alias("seq"),
         tag.alias("tag"),
-        F.substring("segment", 5, 1_000_000_000).alias("value"),
+        F.substr("segment", F.lit(5)).alias("value"),
     )
 
 
@@ -99,7 +99,7 @@ def split_volumes(records: DataFrame) -> DataFrame:
         )
         .select(
             "*",
-            F.substring(F.try_element_at(titles, F.lit(-1)), 5, 1_000_000_000).alias("parent_title"),
+            F.substr(F.try_element_at(titles, F.lit(-1)), F.lit(5)).alias("parent_title"),
             (F.size("pieces") > 1).alias("has_volumes"),
         )
     )
@@ -111,7 +111,7 @@ def split_volumes(records: DataFrame) -> DataFrame:
         F.array(F.when(F.col("is_periodical"), "#36tPeriodical").otherwise("#36tMultiVolumeBook")),
     ).otherwise(F.array().cast("array<string>"))
     volume_id = F.concat("rec_id", F.lit("b"), "n")
-    label = F.substring(F.get(piece, F.lit(0)), 5, 1_000_000_000)
+    label = F.substr(F.get(piece, F.lit(0)), F.lit(5))
     opening = F.array(
         F.concat(F.lit("#00 "), volume_id),
         F.concat(F.lit("#20u"), "parent_title"),

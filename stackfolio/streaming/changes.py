@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.changes import final_versions
 from ..session import scratch_path
-from ..sinks import current_version, read_snapshot, swap_snapshot
+from ..sinks import read_snapshot, swap_snapshot
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -39,24 +39,23 @@ def upsert_stream(log: DataFrame, root: str, name: str, key: str, version: str,
 
     A micro-batch is cut down to one row per id first (partial aggregate), then joined with the
     snapshot; the newer version wins even if it came earlier. Deleted ids stay as markers with their
-    version, so a late older put cannot bring them back. Each batch writes its own snapshot version, so
-    a repeated batch changes nothing. ``merge`` may join foreign records to the new rows.
+    version, so a late older put cannot bring them back. A repeated batch, or one of a new checkpoint,
+    is merged like any other: taking the newest version once more changes nothing. The target may have
+    been loaded before, with or without the ``_gone`` marker. ``merge`` may join foreign records to the
+    new rows.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = current_version(spark, root, name)
-        stamp = f"{batch_id:012d}"
-        if newest is not None and newest[0] >= stamp:
-            return
         last = final_versions(batch, key, version, op, delete)
         if merge is not None:
             last = merge(last)
         before = read_snapshot(spark, root, name)
         if before is not None:
-            both = before.unionByName(last)
+            missing = {c: F.lit(False if c == "_gone" else None).cast(last.schema[c].dataType) for c in last.columns if c not in before.columns}
+            both = before.withColumns(missing).unionByName(last) if missing else before.unionByName(last)
             rest = [c for c in both.columns if c != key]
             last = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row")).select(key, "_row.*")
-        swap_snapshot(last, root, name, stamp)
+        swap_snapshot(last, root, name)
 
     return (
         log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
 from stackfolio.operators import changes, lookup, order, scan, sets, tree
 from stackfolio.operators.reconcile import reconcile
 from stackfolio.operators.shape import vacuum
@@ -139,3 +140,61 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in live.collect()} == batch == {("a", 3, "A3"), ("c", 6, "C6"), ("d", 7, "D7")}
     ids = {r["id"] for r in replay_dedupe(spark, folder, schema, "id").collect()}
     assert ids == {"a", "b", "c", "d"}
+
+
+def test_paths_of_any_depth(spark):
+    """A chain of 1000 nodes has 1000 whole paths; circles and what hangs on them have themselves."""
+    from stackfolio.operators.tree import paths
+
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(1000)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "e")]
+    found = {r["id"]: r["path"] for r in paths(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    assert found["n999"] == [f"n{i}" for i in range(1000)]
+    assert all(len(found[f"n{i}"]) == i + 1 for i in range(1000))
+    assert all(found[x] == [x] for x in "abcde")
+
+
+def test_rebuild_keeps_all_values(spark):
+    from stackfolio.operators.shape import rebuild
+
+    triples = spark.createDataFrame([("1", "p", "b"), ("1", "p", "a"), ("2", "q", "x")], "s string, p string, o string")
+    assert {r["s"]: (r["p"], r["q"]) for r in rebuild(triples, ["p", "q"]).collect()} == {"1": (["a", "b"], []), "2": ([], ["x"])}
+
+
+def test_upserts_onto_a_loaded_base_and_with_a_new_checkpoint(spark, tmp_path):
+    from stackfolio.sinks import swap_snapshot
+
+    root, folder = str(tmp_path / "target"), str(tmp_path / "log")
+    swap_snapshot(spark.createDataFrame([("a", 1, "A1", "put"), ("z", 1, "Z1", "put")], SCHEMA), root, "t")
+    for n, part in enumerate(LOG):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        for _ in range(2):  # the second run repeats all batches under another checkpoint
+            state = str(tmp_path / f"state-{n}-{_}")
+            upsert_stream(read_log(spark, folder, schema, 1), root, "t", "id", "version", state).awaitTermination()
+    live = live_records(read_snapshot(spark, root, "t")).select("id", "version", "title")
+    assert {tuple(r) for r in live.collect()} == {("a", 3, "A3"), ("c", 6, "C6"), ("d", 7, "D7"), ("z", 1, "Z1")}
+
+
+@pytest.mark.parametrize("query", ["", "*", "+la -de", "la OR x", "d*", "la AND un", "-de", "la de", "un~", "-la OR d*"])
+def test_index_answers_as_the_scan(spark, query):
+    from stackfolio.operators import search
+
+    df = spark.createDataFrame([(1, "la vie de Un"), (2, "x y"), (3, "de"), (4, "La Un"), (5, "dada")], "id long, t string")
+    scan = {r["id"] for r in df.where(search.has_all_terms(F.col("t"), query)).collect()}
+    assert {r["rec_id"] for r in search.search_index(search.token_index(df, "id", "t"), query).collect()} == scan
+
+
+@pytest.mark.parametrize("query", ['"la vie"', "title:la", "(la OR de)"])
+def test_unsupported_queries_are_refused(query):
+    from stackfolio.operators.search import has_all_terms
+
+    with pytest.raises(ValueError):
+        has_all_terms(F.col("t"), query)
+
+
+def test_double_keys_do_not_multiply_rows(spark):
+    from stackfolio.operators.lookup import lookup
+
+    table = spark.createDataFrame([("a", "1", 0), ("a", "2", 1)], "k string, v string, o int")
+    df = spark.createDataFrame([("a",), ("b",)], "x string")
+    assert sorted(r["x"] for r in lookup(df, "x", table).collect()) == ["2", "b"]
