@@ -68,6 +68,11 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
+def class_of(s: np.ndarray) -> bytes:
+    """Name of the class of equal sets."""
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
@@ -130,7 +135,7 @@ def described(docs: DataFrame, words: int, percent: int, bits: int = SKETCH_BITS
             first = np.lexsort((s, level))[: n - -(-percent * n // 100) + 1 if n else 0]
             prefix = (s[first] >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
             ns.append(n)
-            cls.append(xxhash.xxh3_128_digest(s.tobytes()))
+            cls.append(class_of(s))
             gids.append(np.uint64(xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)).astype(np.int64))
             prefixes.append(prefix)
             heavy.append(level[first] > 0)
@@ -198,13 +203,10 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     docs = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("text_key"))
     rows = written(described(docs, words, percent), "ngram-rows")
     posts = written(shared_prefixes(rows), "ngram-prefixes")
-    members = written(
-        rows.where("n > 0").select("gid", "n", "cls", "text_key", "doc_id")
-        .join(posts.select("gid", "n").union(several_classes(rows)).distinct(), ["gid", "n"])
-        .groupBy("gid", "n", "cls").agg(F.min(F.struct("text_key", "doc_id")).alias("of")),
-        "ngram-members",
-    )
-    texts = written(class_texts(docs, members), "ngram-texts")
+    groups = posts.select("gid", "n").union(several_classes(rows)).distinct()
+    members = rows.where("n > 0").select("gid", "n", "cls").distinct().join(groups, ["gid", "n"], "left_semi")
+    members = written(members, "ngram-members")
+    texts = written(class_texts(docs, members, words), "ngram-texts")
 
     # every member against the leaders of its blocks, and the classes of a group against one of them
     first = members.groupBy("gid", "n").agg(F.min("cls").alias("first"))
@@ -258,18 +260,21 @@ def several_classes(rows: DataFrame) -> DataFrame:
     return rows.where("n > 0").groupBy("gid", "n").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("gid", "n")
 
 
-def class_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(cls, text) of one document of each class that may have a link, compressed before it is dealt out."""
-    wanted = members.where("n > 0").select("cls", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("id"))
-    found = docs.join(wanted, (docs["text_key"] == wanted["text_key"]) & docs["doc_id"].eqNullSafe(wanted["id"]))
+def class_texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(cls, text) of some document of each class that may have a link; the sets of a class are equal.
+
+    Texts are read again rather than joined to their class, so that each is dealt out once, compressed,
+    and copies within a task not at all.
+    """
 
     def press(batch: pa.RecordBatch) -> pa.RecordBatch:
         small = zstandard.ZstdCompressor(level=3)
-        texts = pa.array([small.compress(t) for t in texts_of(batch.column("text"))], pa.binary())
-        return pa.record_batch({"cls": batch.column("cls"), "text": texts})
+        texts = texts_of(batch.column("text"))
+        names = pa.array([class_of(shingles(t, words)) for t in texts], pa.binary())
+        return pa.record_batch({"cls": names, "text": pa.array([small.compress(t) for t in texts], pa.binary())})
 
-    pressed = found.select("cls", "text").mapInArrow(per_batch(press), "cls binary, text binary")
-    return pressed.dropDuplicates(["cls"])
+    pressed = docs.select("text").mapInArrow(per_batch(press), "cls binary, text binary")
+    return pressed.dropDuplicates(["cls"]).join(members.select("cls"), "cls", "left_semi")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
