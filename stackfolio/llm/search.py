@@ -101,7 +101,8 @@ class Index:
         rare = min(int(np.searchsorted(total, 8 * k + self.rows // 16, side="right")) + 1, len(known))
         partial = self.add(np.zeros(self.rows), known[:rare])
         some = np.flatnonzero(partial)
-        some = some[np.argsort(-partial[some], kind="stable")[: 2 * k]]
+        if len(some) > 2 * k:
+            some = some[np.argpartition(-partial[some], 2 * k)[: 2 * k]]
         first = self.exact(some, known)
         least = float(np.partition(first, len(first) - k)[len(first) - k]) if len(first) >= k else 0.0
         slack = 10.0**-DIGITS
@@ -116,7 +117,10 @@ class Index:
             rest[self.block[a:b]] += w * self.most[a:b]
         found = np.flatnonzero(partial)
         while True:
-            found = found[partial[found] + rest[found // BLOCK] >= least - slack]
+            sums = partial[found]
+            if len(found) >= k:  # sums only grow, so the k-th best so far is a threshold as well
+                least = max(least, float(np.partition(sums, len(sums) - k)[len(sums) - k]) - slack)
+            found = found[sums + rest[found // BLOCK] >= least - slack]
             if len(found) <= 8 * k or pivot >= len(known):
                 break
             # still many: some more lists, whose bounds are then known sums
