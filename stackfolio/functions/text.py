@@ -36,28 +36,63 @@ def without_nonsort(value: Column) -> Column:
     return F.regexp_replace(value, "<<|>>|¬", "")
 
 
+MARKS = "".join(map(chr, range(0x0300, 0x0370)))
+SYLLABLES = range(0xAC00, 0xD7A4)  # Hangul: two or three letters each
+
+
+def base_letters(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if c not in MARKS)
+
+
 @lru_cache(maxsize=1)
-def diacritic_table() -> tuple[str, str]:
-    """(from, to) for ``translate``: accented letters to base letters, then marks to be removed.
+def diacritic_tables() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decomposition without combining marks, of all of Unicode but the Hangul syllables.
 
-    Built from the Unicode decomposition of all accented Latin, Greek and Cyrillic letters.
+    (from, to) for ``translate``, characters and marks to be removed last; characters with longer bases.
     """
-    marks = "".join(map(chr, range(0x0300, 0x0370)))
-    source, target = [], []
-    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+    single, longer = {}, {}
+    for code in range(0xA0, 0x110000):
+        if code in SYLLABLES or 0xD800 <= code < 0xE000:
+            continue
         letter = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFKD", letter) if c not in marks)
-        if len(base) == 1 and base != letter and unicodedata.category(letter)[0] == "L":
-            source.append(letter)
-            target.append(base)
-    return "".join(source) + marks, "".join(target)
+        base = base_letters(letter)
+        if base != letter:
+            (single if len(base) <= 1 else longer)[letter] = base
+    source = sorted(single, key=lambda c: not single[c])
+    return "".join(source), "".join(single[c] for c in source), longer
+
+
+@lru_cache(maxsize=1)
+def syllable_tables() -> list[tuple[str, str]]:
+    """(from, to) for ``translate`` to the first, second and third letter; syllables of two letters last."""
+    parts = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in SYLLABLES}
+    source = sorted(parts, key=lambda c: -len(parts[c]))
+    return [("".join(source), "".join(parts[c][k : k + 1] for c in source)) for k in range(3)]
+
+
+def _longer_bases(value: Column) -> Column:
+    """Characters whose decomposition has several letters; all other text as it is."""
+    longer = diacritic_tables()[2]
+    group = "".join(longer)
+    # neither separator occurs in a decomposition
+    table = F.str_to_map(F.lit("\x02".join(f"{c}\x01{base}" for c, base in longer.items())), F.lit("\x02"), F.lit("\x01"))
+    syllable = F.lit(f"[{chr(SYLLABLES[0])}-{chr(SYLLABLES[-1])}]")
+    one = "|".join([f"[{group}]", f"[{chr(SYLLABLES[0])}-{chr(SYLLABLES[-1])}]", f"[^{group}{chr(SYLLABLES[0])}-{chr(SYLLABLES[-1])}]+"])
+
+    def spelled(part: Column) -> Column:
+        letters = F.concat(*[F.translate(part, source, target) for source, target in syllable_tables()])
+        return F.when(F.regexp(part, syllable), letters).otherwise(F.coalesce(F.element_at(table, part), part))
+
+    parts = F.transform(F.regexp_extract_all(value, F.lit(one), F.lit(0)), spelled)
+    has = value.rlike(f"[{group}{chr(SYLLABLES[0])}-{chr(SYLLABLES[-1])}]")
+    return F.when(has, F.array_join(parts, "")).otherwise(value)
 
 
 def strip_diacritics(value: Column) -> Column:
-    """Base letters only, but names with German umlauts stay as they are."""
-    source, target = diacritic_table()
+    """Base letters only (compatibility decomposition), but names with German umlauts stay as they are."""
+    source, target, _ = diacritic_tables()
     return F.when(F.lower(value).rlike("[äöü]|[aou]̈"), value).otherwise(
-        F.translate(value, source, target)
+        F.translate(_longer_bases(value), source, target)
     )
 
 

@@ -229,12 +229,9 @@ def audited_urls(t):
     return marc_links.audit_urls(t.pages.select("page_id", link.alias("link")), "link")
 
 
-_FROM, _TO = texts.diacritic_table()
-
-
-@query(f"""
-WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{{L}}]+')) AS name FROM documents),
-p AS (SELECT name, CASE WHEN regexp_matches(lower(name), '[äöü]') THEN name ELSE translate(name, '{_FROM}', '{_TO}') END AS plain FROM w)
+@query("""
+WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{L}]+')) AS name FROM documents),
+p AS (SELECT name, CASE WHEN regexp_matches(lower(name), '[äöü]') THEN name ELSE strip_accents(name) END AS plain FROM w)
 SELECT name, 'old; ' || plain AS variants FROM p WHERE plain <> name
 """)
 def ascii_variants(t):

@@ -1,5 +1,7 @@
 """Known single cases of value rules."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from stackfolio.plans.marc_agents import role_code
 NS = Namespaces()
 
 
-@pytest.mark.parametrize("raw, plain", [("Siée", "Siee"), ("Chajjâm", "Chajjam"), ("Haën", "Haen"), ("Köln", "Köln")])
+@pytest.mark.parametrize("raw, plain", [("Siée", "Siee"), ("Chajjâm", "Chajjam"), ("Haën", "Haen"), ("Köln", "Köln"),
+    ("ﬁnǄŉ²Ａ½ﷺé", "".join(c for c in unicodedata.normalize("NFKD", "ﬁnǄŉ²Ａ½ﷺé") if not "\u0300" <= c <= "\u036f")),
+    ("김각 𝐀x", unicodedata.normalize("NFKD", "김각 𝐀x")), ("", ""),
+])
 def test_strip_diacritics(one, raw, plain):
     assert one({"x": raw}, lambda X: text.strip_diacritics(X)) == plain
 
