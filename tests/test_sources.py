@@ -6,7 +6,7 @@ from stackfolio import sinks
 from stackfolio.functions.identifiers import AUTHORITY_ID
 from stackfolio.sources import (
     decode_tagged, marc_fields, mine_ids, parse_lookup, read_beacon, read_communes_csv, read_lookup, read_marcxml,
-    read_ndjson, read_register_csv, read_skos, read_tagged, rejected_lines,
+    read_ndjson, read_register_csv, read_skos, read_tagged, rejected_lines, unread_skos,
 )
 
 RHINE = (
@@ -144,6 +144,24 @@ def test_skos_file(spark, tmp_path):
     assert got == [("http://x/s#n1", 'Eins "A"', None, "ab1"), ("http://x/s#n11", "Elf", "http://x/s#n1", None)]
 
 
+def test_skos_statements_without_blank_lines(spark, tmp_path):
+    file = tmp_path / "v.ttl"
+    file.write_text(
+        '@prefix skos: <http://www.w3.org/2004/02/skos/core#> .\n# a "comment. <x\n'
+        '<http://x/s#a> a skos:Concept ; skos:prefLabel "A. B <c> . D"@de .\n'
+        '<http://x/s#b>\n  a skos:Concept ; skos:broader <http://x/s#a>, <http://x/s#c> ; skos:broader <http://x/s#d> .\n'
+        '<http://x/s#e> a skos:Concept . <http://x/s#f> a skos:Concept ; skos:notation "1.2" .\n'
+        'ex:g a skos:Concept .'
+    )
+    got = sorted((r["id"][-1], r["pref_label"], r["broader"], r["notation"], [b[-1] for b in r["all_broader"]]) for r in read_skos(spark, str(file)).collect())
+    assert got == [
+        ("a", "A. B <c> . D", None, None, []), ("b", None, "http://x/s#a", None, ["a", "c", "d"]),
+        ("e", None, None, None, []), ("f", None, None, "1.2", []),
+    ]
+    left = unread_skos(spark.read.text(str(file), wholetext=True)).collect()
+    assert [r["statement"].split()[0] for r in left] == ["ex:g"]
+
+
 def test_skos_written_and_read(spark, tmp_path):
     nodes = spark.createDataFrame(
         [(None, "http://x/s#n1", 'Eins "A"', "1"), ("http://x/s#n1", "http://x/s#n11", "Elf", "11")],
