@@ -55,16 +55,17 @@ def sibling_key(first_id: Column, node: Column, label: Column) -> Column:
 def sort_siblings(nodes: DataFrame, parent: str = "parent", id_col: str = "id", label: str = "label") -> DataFrame:
     """Tree nodes in display order: top level by id, children of each parent by their rule.
 
-    The rule of a parent comes from a partial-combining minimum, and one global sort by (parent, key)
-    spreads even a parent with very many children over many tasks.
+    One global sort by (parent, key) spreads even a parent with very many children over many tasks.
     """
+    keyed = with_sibling_key(nodes, parent, id_col, label)
+    return keyed.orderBy(F.asc_nulls_first(parent), "_key", id_col).select(*nodes.columns)
+
+
+def with_sibling_key(nodes: DataFrame, parent: str = "parent", id_col: str = "id", label: str = "label") -> DataFrame:
+    """``_key``: place of a node among its siblings. The rule of a parent comes from a partial-combining minimum."""
     named = nodes.withColumn("_node", sortkeys.node_id(F.col(id_col)))
     first = named.groupBy(F.col(parent).alias("_p")).agg(F.min("_node").alias("_first"))
     joined = named.join(first, F.col(parent).eqNullSafe(F.col("_p")), "left")
     key = sibling_key(F.col("_first"), F.col("_node"), F.col(label))
     top = F.struct(sortkeys.german(F.col("_node")).alias("text"), F.col("_node").alias("node"))
-    return (
-        joined.withColumn("_key", F.when(F.col(parent).isNull(), top).otherwise(key))
-        .orderBy(F.asc_nulls_first(parent), "_key", id_col)
-        .select(*nodes.columns)
-    )
+    return joined.withColumn("_key", F.when(F.col(parent).isNull(), top).otherwise(key)).select(*nodes.columns, "_key")

@@ -126,7 +126,11 @@ def tree_from_codes(communes: DataFrame, base: str = "") -> DataFrame:
 
 def register(concepts: DataFrame, label: str = "pref_label") -> DataFrame:
     """Flat alphabetical list, district numerals in numeric order."""
-    return concepts.where(F.col(label).isNotNull()).orderBy(sortkeys.district(F.col(label)), label, "id")
+    return concepts.where(F.col(label).isNotNull()).orderBy(*register_order(label))
+
+
+def register_order(label: str = "pref_label") -> list[Column]:
+    return [sortkeys.district(F.col(label)).asc(), F.asc(label), F.asc("id")]
 
 
 def orphans(tree: DataFrame) -> DataFrame:

@@ -162,12 +162,14 @@ def newest_hits(t):
 
 
 @query("""
+WITH n AS (
 SELECT 'n' || n_regionkey AS parent, 'x#n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id, n_name AS label FROM nation
 UNION ALL SELECT NULL, 'x#n' || r_regionkey, r_name FROM region
-UNION ALL SELECT 'n' || c_nationkey || 'c', 'x#n' || c_custkey || 'c', c_name FROM customer
+UNION ALL SELECT 'n' || c_nationkey || 'c', 'x#n' || c_custkey || 'c', c_name FROM customer)
+SELECT parent, id, label, row_number() OVER (ORDER BY parent NULLS FIRST, CASE WHEN parent LIKE '%c' THEN label ELSE substr(id, 4) END COLLATE de, id) AS rank FROM n
 """)
 def siblings_in_order(t):
-    """Nations under regions (sorted by id), customers under nations (sorted by name); the rows only."""
+    """Nations under regions (sorted by id), customers under nations (sorted by name)."""
     nations = t.nation.select(
         text("n", "n_regionkey").alias("parent"), F.concat(F.lit("x#n"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("id"), F.col("n_name").alias("label")
     )
@@ -175,4 +177,5 @@ def siblings_in_order(t):
     customers = t.customer.select(
         F.concat(F.lit("n"), "c_nationkey", F.lit("c")).alias("parent"), F.concat(F.lit("x#n"), "c_custkey", F.lit("c")).alias("id"), F.col("c_name").alias("label")
     )
-    return order.sort_siblings(nations.unionByName(regions).unionByName(customers))
+    rows = order.with_sibling_key(nations.unionByName(regions).unionByName(customers))
+    return scan.ranked(rows, [], [F.asc_nulls_first("parent"), F.asc("_key"), F.asc("id")]).drop("_key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, sets, tree
+from ..operators import aggregates, scan, sets, tree
 from .bindings import TREE, concepts, text
 from .registry import query
 
@@ -87,10 +87,12 @@ def code_tree(t):
 
 
 @query("""
-SELECT 'c' || c_custkey AS notation, c_name AS label FROM customer UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region
+WITH c AS (SELECT 'c' || c_custkey AS notation, c_name AS label FROM customer UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region)
+SELECT notation, label, row_number() OVER (ORDER BY label COLLATE de, label, notation) AS rank FROM c
 """)
 def concept_register(t):
-    return tree.register(concepts(t)).select("notation", F.col("pref_label").alias("label"))
+    rows = tree.register(concepts(t)).select("id", "notation", "pref_label")
+    return scan.ranked(rows, [], tree.register_order()).select("notation", F.col("pref_label").alias("label"), "rank")
 
 
 @query("""
