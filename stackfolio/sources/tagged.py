@@ -21,8 +21,18 @@ def read_lines(spark: SparkSession, path: str, charset: str = "IBM437") -> DataF
     lines = spark.read.text(path)
     if charset.upper() in ("UTF-8", "UTF8"):
         return lines
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return lines.select(F.decode(F.col("value").cast("binary"), charset).alias("value"))
+    return lines.select(_decoded(F.col("value").cast("binary"), charset).alias("value"))
+
+
+def _decoded(value: Column, charset: str) -> Column:
+    """Text of bytes. A charset of single bytes is read as Latin-1 and translated by its table of 256
+    characters; others must be known to Spark's ``decode``."""
+    table = bytes(range(256)).decode(charset, "replace")
+    if len(table) != 256:
+        return F.decode(value, charset)
+    pairs = [(chr(code), letter) for code, letter in enumerate(table) if chr(code) != letter]
+    source, target = ("".join(side) for side in zip(*pairs)) if pairs else ("", "")
+    return F.translate(F.decode(value, "ISO-8859-1"), source, target)
 
 
 def _segments(line: Column) -> Column:

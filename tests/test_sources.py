@@ -1,12 +1,13 @@
 """Sources and sinks on small files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from stackfolio import sinks
 from stackfolio.functions.identifiers import AUTHORITY_ID
 from stackfolio.sources import (
-    decode_tagged, marc_fields, mine_ids, parse_lookup, read_beacon, read_communes_csv, read_lookup, read_marcxml,
-    read_ndjson, read_register_csv, read_skos, read_tagged, rejected_lines, unread_skos,
+    decode_tagged, marc_fields, mine_ids, parse_lookup, read_beacon, read_communes_csv, read_lines, read_lookup,
+    read_marcxml, read_ndjson, read_register_csv, read_skos, read_tagged, rejected_lines, unread_skos,
 )
 
 RHINE = (
@@ -221,3 +222,12 @@ def test_snapshots(spark, tmp_path):
     sinks.swap_snapshot(spark.range(3), root, "s")
     sinks.swap_snapshot(spark.range(5), root, "s")
     assert sinks.read_snapshot(spark, root, "s").count() == 5
+
+
+@pytest.mark.parametrize("charset", ["IBM437", "cp850", "ISO-8859-1", "cp1250"])
+def test_lines_of_a_legacy_charset(spark, tmp_path, charset):
+    line = "".join(c for c in bytes(range(32, 256)).decode(charset, "ignore") if c not in "\x85")
+    (tmp_path / "l.txt").write_bytes(line.encode(charset) + b"\nx\n")
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    assert [r["value"] for r in read_lines(spark, str(tmp_path / "l.txt"), charset).collect()] == [line, "x"]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
