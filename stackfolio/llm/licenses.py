@@ -1,7 +1,8 @@
 """License scans: ordered signature rules.
 
 A rule is a regular expression over the words of a text (lower case, one space between words). Its
-keyword is looked for first; only rules whose keyword is there run. Hits are taken by priority, then
+keywords are looked for first, and every text that the rule hits has one of them; only rules with a
+keyword that is there run. Hits are taken by priority, then
 longest first; a hit that lies inside one already taken is dropped. The rules are made from a table
 of families and one of forms, some three hundred in all.
 
@@ -24,54 +25,55 @@ from .base import per_batch, prepare, texts_of, with_columns
 # Phrases that the scan always reports, each of their places counted.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Family: label, its name as an expression, its short identifier as words, keyword.
+# Family: label, its name as an expression, its short identifier as words, keywords of the name: each
+# text of the expression has one of them. The keyword of the identifier is the identifier.
 FAMILIES = (
-    ("mit", r"(?:mit|expat|x11)", "mit", "mit"),
-    ("mit-0", r"mit no attribution", "mit 0", "mit"),
-    ("apache-1.1", r"apache(?: software)?(?: license)? version 1 1", "apache 1 1", "apache"),
-    ("apache-2", r"(?:asl|apache(?: software)?(?: license)?)(?: version| v)? ?2(?: 0)?", "apache 2 0", "apache"),
-    ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause", "bsd"),
-    ("bsd-3-clause", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd 3 clause", "bsd"),
-    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd 4 clause", "bsd"),
-    ("bsd-zero", r"(?:zero clause bsd|0bsd)", "0bsd", "bsd"),
-    ("isc", r"isc", "isc", "isc"),
-    ("zlib", r"zlib(?: libpng)?", "zlib", "zlib"),
-    ("boost", r"boost software(?: license)?", "bsl 1 0", "boost"),
-    ("unlicense", r"unlicense", "unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", "wtfpl", "wtfpl"),
-    ("gpl-1", r"(?:gpl|gnu general public license)(?: version| v)? ?1(?: 0)?", "gpl 1 0", "g"),
-    ("gpl-2", r"(?:gpl|gnu general public license)(?: version| v)? ?2(?: 0)?", "gpl 2 0", "g"),
-    ("gpl-3", r"(?:gpl|gnu general public license)(?: version| v)? ?3(?: 0)?", "gpl 3 0", "g"),
-    ("lgpl-2.0", r"(?:lgpl|gnu (?:library|lesser) general public license)(?: version| v)? ?2(?: 0)?", "lgpl 2 0", "g"),
-    ("lgpl-2.1", r"(?:lgpl|gnu lesser general public license)(?: version| v)? ?2 1", "lgpl 2 1", "g"),
-    ("lgpl-3", r"(?:lgpl|gnu lesser general public license)(?: version| v)? ?3(?: 0)?", "lgpl 3 0", "g"),
-    ("agpl-3", r"(?:agpl|gnu affero general public license)(?: version| v)? ?3(?: 0)?", "agpl 3 0", "g"),
-    ("gfdl", r"(?:gfdl|gnu free documentation)(?: version)?(?: 1 [0-3])?", "gfdl 1 3", "documentation"),
-    ("mpl-1.1", r"mozilla public(?: license)?(?: version| v)? ?1 1", "mpl 1 1", "mozilla"),
-    ("mpl-2", r"mozilla public(?: license)?(?: version| v)? ?2(?: 0)?", "mpl 2 0", "mozilla"),
-    ("epl-1", r"eclipse public(?: license)?(?: version| v)? ?1(?: 0)?", "epl 1 0", "eclipse"),
-    ("epl-2", r"eclipse public(?: license)?(?: version| v)? ?2(?: 0)?", "epl 2 0", "eclipse"),
-    ("eupl", r"european union public(?: license)?(?: v(?:ersion)? ?1 [0-2])?", "eupl 1 2", "european"),
-    ("cddl", r"common development and distribution(?: license)?(?: version)?(?: 1 [01])?", "cddl 1 0", "distribution"),
-    ("cpl", r"common public(?: license)?(?: version)? 1 0", "cpl 1 0", "common"),
-    ("artistic-1", r"artistic(?: license)? 1 0", "artistic 1 0", "artistic"),
-    ("artistic-2", r"artistic(?: license)? 2 0", "artistic 2 0", "artistic"),
-    ("python", r"(?:python software foundation|psf)", "python 2 0", "p"),
-    ("postgresql", r"postgresql", "postgresql", "postgresql"),
-    ("ofl", r"(?:sil open font|ofl)(?: license)?(?: version)?(?: 1 1)?", "ofl 1 1", "o"),
-    ("ms-pl", r"microsoft public", "ms pl", "microsoft"),
-    ("ms-rl", r"microsoft reciprocal", "ms rl", "microsoft"),
-    ("upl", r"universal permissive", "upl 1 0", "universal"),
-    ("odbl", r"(?:open database|odbl)", "odbl 1 0", "database"),
-    ("odc-by", r"open data commons attribution", "odc by 1 0", "commons"),
-    ("cc0", r"(?:cc0|creative commons zero)", "cc0 1 0", "c"),
-    ("cc-by", r"(?:cc by|creative commons attribution)", "cc by 4 0", "c"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "cc by sa 4 0", "c"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "cc by nd 4 0", "c"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "cc by nc 4 0", "c"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by nc sa 4 0", "c"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "cc by nc nd 4 0", "c"),
-    ("public-domain", r"public domain", "public domain", "domain"),
+    ("mit", r"(?:mit|expat|x11)", "mit", ("mit", "expat", "x11")),
+    ("mit-0", r"mit no attribution", "mit 0", ("mit no attribution",)),
+    ("apache-1.1", r"apache(?: software)?(?: license)? version 1 1", "apache 1 1", ("apache",)),
+    ("apache-2", r"(?:asl|apache(?: software)?(?: license)?)(?: version| v)? ?2(?: 0)?", "apache 2 0", ("apache", "asl")),
+    ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause", ("bsd",)),
+    ("bsd-3-clause", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd 3 clause", ("bsd",)),
+    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd 4 clause", ("bsd",)),
+    ("bsd-zero", r"(?:zero clause bsd|0bsd)", "0bsd", ("bsd",)),
+    ("isc", r"isc", "isc", (" isc ",)),
+    ("zlib", r"zlib(?: libpng)?", "zlib", ("zlib",)),
+    ("boost", r"boost software(?: license)?", "bsl 1 0", ("boost software",)),
+    ("unlicense", r"unlicense", "unlicense", ("unlicense",)),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", "wtfpl", ("wtfpl", "do what the fuck")),
+    ("gpl-1", r"(?:gpl|gnu general public license)(?: version| v)? ?1(?: 0)?", "gpl 1 0", (" gpl", "gnu general public")),
+    ("gpl-2", r"(?:gpl|gnu general public license)(?: version| v)? ?2(?: 0)?", "gpl 2 0", (" gpl", "gnu general public")),
+    ("gpl-3", r"(?:gpl|gnu general public license)(?: version| v)? ?3(?: 0)?", "gpl 3 0", (" gpl", "gnu general public")),
+    ("lgpl-2.0", r"(?:lgpl|gnu (?:library|lesser) general public license)(?: version| v)? ?2(?: 0)?", "lgpl 2 0", ("lgpl", "gnu library general", "gnu lesser general")),
+    ("lgpl-2.1", r"(?:lgpl|gnu lesser general public license)(?: version| v)? ?2 1", "lgpl 2 1", ("lgpl", "gnu lesser general")),
+    ("lgpl-3", r"(?:lgpl|gnu lesser general public license)(?: version| v)? ?3(?: 0)?", "lgpl 3 0", ("lgpl", "gnu lesser general")),
+    ("agpl-3", r"(?:agpl|gnu affero general public license)(?: version| v)? ?3(?: 0)?", "agpl 3 0", ("agpl", "gnu affero")),
+    ("gfdl", r"(?:gfdl|gnu free documentation)(?: version)?(?: 1 [0-3])?", "gfdl 1 3", ("gfdl", "gnu free documentation")),
+    ("mpl-1.1", r"mozilla public(?: license)?(?: version| v)? ?1 1", "mpl 1 1", ("mozilla public",)),
+    ("mpl-2", r"mozilla public(?: license)?(?: version| v)? ?2(?: 0)?", "mpl 2 0", ("mozilla public",)),
+    ("epl-1", r"eclipse public(?: license)?(?: version| v)? ?1(?: 0)?", "epl 1 0", ("eclipse public",)),
+    ("epl-2", r"eclipse public(?: license)?(?: version| v)? ?2(?: 0)?", "epl 2 0", ("eclipse public",)),
+    ("eupl", r"european union public(?: license)?(?: v(?:ersion)? ?1 [0-2])?", "eupl 1 2", ("european union public",)),
+    ("cddl", r"common development and distribution(?: license)?(?: version)?(?: 1 [01])?", "cddl 1 0", ("common development and distribution",)),
+    ("cpl", r"common public(?: license)?(?: version)? 1 0", "cpl 1 0", ("common public",)),
+    ("artistic-1", r"artistic(?: license)? 1 0", "artistic 1 0", ("artistic",)),
+    ("artistic-2", r"artistic(?: license)? 2 0", "artistic 2 0", ("artistic",)),
+    ("python", r"(?:python software foundation|psf)", "python 2 0", ("python software foundation", "psf")),
+    ("postgresql", r"postgresql", "postgresql", ("postgresql",)),
+    ("ofl", r"(?:sil open font|ofl)(?: license)?(?: version)?(?: 1 1)?", "ofl 1 1", ("sil open font", "ofl")),
+    ("ms-pl", r"microsoft public", "ms pl", ("microsoft public",)),
+    ("ms-rl", r"microsoft reciprocal", "ms rl", ("microsoft reciprocal",)),
+    ("upl", r"universal permissive", "upl 1 0", ("universal permissive",)),
+    ("odbl", r"(?:open database|odbl)", "odbl 1 0", ("open database", "odbl")),
+    ("odc-by", r"open data commons attribution", "odc by 1 0", ("open data commons",)),
+    ("cc0", r"(?:cc0|creative commons zero)", "cc0 1 0", ("cc0", "creative commons zero")),
+    ("cc-by", r"(?:cc by|creative commons attribution)", "cc by 4 0", ("cc by", "creative commons attribution")),
+    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "cc by sa 4 0", ("cc by sa", "creative commons attribution")),
+    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "cc by nd 4 0", ("cc by nd", "creative commons attribution")),
+    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "cc by nc 4 0", ("cc by nc", "creative commons attribution")),
+    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by nc sa 4 0", ("cc by nc", "creative commons attribution")),
+    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "cc by nc nd 4 0", ("cc by nc", "creative commons attribution")),
+    ("public-domain", r"public domain", "public domain", ("public domain",)),
 )
 
 # Form: priority (smaller first), score, expression around {name} or {id}.
@@ -93,23 +95,41 @@ WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     priority: int
     score: float
     pattern: re.Pattern
 
 
+def rule(label: str, keywords: tuple[str, ...], priority: int, score: float, expression: str) -> Rule:
+    # a space stands on both sides of the words, and a hit is whole words
+    return Rule(label, tuple(k.encode() for k in keywords), priority, score, re.compile(f"(?<= )(?:{expression})(?= )".encode()))
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     made = []
-    for label, name, short, keyword in FAMILIES:
+    for label, name, short, keywords in FAMILIES:
         for priority, score, form in FORMS:
             expression = form.replace("{name}", name).replace("{id}", short)
-            # a space stands on both sides of the words, and a hit is whole words
-            made.append(Rule(label, keyword.encode(), priority, score, re.compile(f"(?<= )(?:{expression})(?= )".encode())))
+            made.append(rule(label, keywords if "{name}" in form else (short,), priority, score, expression))
     return tuple(sorted(made, key=lambda r: r.priority))
 
 
+@cache
+def all_keywords() -> frozenset[bytes]:
+    return frozenset(k for r in rules() for k in r.keywords)
+
+
+def hits_of(words: bytes) -> list[tuple[int, int, int, str, float]]:
+    """(priority, start, end, label, score) of all rules; the words have a space on both sides."""
+    if not any(g in words for g in GATES):
+        return []
+    present = {k for k in all_keywords() if k in words}
+    found = (r for r in rules() if not present.isdisjoint(r.keywords))
+    return [(r.priority, m.start(), m.end(), r.label, r.score) for r in found for m in r.pattern.finditer(words)]
+
+
 def taken(hits: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
     """Of (priority, start, end, label, score): those not contained in an earlier taken one."""
     kept: list = []
@@ -138,13 +158,7 @@ def scan(text: bytes) -> tuple:
     base = {label: places(words, phrase.encode()) for phrase, label in BASE}
     starts = sorted(x for v in base.values() for x in v)
     named = sorted({label for label, v in base.items() if v})
-    hits = []
-    if any(g in words for g in GATES):
-        present = {k for k in {r.keyword for r in rules()} if k in words}
-        for r in rules():
-            if r.keyword in present:
-                hits += [(r.priority, m.start(), m.end(), r.label, r.score) for m in r.pattern.finditer(words)]
-    hits = taken(hits)
+    hits = taken(hits_of(words))
     labels = sorted({*named, *(h[3] for h in hits)})
     score = max([0.0, *(h[4] for h in hits), *([0.9] if starts else [])])
     spans = [{"label": h[3], "start": words.count(b" ", 0, h[1]) - 1, "words": words.count(b" ", h[1], h[2]) + 1} for h in sorted(hits, key=lambda h: h[1])]

@@ -264,6 +264,58 @@ def test_licenses(spark, none):
     assert len(licenses.rules()) > 300 and licenses.license_scan(none).count() == 0
 
 
+def expansions(expression):
+    """All texts of an expression of literals, groups, classes and optional parts."""
+    from re import _constants as c, _parser
+
+    def of(tree):
+        texts = [""]
+        for kind, value in tree:
+            if kind is c.LITERAL:
+                more = [chr(value)]
+            elif kind is c.IN:
+                more = [chr(x) for k, v in value for x in ([v] if k is c.LITERAL else range(v[0], v[1] + 1))]
+            elif kind is c.BRANCH:
+                more = [t for branch in value[1] for t in of(branch)]
+            elif kind is c.SUBPATTERN:
+                more = of(value[-1])
+            elif kind in (c.ASSERT, c.ASSERT_NOT):
+                more = [""]
+            else:
+                assert kind in (c.MAX_REPEAT, c.POSSESSIVE_REPEAT) and value[:2] == (0, 1), kind
+                more = ["", *of(value[2])]
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return of(_parser.parse(expression))
+
+
+@pytest.mark.parametrize("label", sorted({r.label for r in licenses.rules()}))
+def test_no_license_rule_is_skipped(label):
+    """Each rule hits its own words alone: the gates and keywords let all of its texts through."""
+    for r in (r for r in licenses.rules() if r.label == label):
+        texts = [b" " + t.encode() + b" " for t in expansions(r.pattern.pattern.decode())]
+        texts = [t for t in texts if (m := r.pattern.search(t)) and len(m[0]) == len(t) - 2]
+        assert texts
+        for t in texts:
+            assert any(g in t for g in licenses.GATES) and any(k in t for k in r.keywords), (r, t)
+        for t in texts[:: max(1, len(texts) // 10)]:
+            assert (r.priority, 1, len(t) - 1, label, r.score) in licenses.hits_of(t), (r, t)
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("SPDX-License-Identifier: EPL-2.0", "epl-2"),
+        ("SPDX-License-Identifier: BSL-1.0", "boost"), ("SPDX-License-Identifier: MS-PL", "ms-pl"),
+        ("licensed under ASL 2.0", "apache-2"), ("released under the Expat license", "mit"),
+        ("Do What The Fuck You Want To Public License", "wtfpl"), ("opensource.org/licenses/UPL-1.0", "upl"),
+    ],
+)
+def test_license_keywords(text, labels):
+    assert licenses.scan(text.encode())[5] == labels
+
+
 def test_contained_hits_go():
     hits = [(2, 0, 30, "long", 1.0), (1, 5, 20, "first", 1.0), (3, 6, 10, "inner", 1.0), (3, 25, 40, "over", 1.0)]
     assert [h[3] for h in licenses.taken(hits)] == ["first", "long", "over"]
