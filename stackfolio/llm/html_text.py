@@ -6,7 +6,7 @@ the tree is laid out as text: blocks on lines of their own, blank lines around p
 lists and tables, markers before list items, table columns aligned.
 
 Cases: a null or empty page gives an empty text; a tag that is never closed by > is dropped with all
-after it, as browsers do; elements nested deeper than ``DEPTH`` are laid out at that depth (their text
+after it, as browsers do; stray quotes in a tag end with it at its >; elements nested deeper than ``DEPTH`` are laid out at that depth (their text
 stays); columns are aligned up to ``CELL`` characters, longer cells stand as they are; repeated rows are
 rendered each; input columns named like the result give way.
 """
@@ -49,8 +49,10 @@ IMPLIED = {
 HEAD_ONLY = frozenset("base link meta script style title template noscript head html".split())
 SCOPE = frozenset("table td th caption html".split())
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]++))?""")
+# a quote opens a value right after = only, and if it is closed; elsewhere it is part of a name or value
+ONE = r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*"|'[^']*'|[^ \t\n\r\f>]*+))?+"""
+ATTRIBUTE = re.compile(ONE)
+TAG = re.compile(rf"""<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{ONE})*+)>""")
 CONCEALED = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -65,7 +67,9 @@ class Node:
 def attributes_of(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), entities.unescape(value.strip("\"'")))
+        if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+            value = value[1:-1]
+        found.setdefault(name.lower(), entities.unescape(value))
     return found
 
 

@@ -380,6 +380,21 @@ def test_html(page, text):
     assert html_text.rendered(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p class="a"">one</p><p>two</p>', "one\n\ntwo"),
+        ("<a title=Bob's>one</a><p>two</p>", "one\n\ntwo"),
+        ("<a title=Bob's>one</a><p title='x'>two</p>", "one\n\ntwo"),
+        ("<p title='a > b' \">one</p \"><p x='a'y=\"b\">two</p>", "one\n\ntwo"),
+        ('<a href="x>one</a><p>two</p>', "one\n\ntwo"),
+        ("<a href=>one</a><img alt = 'a\"b'/><input value=Bob's' / =>", "onea\"bBob's'"),
+    ],
+)
+def test_html_malformed_tags(page, text):
+    assert html_text.rendered(page) == text
+
+
 def test_html_keeps_all_visible_words(spark):
     """Against a reader that only knows which elements are hidden."""
     from html.parser import HTMLParser
