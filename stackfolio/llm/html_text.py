@@ -6,8 +6,8 @@ the tree is laid out as text: blocks on lines of their own, blank lines around p
 lists and tables, markers before list items, table columns aligned.
 
 Cases: a null or empty page gives an empty text; a tag that is never closed by > is dropped with all
-after it, as browsers do; stray quotes in a tag end with it at its >; elements nested deeper than ``DEPTH`` are laid out at that depth (their text
-stays); columns are aligned up to ``CELL`` characters, longer cells stand as they are; repeated rows are
+after it, as browsers do; stray quotes in a tag end with it at its >; elements may be nested to any depth: the tree is built and laid
+out with a stack of its own, not by recursion; columns are aligned up to ``CELL`` characters, longer cells stand as they are; repeated rows are
 rendered each; input columns named like the result give way.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,6 @@ from pyspark.sql import types as T
 
 from .base import per_batch, prepare, texts_of, with_columns
 
-DEPTH = 150
 CELL = 40
 
 # Element kinds of the HTML standard.
@@ -48,6 +48,7 @@ IMPLIED = {
 }
 HEAD_ONLY = frozenset("base link meta script style title template noscript head html".split())
 SCOPE = frozenset("table td th caption html".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot".split())
 
 # a quote opens a value right after = only, and if it is closed; elsewhere it is part of a name or value
 ONE = r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*"|'[^']*'|[^ \t\n\r\f>]*+))?+"""
@@ -79,6 +80,20 @@ class Builder:
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # of the open elements but the root, by name
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, size: int) -> None:
+        """Ends open elements until ``size`` are left."""
+        while len(self.open) > size:
+            self.places[self.open.pop().name].pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost open element with one of the names, 0 if there is none."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
 
     def text(self, data: str) -> None:
         if data:
@@ -87,21 +102,12 @@ class Builder:
             self.open[-1].children.append(data)
 
     def close_to(self, name: str) -> None:
-        while self.open[-1].name != name:
-            self.open.pop()
-        if len(self.open) > 1:
-            self.open.pop()
+        self.cut(max(1, self.last((name,))))
 
     def end_implied(self, names, stops) -> None:
-        for node in reversed(self.open[1:]):
-            if node.name in names:
-                at = next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i] is node)
-                del self.open[at:]
-                # a row ends its cells, a section its rows: look once more
-                return self.end_implied(names, stops)
-            if node.name in stops:
-                return None
-        return None
+        # a row ends its cells, a section its rows: look again after each
+        while (at := self.last(names)) > self.last(stops):
+            self.cut(at)
 
     def start(self, name: str, source: str) -> None:
         if name in ("html", "body"):
@@ -114,21 +120,17 @@ class Builder:
             self.end_implied(*IMPLIED[name])
         node = Node(name, attributes_of(source) if source else {})
         self.open[-1].children.append(node)
-        if name not in VOID and len(self.open) < DEPTH:
-            self.open.append(node)
+        if name not in VOID:
+            self.push(node)
 
     def end(self, name: str) -> None:
-        if name in ("br", "p") and not any(n.name == name for n in self.open):
+        at = self.last((name,))
+        if not at and name in ("br", "p"):
             self.start(name, "")  # as browsers do with a lone </br> or </p>
             if name == "p":
-                self.open.pop()
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == name:
-                del self.open[i:]
-                return
-            if self.open[i].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                return
+                self.cut(len(self.open) - 1)
+        elif at and (name in TABLE_PARTS or at >= self.last(SCOPE)):
+            self.cut(at)
 
     def read(self, page: str) -> Node:
         at, lower = 0, None
@@ -164,7 +166,7 @@ class Builder:
                 end = len(page) if end < 0 else end
                 raw = page[at:end]
                 self.text(entities.unescape(raw) if name in ("title", "textarea") else raw)
-                self.open.pop()
+                self.cut(len(self.open) - 1)
                 at = page.find(">", end) + 1 or len(page)
         return self.root
 
@@ -176,8 +178,21 @@ def shown(node: Node) -> bool:
     return not (node.name == "input" and a.get("type", "").lower() == "hidden") and not CONCEALED.search(a.get("style", ""))
 
 
+def done(steps: Generator):
+    """Result of a generator; what it yields are generators, whose results it gets."""
+    stack, result = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
 class Layout:
-    """Lines of one flow: the page, or a table cell."""
+    """Lines of one flow: the page, or a table cell. What goes down the tree is a generator for ``done``."""
 
     def __init__(self):
         self.lines: list[str] = []
@@ -225,7 +240,7 @@ class Layout:
         elif self.lines and self.lines[-1]:
             self.lines.append("")
 
-    def children(self, node: Node, pre: bool = False) -> None:
+    def children(self, node: Node, pre: bool = False) -> Generator:
         number = 0
         if node.name == "ol":
             start = node.attributes.get("start", "")
@@ -240,9 +255,9 @@ class Layout:
             elif shown(child):
                 if child.name == "li":
                     number += 1
-                self.node(child, pre, f"{number}. " if node.name == "ol" else "- ")
+                yield self.node(child, pre, f"{number}. " if node.name == "ol" else "- ")
 
-    def node(self, node: Node, pre: bool, marker: str) -> None:
+    def node(self, node: Node, pre: bool, marker: str) -> Generator:
         name = node.name
         if name == "br":
             self.hard_break()
@@ -257,12 +272,12 @@ class Layout:
                 self.write(node.attributes.get("value", ""))
         elif name == "table":
             self.gap(True)
-            for line in table_lines(node):
+            for line in (yield table_lines(node)):
                 self.line.append(line)
                 self.flush()
             self.gap(True)
         elif name not in BLOCKS:
-            self.children(node, pre or name in ("textarea", "xmp"))
+            yield self.children(node, pre or name in ("textarea", "xmp"))
         else:
             nested = name in ("ul", "ol", "dl", "menu", "dir") and self.indent > 0
             self.gap(name in SPACED and not nested)
@@ -270,7 +285,7 @@ class Layout:
             self.indent += step
             if name == "li":
                 self.marker = marker
-            self.children(node, pre or name == "pre")
+            yield self.children(node, pre or name == "pre")
             self.flush()
             if name == "li":
                 self.marker = ""
@@ -285,14 +300,14 @@ class Layout:
         return lines
 
 
-def table_lines(table: Node) -> list[str]:
+def table_lines(table: Node) -> Generator:
     """Caption and other text first, then a line per row with its cells in columns."""
     before = Layout()
-    rows = table_rows(table, before)
+    rows = yield table_rows(table, before)
     return before.result() + aligned([cells for _, cells in rows])
 
 
-def table_rows(node: Node, before: Layout) -> list[tuple[Node, list]]:
+def table_rows(node: Node, before: Layout) -> Generator:
     """(row element, cells) of the rows under a table, section or row; other text goes to ``before``."""
     rows: list = []
     for child in node.children:
@@ -300,16 +315,16 @@ def table_rows(node: Node, before: Layout) -> list[tuple[Node, list]]:
             before.write(child)
         elif shown(child) and child.name in ("td", "th"):
             cell = Layout()
-            cell.children(child)
+            yield cell.children(child)
             if not rows or rows[-1][0] is not node:
                 rows.append((node, []))
             span = child.attributes.get("colspan", "1")
             text = " ".join(x.strip() for x in cell.result() if x.strip())
             rows[-1][1].append((text, min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,8}", span) else 1))
         elif shown(child) and child.name in ("tr", "thead", "tbody", "tfoot"):
-            rows += table_rows(child, before)
+            rows += yield table_rows(child, before)
         elif shown(child):
-            before.node(child, False, "- ")
+            yield before.node(child, False, "- ")
     return rows
 
 
@@ -335,7 +350,7 @@ def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
 
 def rendered(page: str) -> str:
     layout = Layout()
-    layout.children(Builder().read(page))
+    done(layout.children(Builder().read(page)))
     return "\n".join(layout.result())
 
 

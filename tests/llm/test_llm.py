@@ -395,6 +395,24 @@ def test_html_malformed_tags(page, text):
     assert html_text.rendered(page) == text
 
 
+@pytest.mark.parametrize("depth", [500, 20_000])
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<div hidden>no<div>no</div></div><script>no('</p>')</script><style>no</style>yes", "yes"),
+        ("<ul><li>a<li>b<ol><li>c</ol></ul>", "- a\n- b\n  1. c"),
+        ("<table><tr><th>x<th>yyy<tr><td>long cell<td>2</table>", "x          yyy\nlong cell  2"),
+        ("<pre>  a\n    b</pre>", "  a\n    b"),
+        ("a<p>b</p></div>c", "a\n\nb\n\nc"),
+    ],
+)
+def test_html_depth(depth, inner, text):
+    assert html_text.rendered("<div>" * depth + inner + "</div>" * depth) == text
+    assert html_text.rendered("<div><span>" * depth + inner + "</span></div>" * depth) == text
+    table = "<table><tr><td>" * (depth // 100) + "<b hidden>no</b>yes" + "</table>" * (depth // 100)
+    assert html_text.rendered(table + "<p>after") == "yes\n\nafter"
+
+
 def test_html_keeps_all_visible_words(spark):
     """Against a reader that only knows which elements are hidden."""
     from html.parser import HTMLParser
