@@ -2,7 +2,10 @@
 
 The zstandard ratio (compressed to raw bytes) of a whole text must lie in a band for its length, and
 so must the ratios of most of its fixed chunks: repeated or templated text compresses too well,
-random strings too badly. Short texts compress less, so the limits go by length.
+random strings too badly. Short texts compress less, so the limits go by length. The ratio goes on
+falling with length, so texts of two windows and more are judged by the pooled ratio of all their
+windows, each one to two ``window`` bytes long, and by the share of their bytes in copies of earlier
+content-cut chunks; ``ratio`` stays that of the whole text.
 
 Cases: a null or empty text has no words and fails the base rules; texts of any length are measured
 whole; repeated rows are measured each; columns of the input stay, ``measured`` adds its own and takes
@@ -12,7 +15,9 @@ the place of input columns with their names.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,7 +37,7 @@ SPARK_TYPES = {pa.int64(): T.LongType(), pa.float64(): T.DoubleType(), pa.bool_(
 
 @dataclass(frozen=True)
 class Bands:
-    """(bytes from, least ratio, largest ratio) by length; limits and length of chunks.
+    """(bytes from, least ratio, largest ratio) by length; limits and length of chunks; windows of long texts.
 
     The defaults were read off labelled texts: a little outside the ratios of good ones.
     """
@@ -45,6 +50,8 @@ class Bands:
     chunk: tuple[float, float] = (0.41, 0.56)
     bad_share: float = 0.5
     level: int = 3
+    window: int = 65536
+    copied: float = 0.1  # clean long texts have up to .015
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -75,6 +82,34 @@ def code_points(text: bytes) -> int:
     return len(text) if text.isascii() else len(text.decode("utf-8", "replace"))
 
 
+GRAM, CUT_BITS, LEAST = 16, 7, 48  # a cut after one in 128 grams; shorter chunks may be equal by chance
+PIECE = 1 << 20
+
+
+def cuts(text: bytes) -> list[int]:
+    """Places after the 16-grams whose hash begins with zeros: the same in each copy of a passage."""
+    found = []
+    for at in range(0, len(text) - GRAM + 1, PIECE):
+        part = np.frombuffer(text[at : at + PIECE + GRAM - 1], np.uint8).astype(np.uint64)
+        h = np.zeros(len(part) - GRAM + 1, np.uint64)
+        for j in range(GRAM):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + part[j : j + len(h)]
+        found += (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + at + GRAM).tolist()
+    return found
+
+
+def copied_share(text: bytes) -> float:
+    """Share of chunks equal to an earlier one, in bytes; the short ones count on neither side."""
+    seen, copied, total, inner = set(), 0, 0, cuts(text)
+    for a, b in zip([0, *inner], [*inner, len(text)]):
+        if b - a >= LEAST:
+            digest = blake2b(text[a:b], digest_size=8).digest()
+            total += b - a
+            copied += b - a if digest in seen else 0
+            seen.add(digest)
+    return copied / total if total else 0.0
+
+
 class Meter:
     def __init__(self, bands: Bands):
         self.bands = bands
@@ -83,16 +118,26 @@ class Meter:
     def ratio(self, data: bytes) -> float:
         return len(self.compressor.compress(data)) / len(data) if data else 0.0
 
+    def pooled(self, text: bytes, n: int) -> float:
+        """Ratio of n windows together, of equal length but for a byte."""
+        ends = [len(text) * i // n for i in range(n + 1)]
+        return sum(len(self.compressor.compress(text[a:b])) for a, b in zip(ends, ends[1:])) / len(text)
+
     def measure(self, text: bytes) -> tuple:
         b = self.bands
         words = text.split()  # splits at exactly the six ASCII white-space bytes
         n, repeats = len(words), repeated_words(words)
         failed = n < 50 or 100 * repeats > 50 * n
         ratio = self.ratio(text)
-        least, most = next((x, y) for size, x, y in reversed(b.whole) if len(text) >= size)
+        n_windows = max(1, len(text) // b.window)
+        least, most = next((x, y) for size, x, y in reversed(b.whole) if len(text) // n_windows >= size)
         chunks = [self.ratio(text[i : i + b.chunk_bytes]) for i in range(0, len(text) - b.chunk_bytes + 1, b.chunk_bytes)]
         bad = sum(not b.chunk[0] <= r <= b.chunk[1] for r in chunks) / len(chunks) if chunks else 0.0
-        kept = not failed and least <= ratio <= most and bad <= b.bad_share
+        kept = not failed and bad <= b.bad_share
+        if n_windows == 1:
+            kept = kept and least <= ratio <= most
+        else:
+            kept = kept and least <= self.pooled(text, n_windows) <= most and copied_share(text) <= b.copied
         return (
             n, code_points(b"".join(words)), len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text),
             repeats, ratio, bad, failed, kept,

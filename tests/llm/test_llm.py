@@ -144,6 +144,35 @@ def test_quality_bands():
     assert [meter.measure(x)[-1] for x in (good, random_, template)] == [True, False, False]
 
 
+@pytest.fixture(scope="module")
+def long_clean():
+    """Good Spanish texts of the test table, each once, as one of 500 KB."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"], filters=[("lang", "=", "es")])
+    meter, texts = quality.Meter(quality.Bands()), dict.fromkeys(t.encode() for t in table["text"].to_pylist() if t and len(t) > 1000)
+    return b"\n".join(t for t in texts if meter.measure(t)[-1])[:500_000]
+
+
+def test_quality_of_long_texts(long_clean):
+    """Length alone rejects no good text; copies far from each other do."""
+    bands = quality.Bands()
+    meter = quality.Meter(bands)
+    assert len(long_clean) == 500_000 and meter.ratio(long_clean) < bands.whole[-1][1]
+    assert meter.measure(long_clean)[-1]
+    assert not meter.measure(long_clean + long_clean[:100_000])[-1]
+    template = b" ".join(b"item %d price %d in stock now" % (i, i % 7) for i in range(20_000))
+    random_ = b" ".join(hashlib.sha256(b"%d" % i).hexdigest().encode() for i in range(10_000))
+    assert len(template) > 400_000 and not meter.measure(template)[-1] and not meter.measure(random_)[-1]
+
+
+def test_copied_share(long_clean):
+    assert quality.copied_share(b"") == quality.copied_share(b"ab") == 0 and quality.copied_share(long_clean) < 0.05
+    data = random.Random(1).randbytes(1_500_000)  # longer than a piece, copied at another offset
+    assert quality.copied_share(data) == 0
+    assert abs(quality.copied_share(data + b"x" + data) - 0.5) < 0.01 and abs(quality.copied_share(data + data[-500_000:]) - 0.25) < 0.01
+
+
 def test_language_id(spark, none):
     rng = random.Random(2)
     parts = {"a": ["th", "er", "ing", "ou"], "b": ["sch", "ung", "ei", "zu"], "c": ["ión", "el", "la", "do"]}
