@@ -4,7 +4,8 @@ A rule is a regular expression over the words of a text (lower case, one space b
 keywords are looked for first, and every text that the rule hits has one of them; only rules with a
 keyword that is there run. Hits are taken by priority, then
 longest first; a hit that lies inside one already taken is dropped. The rules are made from a table
-of families and one of forms, some three hundred in all.
+of families and one of forms, some three hundred in all; signatures written by hand follow, for
+standard headers, openings of licence texts and names without a version, which have labels of their own.
 
 Cases: a null or empty text has no words and no labels; texts are read whole; repeated rows are
 scanned each; input columns named like the results give way to them.
@@ -86,8 +87,78 @@ FORMS = (
     (5, 0.8, r"(?:the )?{name} (?:international |unported )?licen[sc]e"),
     (6, 0.7, r"opensource org licenses? {id}|spdx org licenses {id}|creativecommons org licenses {id}"),
 )
+# Signature: label, priority, score, expression, keywords: each text of the expression has one of them.
+FSF = r"as published by the free software foundation (?:either )?version"
+GRANT = r"(?:(?:under|subject to) (?:the |an? )?(?:terms (?:and conditions )?of (?:the |an? )?)?|licen[sc]e (?:is )?(?:the |an? )?)"
+SIGNATURES = (
+    # headers and grants with a version
+    *(
+        (f"{label}-{v}", 7, 0.9, rf"{GRANT}?{name} {FSF} {n}(?: 0)?", (keyword,))
+        for label, name, keyword, versions in (
+            ("gpl", r"gnu general public licen[sc]e", "gnu general public", (("1", "1"), ("2", "2"), ("3", "3"))),
+            ("lgpl", r"gnu (?:lesser|library) general public licen[sc]e", "general public", (("2.0", "2(?! 1)"), ("2.1", "2 1"), ("3", "3"))),
+            ("agpl", r"gnu affero general public licen[sc]e", "gnu affero", (("3", "3"),)),
+        )
+        for v, n in versions
+    ),
+    *(
+        (f"{kind}-{v}", 7, 0.85, rf"{GRANT}?(?:gnu )?{kind}(?: version| ?v) ?{n}", (kind,))
+        for kind, v, n in (
+            ("gpl", "2", "2(?: 0)?"), ("gpl", "3", "3(?: 0)?"), ("lgpl", "2.1", "2 1"), ("lgpl", "3", "3(?: 0)?"), ("agpl", "3", "3(?: 0)?"),
+        )
+    ),
+    *(
+        (label, 8, 0.7, rf"{GRANT}{name}(?: licen[sc]e)?", keywords)
+        for label, name, _, keywords in FAMILIES
+        if re.search(r"-\d(?:\.\d)?$", label) or label.endswith("clause") or label.startswith("cc")
+    ),
+    ("apache-2", 7, 0.9, r"licenses this file to you under the apache license version 2(?: 0)?", ("licenses this file",)),
+    ("perl", 8, 0.8, r"under the same terms as perl(?: \d)?(?: itself)?", ("same terms as perl",)),
+    # openings of texts
+    ("gpl-1", 7, 0.9, r"gnu general public license version 1 february 1989", ("february 1989",)),
+    ("gpl-2", 7, 0.9, r"gnu general public license version 2 june 1991", ("june 1991",)),
+    ("gpl-3", 7, 0.9, r"gnu general public license version 3 29 june 2007", ("29 june 2007",)),
+    ("lgpl-2.0", 7, 0.9, r"gnu library general public license version 2 june 1991", ("june 1991",)),
+    ("lgpl-2.1", 7, 0.9, r"gnu lesser general public license version 2 1 february 1999", ("february 1999",)),
+    ("lgpl-3", 7, 0.9, r"gnu lesser general public license version 3 29 june 2007", ("29 june 2007",)),
+    ("agpl-3", 7, 0.9, r"gnu affero general public license version 3 19 november 2007", ("19 november 2007",)),
+    ("apache-2", 7, 0.9, r"apache license version 2 0 january 2004", ("january 2004",)),
+    ("mpl-2", 7, 0.9, r"mozilla public license version 2 0 1 definitions", ("mozilla public",)),
+    ("mit-text", 7, 0.9, r"permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted free of charge",)),
+    ("boost-text", 7, 0.9, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software", ("hereby granted free of charge",)),
+    ("permission-text", 9, 0.6, r"permission is hereby granted free of charge", ("hereby granted free of charge",)),
+    ("bsd-text", 7, 0.9, r"redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?", ("redistribution and use in source",)),
+    ("bsd-3-clause-text", 7, 0.85, r"nor the names of (?:its|their|the) contributors may be used to endorse or promote products", ("nor the names of",)),
+    ("bsd-4-clause-text", 7, 0.85, r"all advertising materials mentioning features or use of this software must display", ("all advertising materials",)),
+    ("isc-text", 7, 0.85, r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
+    ("hpnd-text", 7, 0.85, r"permission to use copy modify and(?: or)? distribute this software and its documentation", ("permission to use copy modify",)),
+    ("zlib-text", 7, 0.85, r"in no event will the authors? be held liable for any damages arising from the use of this software", ("in no event will the author",)),
+    ("unlicense-text", 7, 0.9, r"this is free and unencumbered software released into the public domain", ("free and unencumbered",)),
+    ("artistic-text", 7, 0.85, r"the intent of this document is to state the conditions under which a package may be copied", ("conditions under which a package",)),
+    ("cc0-text", 7, 0.9, r"has dedicated the work to the public domain by waiving all", ("dedicated the work to the public domain",)),
+    # names without a version; a grant of one version holds the same words and comes before
+    *(
+        (label, 9, 0.6, GRANT + name, keywords)
+        for label, name, keywords in (
+            ("gpl", r"(?:(?:gnu )?gpl|gnu general public licen[sc]e)", (" gpl", "gnu general public")),
+            ("lgpl", r"(?:(?:gnu )?lgpl|gnu (?:lesser|library) general public licen[sc]e)", ("lgpl", "general public")),
+            ("agpl", r"(?:(?:gnu )?agpl|gnu affero general public licen[sc]e)", ("agpl", "gnu affero")),
+            ("mpl", r"(?:mpl|mozilla public licen[sc]e)", (" mpl", "mozilla public")),
+            ("bsd", r"(?:bsd(?: style| type)? licen[sc]e)", ("bsd",)),
+            ("apache", r"(?:apache(?: software)? licen[sc]e)", ("apache",)),
+            ("epl", r"(?:epl|eclipse public licen[sc]e)", (" epl", "eclipse public")),
+            ("cpl", r"(?:common public licen[sc]e)", ("common public",)),
+            ("artistic", r"(?:artistic licen[sc]e)", ("artistic",)),
+            ("mit", r"(?:mit(?: style| type)? licen[sc]e)", ("mit",)),
+            ("creative-commons", r"(?:creative commons licen[sc]e)", ("creative commons",)),
+        )
+    ),
+)
 # Looked for before anything else: no rule can hit a text without one of these.
-GATES = (b"licen", b"cc by", b"cc0", b"dedicated to the", b"under", b"subject to", b"spdx")
+GATES = (
+    b"licen", b"cc by", b"cc0", b"dedicated", b"under", b"subject to", b"spdx", b"gpl", b"hereby granted", b"permission to use copy",
+    b"redistribution and use", b"nor the names of", b"all advertising materials", b"in no event will the author", b"free and unencumbered",
+)
 
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
 
@@ -113,6 +184,7 @@ def rules() -> tuple[Rule, ...]:
         for priority, score, form in FORMS:
             expression = form.replace("{name}", name).replace("{id}", short)
             made.append(rule(label, keywords if "{name}" in form else (short,), priority, score, expression))
+    made += [rule(label, keywords, priority, score, expression) for label, priority, score, expression, keywords in SIGNATURES]
     return tuple(sorted(made, key=lambda r: r.priority))
 
 

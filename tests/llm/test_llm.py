@@ -303,7 +303,8 @@ def expansions(expression):
             if kind is c.LITERAL:
                 more = [chr(value)]
             elif kind is c.IN:
-                more = [chr(x) for k, v in value for x in ([v] if k is c.LITERAL else range(v[0], v[1] + 1))]
+                spans = {c.LITERAL: lambda v: [v], c.RANGE: lambda v: range(v[0], v[1] + 1), c.CATEGORY: lambda v: b"15"}
+                more = [chr(x) for k, v in value for x in spans[k](v)]
             elif kind is c.BRANCH:
                 more = [t for branch in value[1] for t in of(branch)]
             elif kind is c.SUBPATTERN:
@@ -345,6 +346,26 @@ def test_license_keywords(text, labels):
     assert licenses.scan(text.encode())[5] == labels
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+        ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", "lgpl-2.1"),
+        ("licensed under the GPL", "gpl"), ("distributed under the GNU Lesser General Public License.", "lgpl"), ("under the BSD license", "bsd"),
+        ("under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+        ("licensed under GPLv3", "gpl-3"), ("under the terms of the GNU GPL v3 or later", "gpl-3"), ("subject to the Apache License 4", "apache"), ("under a BSD-style license", "bsd"), ("under the GNU General Public License, version 3", "gpl-3"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and", "mit-text"),
+        ("Permission is hereby granted, free of charge, to all", "permission-text"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd-text"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc-text"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense-text"),
+        ("the permission of the author; redistribution of the gnu; under the sea", ""),
+    ],
+)
+def test_license_signatures(text, labels):
+    assert licenses.scan(text.encode())[5] == labels
+
+
 def test_contained_hits_go():
     hits = [(2, 0, 30, "long", 1.0), (1, 5, 20, "first", 1.0), (3, 6, 10, "inner", 1.0), (3, 25, 40, "over", 1.0)]
     assert [h[3] for h in licenses.taken(hits)] == ["first", "long", "over"]
