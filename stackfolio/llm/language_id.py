@@ -2,7 +2,8 @@
 
 The network reads windows of bytes in both directions and gives each position a distribution over the
 languages seen in training; a document's distribution is the mean over all its positions. It is trained
-in numpy by backpropagation through time on a bounded sample: at most ``SAMPLE`` windows, one a row.
+in numpy by backpropagation through time on a bounded sample: at most ``SAMPLE`` windows of each language, one a row; every language that
+has a row to learn from is in it.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; with no rows to learn from, all
 are; ties go to the first language by name; texts of any length are read whole, window by window;
@@ -19,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .base import per_batch, prepare, texts_of, with_columns
 
-SAMPLE = 4000  # rows to learn from: the bound of what reaches the driver
+SAMPLE = 1000  # rows of each language to learn from: the bound of what reaches the driver
 CHARS = 120  # of each, from a place that its hash names
 HIDDEN = 8
 WINDOW = 128
@@ -36,15 +38,20 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE, chars: int = CHARS) -> list[tuple[bytes, str]]:
-    """Parts of texts with their language: the rows of smallest hash that may be learned from."""
+    """Parts of texts with their language: the rows of smallest hash in each language that may be learned from."""
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     hashed = F.xxhash64("doc_id", "text")
     start = F.pmod(F.shiftright(hashed, 8), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
     part = F.col("text").substr(start, F.lit(chars)).cast("binary")
-    # about twice as many as asked for are sorted, whatever the length of the table
-    share = max(1, usable.count() // (2 * rows))
-    some = usable.where(F.pmod(hashed, F.lit(share)) == 0).select(hashed.alias("h"), part.alias("part"), "lang")
-    few = some.orderBy("h", "part", "lang").limit(rows)
+    # of each language about twice as many as asked for are sorted, whatever the length of the table
+    counts = usable.groupBy("lang").count().collect()
+    if not counts:
+        return []
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["count"] // (2 * rows)))])
+    some = usable.where(F.pmod(hashed, F.element_at(shares, F.col("lang"))) == 0)
+    thinned = some.select(hashed.alias("h"), part.alias("part"), "lang")
+    best = Window.partitionBy("lang").orderBy("h", "part")
+    few = thinned.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= rows).orderBy("h", "part", "lang")
     return [(bytes(r["part"]), r["lang"]) for r in few.collect()]
 
 

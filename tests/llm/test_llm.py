@@ -191,6 +191,14 @@ def test_language_id(spark, none):
     assert kept.columns == df.columns and kept.count() >= 590
 
 
+def test_sample_has_every_language(spark):
+    rows = [(i, f"text {i}", "en" if i % 500 else "is") for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (None, "none", "fr")], "doc_id long, text string, lang string")
+    allowed = {r["doc_id"]: r["lang"] for r in docs.where(~language_id.held_out(F.col("doc_id"))).collect() if r["doc_id"] is not None}
+    found = Counter(lang for _, lang in language_id.sample(docs, rows=20))
+    assert found == {"en": 20, "is": sum(v == "is" for v in allowed.values())} and found["is"] > 0
+
+
 def test_gradients_are_those_of_the_loss():
     net = language_id.Network(["a", "b", "c"], hidden=3, seed=3)
     x, _ = language_id.windows([b"hello world", b"abcdefgh xyz"], 12)
