@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, licenses, ngram_join, packing, quality, search, sentence_pieces, sharding, suffix_dedup
+from . import (
+    alignment, filter_audit, html_text, language_id, licenses, ngram_join, packing, quality, search, sentence_pieces,
+    sharding, simhash, suffix_dedup,
+)
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +96,23 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(turns, F.col("conv_id") % 20 == 0, ["conv_id", "turn"])
 
 
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.scored(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(filter_audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 ORACLES["op10_search"] = """
 WITH rows AS (
   SELECT conv_id, turn, regexp_extract_all(
@@ -112,3 +132,39 @@ parts AS (
 SELECT *, row_number() OVER (PARTITION BY query_conv_id, query_turn ORDER BY score DESC, row_conv_id, row_turn) AS rank
 FROM scored QUALIFY rank <= 10
 """
+
+ORACLES["op13_filter_audit"] = """
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), flags AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+rows AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(texts.doc_id > min(texts.doc_id) OVER (PARTITION BY text), false)::INT AS failed
+  FROM texts LEFT JOIN flags ON texts.doc_id = flags.doc_id
+), counts AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM rows GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS state
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), found AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN failed & (state | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & bit > 0 AND failed & state = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & bit > 0 AND failed & state > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & bit > 0 AND failed & state = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & bit > 0 AND failed & state = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM found
+"""
