@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes, quality
+from ..operators import changes, lookup, quality
 from ..session import scratch_path
 from ..sinks import read_snapshot, swap_snapshot
 from ..streaming.changes import read_log, replay_dedupe, replay_upserts
@@ -46,6 +46,27 @@ def stream_upserts(t):
     return replay_upserts(_log(stream), "user_id", "event_id")
 
 
+@query("""
+WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS op, max(event_id) AS event_id, arg_max(round(value, 2), event_id) AS value
+  FROM events GROUP BY 1),
+b AS (SELECT c_custkey AS user_id, CAST(-1 AS BIGINT) AS event_id, round(c_acctbal, 2) AS value, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS brand FROM customer)
+SELECT l.user_id, event_id, value, c_name AS name, p_brand AS brand FROM l LEFT JOIN customer ON c_custkey = user_id
+  LEFT JOIN part ON p_partkey = user_id WHERE op <> 'error'
+UNION ALL SELECT * FROM b WHERE user_id NOT IN (SELECT user_id FROM l)
+""")
+def stream_upserts_onto_base(t):
+    """Users' events as a stream onto all customers, each new row merged with the foreign records of its id."""
+    base = t.customer.select(F.col("c_custkey").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.round("c_acctbal", 2).alias("value"))
+    names = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    brands = t.part.select(F.col("p_partkey").alias("user_id"), F.col("p_brand").alias("brand"))
+
+    def merge(rows):
+        return lookup.merge_external(lookup.merge_external(rows, names, "user_id"), brands, "user_id")
+
+    stream = _log(read_log(t.spark, t.path("events") + "*", t.events.schema))
+    return replay_upserts(stream, "user_id", "event_id", base=base, merge=merge)
+
+
 @query("SELECT DISTINCT user_id FROM events")
 def stream_first_seen(t):
     """First arrival per user; which event that is depends on arrival, so only the ids are compared."""

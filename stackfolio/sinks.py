@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import short_id
+from .tables import read_table, write_whole
 
 
 def bulk_lines(df: DataFrame, id_col: str, index: str, doc_type: str) -> DataFrame:
@@ -140,43 +139,18 @@ def write_skos(tree: DataFrame, path: str, scheme: str, title: str, namespace: s
 # --- snapshots --------------------------------------------------------------------------------
 
 
-def _pointer(root: str, name: str) -> str:
-    return f"{root}/{name}/current"
-
-
 def swap_snapshot(df: DataFrame, root: str, name: str, version: str | None = None) -> str:
-    """Write a fresh version, then move the pointer to it. Readers see the old or the new one whole.
+    """Write a fresh version, then commit it. Readers see the old or the new one whole.
 
-    The pointer table is append-only: one row per swap, the newest row counts. So a writer that dies
-    leaves the old version in place, and writing the same version again changes nothing.
+    Of two writers at the same time both commit, one after the other, and the later one is read; a
+    writer that dies leaves the old version in place, and writing the same version again changes nothing.
     """
-    spark = df.sparkSession
-    version = version or uuid.uuid4().hex
-    path = f"{root}/{name}/v-{version}"
-    df.write.mode("overwrite").parquet(path)
-    newest = current_version(spark, root, name)
-    step = 0 if newest is None else newest[1] + 1
-    spark.createDataFrame([(version, step)], "version string, step bigint").coalesce(1).write.mode("append").parquet(
-        _pointer(root, name)
-    )
-    return path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def current_version(spark: SparkSession, root: str, name: str) -> tuple[str, int] | None:
-    if not _exists(spark, _pointer(root, name)):
-        return None
-    rows = spark.read.parquet(_pointer(root, name)).orderBy(F.desc("step")).limit(1).collect()
-    return (rows[0]["version"], rows[0]["step"]) if rows else None
+    return write_whole(df, root, name, version)
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    newest = current_version(spark, root, name)
-    return None if newest is None else spark.read.parquet(f"{root}/{name}/v-{newest[0]}")
+    """The newest version, whether it was written whole or by upserts."""
+    return read_table(spark, root, name)
 
 
 def prune_snapshots(versions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.changes import final_versions
 from ..session import scratch_path
-from ..sinks import read_snapshot, swap_snapshot
+from ..tables import BUCKETS, KeyedTable, read_table, write_whole
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -34,28 +34,25 @@ def stream_dedupe(log: DataFrame, key: str, target: str, checkpoint: str, event_
     )
 
 
-def upsert_stream(log: DataFrame, root: str, name: str, key: str, version: str, checkpoint: str, op: str = "op", delete: str = "delete", merge=None):
-    """Apply puts and deletes to a snapshot as they arrive.
+def upsert_stream(
+    log: DataFrame, root: str, name: str, key: str, version: str, checkpoint: str, op: str = "op", delete: str = "delete",
+    merge=None, buckets: int = BUCKETS, fold: bool = True,
+):
+    """Apply puts and deletes to a keyed table as they arrive.
 
-    A micro-batch is cut down to one row per id first (partial aggregate), then joined with the
-    snapshot; the newer version wins even if it came earlier. Deleted ids stay as markers with their
-    version, so a late older put cannot bring them back. A repeated batch, or one of a new checkpoint,
-    is merged like any other: taking the newest version once more changes nothing. The target may have
-    been loaded before, with or without the ``_gone`` marker. ``merge`` may join foreign records to the
-    new rows.
+    A micro-batch is cut down to one row per id first (partial aggregate), then written as a delta to
+    the buckets of its ids; the newer version wins even if it came earlier. Deleted ids stay as markers
+    with their version, so a late older put cannot bring them back. A repeated batch, or one of a new
+    checkpoint, is added like any other: taking the newest version once more changes nothing. The target
+    may have been written whole before, with or without the ``_gone`` marker. ``merge`` may join foreign
+    records to the new rows. Buckets are folded when they are due, unless another job does that.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         last = final_versions(batch, key, version, op, delete)
-        if merge is not None:
-            last = merge(last)
-        before = read_snapshot(spark, root, name)
-        if before is not None:
-            missing = {c: F.lit(False if c == "_gone" else None).cast(last.schema[c].dataType) for c in last.columns if c not in before.columns}
-            both = before.withColumns(missing).unionByName(last) if missing else before.unionByName(last)
-            rest = [c for c in both.columns if c != key]
-            last = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row")).select(key, "_row.*")
-        swap_snapshot(last, root, name)
+        table = KeyedTable(batch.sparkSession, root, name, key, version, buckets)
+        table.append(last if merge is None else merge(last))
+        if fold:
+            table.fold()
 
     return (
         log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -74,9 +71,13 @@ def replay_dedupe(spark: SparkSession, path: str, schema: StructType, key: str)
     return spark.read.schema(schema).parquet(f"{work}/out")
 
 
-def replay_upserts(log: DataFrame, key: str, version: str, op: str = "op", delete: str = "delete") -> DataFrame:
-    """Run ``upsert_stream`` over all files there are and give back the live records."""
+def replay_upserts(
+    log: DataFrame, key: str, version: str, op: str = "op", delete: str = "delete", base: DataFrame | None = None, merge=None
+) -> DataFrame:
+    """Run ``upsert_stream`` over all files there are, onto ``base`` if there is one, and give back the live records."""
     spark = log.sparkSession
     work = scratch_path(spark, "upserts")
-    upsert_stream(log, work, "records", key, version, f"{work}/state", op, delete).awaitTermination()
-    return live_records(read_snapshot(spark, work, "records"), op)
+    if base is not None:
+        write_whole(base, work, "records")
+    upsert_stream(log, work, "records", key, version, f"{work}/state", op, delete, merge).awaitTermination()
+    return live_records(read_table(spark, work, "records"), op)
