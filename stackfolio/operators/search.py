@@ -63,6 +63,13 @@ def has_all_terms(text: Column, query: str) -> Column:
     parts = query_parts(query)
     if not parts:
         return F.lit(True)
+    if all(not (atom.negative or atom.prefix) for part in parts for atom in part):
+        # the text is split once for all words of an alternative
+        def all_of(part: list[Atom]) -> Column:
+            wanted = sorted({atom.word for atom in part})
+            return F.size(F.array_intersect(F.array(*map(F.lit, wanted)), words(text))) == len(wanted)
+
+        return reduce(lambda a, b: a | b, map(all_of, parts))
     tokens = F.array_distinct(words(text))
 
     def test(atom: Atom) -> Column:

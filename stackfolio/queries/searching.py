@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import positions, search
+from ..session import scratch_path
 from .bindings import text
 from .registry import query
 
@@ -53,6 +54,67 @@ def index_of_all(t):
     return search.search_index(_index(t), "")
 
 
+AT_REST: dict[tuple[str, str], str] = {}
+FIELDS = {"text": "text", "source": "source"}
+LINES = """
+WITH l AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS text,
+  ' ' || trim(regexp_replace(lower(coalesce(source, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS source FROM documents)
+"""
+
+
+def _at_rest(t, asked):
+    """An index of all documents is written once per session and folder, and searched many times."""
+    place = (t.spark.sparkContext.applicationId, t.folder)
+    if place not in AT_REST:
+        path = scratch_path(t.spark, "word-index")
+        positions.write_index(t.wide("documents", "doc_id", *FIELDS), path, "doc_id", FIELDS)
+        AT_REST[place] = path
+    return positions.search_at_rest(t.spark, AT_REST[place], asked, list(FIELDS))
+
+
+@query(LINES + "SELECT doc_id AS rec_id FROM l WHERE text LIKE '% de la %' OR source LIKE '% de la %'")
+def search_phrase(t):
+    return _at_rest(t, '"de la"')
+
+
+@query(LINES + "SELECT doc_id FROM l WHERE text LIKE '% de la %' OR source LIKE '% de la %'")
+def scan_phrase(t):
+    fields = {name: F.col(column) for name, column in FIELDS.items()}
+    return t.wide("documents", "doc_id", *FIELDS).where(positions.answers(fields, '"de la"')).select("doc_id")
+
+
+@query(LINES + "SELECT doc_id AS rec_id FROM l WHERE source LIKE '% src7 %' AND text LIKE '% the %'")
+def search_fields(t):
+    return _at_rest(t, "source:src7 AND text:the")
+
+
+@query(LINES + """
+SELECT doc_id AS rec_id FROM l WHERE (text LIKE '% the %' OR text LIKE '% la %' OR source LIKE '% the %' OR source LIKE '% la %')
+  AND NOT (text LIKE '% of %' OR text LIKE '% des %') AND (source LIKE '% src1 %' OR source LIKE '% src2 %' OR text LIKE '% dans %')
+""")
+def search_brackets(t):
+    return _at_rest(t, "(the OR la) -text:(of OR des) AND (source:(src1 OR src2) OR text:dans)")
+
+
+@query(LINES + """
+SELECT doc_id AS rec_id FROM l WHERE NOT (text LIKE '% dans la %' OR source LIKE '% dans la %')
+  AND (NOT text LIKE '% sch%' OR source LIKE '% src3 %')
+""")
+def search_without_phrase(t):
+    """A query that records without any of its words can answer."""
+    return _at_rest(t, '-"dans la" AND (-text:sch* OR source:src3)')
+
+
+@query(LINES + """
+SELECT doc_id FROM l WHERE NOT (text LIKE '% dans la %' OR source LIKE '% dans la %')
+  AND (NOT text LIKE '% sch%' OR source LIKE '% src3 %')
+""")
+def scan_without_phrase(t):
+    fields = {name: F.col(column) for name, column in FIELDS.items()}
+    asked = positions.answers(fields, '-"dans la" AND (-text:sch* OR source:src3)')
+    return t.wide("documents", "doc_id", *FIELDS).where(asked).select("doc_id")
+
+
 CONTRIB = """
 WITH c AS (SELECT o_orderkey, 'Customer ' || o_custkey AS l1, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'Person' END AS t1,
   o_orderpriority AS l2, 'CorporateBody' AS t2, o_custkey FROM orders)

@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+import re
+
 import pytest
 from stackfolio.operators import changes, lookup, order, scan, sets, tree
 from stackfolio.operators.reconcile import reconcile
@@ -198,3 +200,69 @@ def test_double_keys_do_not_multiply_rows(spark):
     table = spark.createDataFrame([("a", "1", 0), ("a", "2", 1)], "k string, v string, o int")
     df = spark.createDataFrame([("a",), ("b",)], "x string")
     assert sorted(r["x"] for r in lookup(df, "x", table).collect()) == ["2", "b"]
+
+
+INDEXED = [
+    (1, "La vie de Un", "s1 the"), (2, "x y", None), (3, "de", "la"), (4, "La Un la vie; la vie", "s2"), (5, "dada", "s1"), (6, None, ""),
+    (7, "vie la", "LA VIE"), (8, "", None), (9, "un-deux trois", "s2 un deux"),
+]
+ANSWERS = {
+    "": {1, 2, 3, 4, 5, 6, 7, 8, 9}, "*": {1, 2, 3, 4, 5, 6, 7, 8, 9}, "la vie": {1, 4, 7}, '"la vie"': {1, 4, 7}, 'text:"la vie"': {1, 4},
+    '"vie la vie"': {4}, "title:la": {3, 7}, "-title:la": {1, 2, 4, 5, 6, 8, 9}, "(la OR de) AND -(un OR title:la)": set(), "+la -de": {4, 7},
+    "title:(s1 OR s2) un": {1, 4, 9}, "d*": {1, 3, 5, 9}, "text:d* title:s1": {1, 5}, "un-deux*": {9}, '"un deux" -trois': set(),
+    "(vie AND (de OR un)) OR dada": {1, 4, 5}, "NOT (la OR de OR un)": {2, 5, 6, 8}, "la AND": {1, 3, 4, 7}, "title:s1 -*": set(),
+    '"trois deux"': set(), 'title:"la vie" OR x': {2, 7}, '""': {1, 2, 3, 4, 5, 6, 7, 8, 9},
+}
+
+
+@pytest.fixture(scope="module")
+def index_at_rest(spark, tmp_path_factory):
+    from stackfolio.operators import positions
+
+    path = str(tmp_path_factory.mktemp("index") / "i")
+    df = spark.createDataFrame(INDEXED, "id long, text string, title string").repartition(3)
+    positions.write_index(df, path, "id", {"text": "text", "title": "title"})
+    return df, path
+
+
+@pytest.mark.parametrize("query", list(ANSWERS))
+def test_positional_index_and_scan(spark, index_at_rest, query):
+    from stackfolio.operators import positions
+
+    df, path = index_at_rest
+    scan = {r["id"] for r in df.where(positions.answers({"text": F.col("text"), "title": F.col("title")}, query)).collect()}
+    assert scan == ANSWERS[query]
+    found = [r["rec_id"] for r in positions.search_at_rest(spark, path, query, ["text", "title"]).collect()]
+    assert sorted(found) == sorted(ANSWERS[query])
+
+
+@pytest.mark.parametrize("query", ["(la", "la)", '"la', "title:", "other:la", "(a OR NOT)"])
+def test_queries_that_cannot_be_read(query):
+    from stackfolio.operators import positions
+
+    with pytest.raises(ValueError):
+        positions.answers({"title": F.col("t")}, query)
+
+
+def test_a_search_reads_the_files_of_its_words(spark, tmp_path):
+    """A token of all records stands in many files; a rare word's search opens one."""
+    import pyarrow.parquet as pq
+
+    from stackfolio.operators import positions
+
+    path = str(tmp_path / "i")
+    df = spark.range(3000).select("id", F.concat(F.lit("all w"), F.col("id"), F.lit(" all")).alias("t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        positions.write_index(df, path, "id", {"t": "t"})
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = lambda word, prefix=False: len(positions.parts_of(spark, path, [positions.Term((word,), None, prefix)]))
+    whole = len(spark.read.parquet(f"{path}/postings").inputFiles())
+    assert files("w7") == 1 and files("none") <= 1 and files("zzz") == 0 and 1 < files("all") < whole == 8 and 1 < files("w", True) < 8
+    plan = positions.postings_of(spark, path, [positions.Term(("w7",))])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*part#", plan) and re.search(r"PushedFilters: \[[^]]*EqualTo\(token,w7\)", plan)
+    some = next((tmp_path / "i" / "postings").rglob("part-*.parquet"))
+    columns = pq.ParquetFile(some).metadata.row_group(0)
+    coded = {columns.column(i).path_in_schema: columns.column(i).encodings for i in range(columns.num_columns)}
+    assert "DELTA_BINARY_PACKED" in coded["positions.list.element"] and "DELTA_BINARY_PACKED" in coded["rec_id"]
