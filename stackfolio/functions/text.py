@@ -37,6 +37,7 @@ def without_nonsort(value: Column) -> Column:
 
 
 MARKS = "".join(map(chr, range(0x0300, 0x0370)))
+LATIN_END = "ƀ"
 SYLLABLES = range(0xAC00, 0xD7A4)  # Hangul: two or three letters each
 
 
@@ -84,16 +85,21 @@ def _longer_bases(value: Column) -> Column:
         return F.when(F.regexp(part, syllable), letters).otherwise(F.coalesce(F.element_at(table, part), part))
 
     parts = F.transform(F.regexp_extract_all(value, F.lit(one), F.lit(0)), spelled)
-    has = value.rlike(f"[{group}{chr(SYLLABLES[0])}-{chr(SYLLABLES[-1])}]")
-    return F.when(has, F.array_join(parts, "")).otherwise(value)
+    # a class of all of them is slow to test: Latin letters by name, and whatever comes behind them
+    latin = "".join(c for c in longer if c < LATIN_END)
+    return F.when(value.rlike(f"[{latin}{LATIN_END}-\U0010FFFF]"), F.array_join(parts, "")).otherwise(value)
 
 
 def strip_diacritics(value: Column) -> Column:
     """Base letters only (compatibility decomposition), but names with German umlauts stay as they are."""
     source, target, _ = diacritic_tables()
-    return F.when(F.lower(value).rlike("[äöü]|[aou]̈"), value).otherwise(
-        F.translate(_longer_bases(value), source, target)
-    )
+    as_it_is = ~has_other_letters(value) | F.lower(value).rlike("[äöü]|[aou]̈")
+    return F.when(as_it_is, value).otherwise(F.translate(_longer_bases(value), source, target))
+
+
+def has_other_letters(value: Column) -> Column:
+    """Not all of the text is ASCII: a cheap test before any work on accents."""
+    return value.rlike(r"[^\x00-\x7F]")
 
 
 def make_uri(value: Column, prefix: str = "", encode: bool = False) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_diacritics
+from ..functions.text import has_other_letters, strip_diacritics
 from .legacy_titles import by_name, tag_value, tag_values
 from .persons import clean_name
 
@@ -49,12 +49,15 @@ def heading_table(headings: DataFrame) -> DataFrame:
 
 
 def ascii_variants(headings: DataFrame, id_col: str, name: str, variants: str) -> DataFrame:
-    """Records that need a variant without accents: (id, variant list with the new one at its end)."""
-    plain = strip_diacritics(F.col(name))
+    """Records that need a variant without accents: (id, variant list with the new one at its end).
+
+    The new name is computed once, by a generator, for names that are not all ASCII: the optimizer
+    moves only the cheap test towards the scan.
+    """
     none = F.array().cast("array<string>")
-    return headings.where(plain != F.col(name)).select(
-        F.col(id_col), F.array_append(F.coalesce(F.col(variants), none), plain).alias(variants)
-    )
+    plain = F.explode(F.array(strip_diacritics(F.col(name)))).alias("_plain")
+    found = headings.where(has_other_letters(F.col(name))).select("*", plain).where(F.col("_plain") != F.col(name))
+    return found.select(F.col(id_col), F.array_append(F.coalesce(F.col(variants), none), F.col("_plain")).alias(variants))
 
 
 def build_label_map(
