@@ -16,13 +16,15 @@ from stackfolio.streaming.changes import live_records, read_log, replay_dedupe,
 from stackfolio.sinks import read_snapshot
 
 
-def test_scan_over_a_hot_group(spark):
+@pytest.mark.parametrize("chunk_rows", [1, 40, 10**6])
+def test_scan_over_a_hot_group(spark, chunk_rows):
     """One group holds most rows and spreads over many chunks; the values are those of a plain loop."""
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.7 else f"g{rng.randrange(20)}", i, rng.choice([None, i]), rng.randrange(3)) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, i int, v int, w int").repartition(5)
     got = scan.scan(
-        df, ["g"], [F.col("i").asc()], number="n", count="c", sums={"s": "w"}, lasts={"l": "v"}, previous={"p": "i"}, following={"f": "i"}
+        df, ["g"], [F.col("i").asc()], number="n", count="c", sums={"s": "w"}, lasts={"l": "v"}, previous={"p": "i"}, following={"f": "i"},
+        chunk_rows=chunk_rows,
     ).collect()
     want = {}
     for g in {r[0] for r in rows}:
@@ -36,10 +38,59 @@ def test_scan_over_a_hot_group(spark):
     assert {r["i"]: (r["n"], r["c"], r["s"], r["l"], r["p"], r["f"]) for r in got} == want
 
 
-def test_scan_with_missing_key(spark):
+@pytest.mark.parametrize("chunk_rows", [1, 10**6])
+def test_scan_with_missing_key(spark, chunk_rows):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, i int")
-    got = scan.scan(df, ["g"], [F.col("i").asc()], number="n").collect()
+    got = scan.scan(df, ["g"], [F.col("i").asc()], number="n", chunk_rows=chunk_rows).collect()
     assert sorted((r["i"], r["n"]) for r in got) == [(1, 1), (2, 2), (3, 1)]
+    assert scan.scan(df.limit(0), ["g"], [F.col("i").asc()], number="n", chunk_rows=chunk_rows).count() == 0
+    assert scan.scan(df.limit(0), [], [F.col("i").asc()], number="n", chunk_rows=chunk_rows).count() == 0
+
+
+SCAN_ORDERS = {
+    "text": lambda: [F.col("t").asc(), F.col("i").asc()], "text falling": lambda: [F.col("t").desc(), F.col("i").asc()],
+    "number falling, nulls last": lambda: [F.col("y").desc_nulls_last(), F.col("i").desc()],
+    "number falling, nulls first": lambda: [F.col("y").desc_nulls_first(), F.col("i").asc()],
+    "nulls last": lambda: [F.col("y").asc_nulls_last(), F.lower("t").asc(), F.col("i").desc()],
+    "date falling": lambda: [F.col("d").desc(), F.col("f").asc(), F.col("i").asc()],
+    "fraction falling": lambda: [F.col("f").desc(), F.col("i").asc()], "decimal falling": lambda: [F.col("m").desc(), F.col("i").asc()],
+    "time falling": lambda: [F.col("z").desc(), "i"],
+}
+
+
+@pytest.mark.parametrize("name", list(SCAN_ORDERS))
+def test_ranks_of_cut_groups(spark, name):
+    """Against a window, with few chunks and many, for each kind of order; no job and no write before the result."""
+    from pyspark.sql import Window
+
+    rng = random.Random(len(name))
+    rows = [
+        (rng.choice(["a", "a", "b", None]), rng.choice(["é", "Z", "zz", None, "a b"]), i, rng.choice([None, 1, 2, -3]), rng.choice([0.5, -1.0, None]))
+        for i in range(900)
+    ]
+    df = spark.createDataFrame(rows, "g string, t string, i int, y int, f double").withColumns({
+        "d": F.date_add(F.lit("2020-01-01"), F.col("y")), "m": F.col("f").cast("decimal(5,2)"),
+        "z": F.timestamp_seconds(F.col("y")),
+    })
+    order = [F.col(c).asc() if isinstance(c, str) else c for c in SCAN_ORDERS[name]()]
+    for keys in (["g"], []):
+        want = df.withColumn("w", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        got = scan.scan(want, keys, order, number="n", count="c", chunk_rows=30)
+        rows_ = got.collect()
+        assert len(rows_) == 900 and all(r["n"] == r["w"] for r in rows_)
+        assert all(r["c"] == (900 if not keys else sum(x[0] == r["g"] for x in rows)) for r in rows_[:50])
+    if not name.startswith(("text f", "fraction")):
+        placed = df.withColumn(scan.PLACE, scan.order_place(df, order))
+        assert len(scan._bounds(placed, [], 30).first()["_bounds"]) > 200
+
+
+def test_scan_is_one_plan_with_one_exchange(spark):
+    df = spark.range(5000).select(F.pmod("id", F.lit(7)).alias("g"), "id")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    out = scan.scan(df, ["g"], [F.col("id").asc()], number="n", previous={"p": "id"})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(_chunk" in plan and "Write" not in plan and "SortMergeJoin" not in plan
 
 
 def test_paths_with_unknown_parent_and_circle(spark):
