@@ -2,44 +2,54 @@
 
 Both tokenizers cut the same bytes. Every token points to the token of the other side that overlaps it
 and reaches farthest right; a token of A that ends where a token of B ends points to itself. The
-pointers of a whole batch are doubled (each takes its target's target) until none moves: then every
-token points to the terminal token of its component, which labels its group. That takes as many rounds
-as the logarithm of the longest chain, all documents at once.
-
-Links are the pairs of tokens that end together. Each link counts its id pair over all documents. The
-pairs of a document are written once; counts are summed by pair with partial sums. Pairs that hold at
-least one in ``HEAVY`` links are at most ``HEAVY``, so their counts are broadcast; the other pairs are
-no hot keys and are joined. The highest count of each B id has a row per entry of B's vocabulary.
-
-Long texts are encoded in slices cut before a single blank between two other characters, where neither
-tokenizer can have a token across: A splits there before merging, and B has no piece with a blank after
-another character (checked when it is loaded).
-
-Cases: a null or empty text, one that is not valid UTF-8, and one whose tokens' bytes are not those of
-blank plus text has no tokens: zeros and an empty digest; ties for the highest count all count;
-repeated rows count and are returned each; a null id stays null; only id and text are read, so no other
-column can clash; an empty table gives no rows.
+pointers of many texts are doubled together (each takes its target's target) until none moves: then
+every token points to the terminal token of its component, which labels its group. That takes as many
+rounds as the logarithm of the longest chain.
+
+A text is cut into units at each single blank between two other characters. Neither tokenizer can have
+a token across such a cut (A splits there before merging, and B has no piece with a blank after another
+character, which is checked when it is loaded), so tokens, groups and links of a text are those of its
+units one after another, and each different unit is aligned once.
+
+Links are the pairs of tokens that end together. Each link counts its id pair over all documents: the
+units are counted first, in the JVM, then each different unit is aligned and its pairs are added with its
+count. Pairs that hold at least one in ``HEAVY`` of all links are at most ``HEAVY``, so their counts are
+broadcast; the other pairs of a document are no hot keys and are joined. The highest count of each B id
+has a row per entry of B's vocabulary.
+
+Cases: a null or empty text, one that is not valid UTF-8, and one with U+2581, which B turns into a
+blank, has tokens whose bytes are not those of blank plus text: it has no tokens, zeros and an empty
+digest; ties for the highest count all count; repeated rows count and are returned each; a null id stays
+null; a very long text is cut into units like any other, and units without a blank, however long, are
+aligned whole and not kept between batches; only id and text are read, so no other column can clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
+import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import rows_of
 from ..session import written
-from .base import per_batch, prepare, texts_of
+from .base import WordTable, per_batch, prepare, texts_of
 
 HEAVY = 1 << 16
-SLICE = 1 << 14  # characters of a slice, at least
-BATCH = 1 << 20  # characters encoded at once
+CHUNK = 1 << 14  # bytes of units that are encoded as one text
+TOGETHER = 1 << 15  # units that are aligned at once
+KEPT_UNIT, KEPT_UNITS = 64, 200_000  # characters of a unit, and units of a worker, kept between batches
 BLANK = "▁"  # fixed value: the piece model's mark for a blank
+WHITE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK
+CUT = f"(?<=[^{WHITE}]) (?=[^{WHITE}])"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -49,19 +59,15 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def slices(text: str, size: int = SLICE) -> list[str]:
-    """The text in parts of at least ``size`` characters; a blank between two parts is left out."""
-    out, start = [], 0
-    alone = lambda at: at + 1 < len(text) and not any(c == BLANK or c.isspace() for c in (text[at - 1], text[at + 1]))
-    while len(text) - start > size:
-        at = text.find(" ", start + size)
-        while at > 0 and not alone(at):
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        out.append(text[start:at])
-        start = at + 1
-    return [*out, text[start:]]
+def has_tokens(text: Column) -> Column:
+    return F.coalesce(F.is_valid_utf8(text) & (text != "") & ~text.contains(BLANK), F.lit(False))
+
+
+def joined(ids: np.ndarray, entries: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The entries of the ids one after another, and where each begins."""
+    found = entries.take(pa.array(ids))
+    offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+    return memoryview(found.buffers()[2] or b"").cast("B"), offsets
 
 
 class Tokens:
@@ -82,7 +88,7 @@ class Tokens:
             a_bytes[i] = bytes(alphabet[c] for c in word) if set(word) <= alphabet.keys() else word.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
-            raise ValueError("the piece model has pieces that go on after a blank: slices would differ")
+            raise ValueError("the piece model has pieces that go on after a blank: a text has no units")
         b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)
         ]
@@ -90,7 +96,7 @@ class Tokens:
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (a_bytes, b_bytes))
         digits = [str(i).encode() for i in range(max(len(a_bytes), len(b_bytes)))]
         self.width = len(digits)
-        self.marked = pa.array([d + mark for mark in (b"", b",", b"|", b";") for d in digits], pa.binary())
+        self.marked = pa.array([d + mark for mark in (b",", b"|", b";") for d in digits], pa.binary())
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -98,22 +104,31 @@ class Tokens:
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         return self.b.encode(texts, num_threads=1)
 
-    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text by A and by B, encoded in slices and in bounded batches."""
-        parts = [(i, s) for i, t in enumerate(texts) for s in slices(t)]
-        sides: tuple[list, list] = ([[] for _ in texts], [[] for _ in texts])
-        start = 0
-        while start < len(parts):
-            end, size = start, 0
-            while end < len(parts) and (end == start or size + len(parts[end][1]) <= BATCH):
-                size += len(parts[end][1])
-                end += 1
-            some = [s for _, s in parts[start:end]]
-            for side, found in zip(sides, (self.encode_a(some), self.encode_b(some))):
-                for (i, _), ids in zip(parts[start:end], found):
-                    side[i].append(np.array(ids, np.int64))
-            start = end
-        return tuple([np.concatenate(x) for x in side] for side in sides)
+    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units by A, how many each has, and the same by B.
+
+        Units that may stand beside others are encoded together and told apart by their bytes.
+        """
+        texts, size = [], CHUNK
+        alone = re.compile(f"^[{WHITE}]|[{WHITE}]$")
+        for unit in units:
+            single = not unit or alone.search(unit) is not None
+            if single or size >= CHUNK:
+                texts.append([unit])
+            else:
+                texts[-1].append(unit)
+            size = CHUNK if single else len(unit) + 1 if size >= CHUNK else size + len(unit) + 1
+        whole = [" ".join(t) for t in texts]
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        out = []
+        for found, sizes, entries in (
+            (self.encode_a(whole), self.a_size, self.a_bytes), (self.encode_b(whole), self.b_size, self.b_bytes),
+        ):
+            ids = np.concatenate([np.array(x, np.int64) for x in found])
+            if joined(ids, entries)[0] != "".join(f" {u}" for u in units).encode():
+                raise ValueError("a tokenizer does not give back the bytes of its text")
+            out += [ids, np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends, side="right"), prepend=0)]
+        return tuple(out)
 
 
 @cache
@@ -124,7 +139,7 @@ def tokens_from(a_path: str, b_path: str) -> Tokens:
 def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
     """For each token (A's, then B's) the position of its component's last A token.
 
-    Ends are byte offsets, rising, over all documents one after another; both sides end at the same place.
+    Ends are byte offsets, rising, over all texts one after another; both sides end at the same place.
     """
     n = len(a_ends)
     far_a = np.searchsorted(b_ends, a_ends)  # the first B token that ends at this end or behind it
@@ -138,102 +153,145 @@ def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
         pointer = further
 
 
-def joined(ids: np.ndarray, entries: pa.Array) -> tuple[memoryview, np.ndarray]:
-    """The entries of the ids one after another, and where each begins."""
-    found = entries.take(pa.array(ids))
-    offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
-    return memoryview(found.buffers()[2] or b"").cast("B"), offsets
-
-
 class Aligned:
-    """Alignment of the texts of a batch; texts without tokens are not among ``docs``."""
-
-    def __init__(self, tokens: Tokens, texts: list[bytes]):
-        whole = [(i, t.decode("utf-8", "replace")) for i, t in enumerate(texts) if t]
-        a, b = tokens.ids([t for _, t in whole])
-        good = [
-            k for k, (i, _) in enumerate(whole)
-            if tokens.a_size[a[k]].sum() == tokens.b_size[b[k]].sum() == len(texts[i]) + 1
-        ]
-        for side, entries in ((a, tokens.a_bytes), (b, tokens.b_bytes)):
-            if good:
-                data, offsets = joined(np.concatenate([side[k] for k in good]), entries)
-                ends = np.cumsum([len(side[k]) for k in good])
-                starts = ends - [len(side[k]) for k in good]
-                good = [
-                    k for k, s, e in zip(good, starts, ends)
-                    if data[offsets[s] : offsets[e]] == b" " + texts[whole[k][0]]
-                ]
-        self.docs = [whole[k][0] for k in good]
-        self.n_a, self.n_b = (np.array([len(side[k]) for k in good], np.int64) for side in (a, b))
-        nothing = np.empty(0, np.int64)
-        self.a = np.concatenate([a[k] for k in good]) if good else nothing
-        self.b = np.concatenate([b[k] for k in good]) if good else nothing
+    """Alignment of units: tokens, links and groups of each."""
+
+    def __init__(self, tokens: Tokens, units: list[str]):
+        self.tokens = tokens
+        self.a, self.n_a, self.b, self.n_b = tokens.ids(units)
         a_ends, b_ends = np.cumsum(tokens.a_size[self.a]), np.cumsum(tokens.b_size[self.b])
-        # terminal A token of each token, and the links: the tokens of both sides that end there
-        label = terminals(a_ends, b_ends) if good else nothing
+        label = terminals(a_ends, b_ends)
         self.a_label, self.b_label = label[: len(self.a)], label[len(self.a) :]
-        self.link_a = np.flatnonzero(self.a_label == np.arange(len(self.a)))
-        self.link_b = np.searchsorted(b_ends, a_ends[self.link_a])
-        self.link_doc = np.repeat(np.arange(len(good)), self.n_a)[self.link_a]
-        self.tokens = tokens
+        # a link is a terminal A token and the B token that ends there
+        link_a = np.flatnonzero(self.a_label == np.arange(len(self.a)))
+        self.pair = self.a[link_a] << 32 | self.b[np.searchsorted(b_ends, a_ends[link_a])]
+        self.n_links = np.bincount(np.repeat(np.arange(len(units)), self.n_a)[link_a], minlength=len(units))
 
-    def groups(self) -> list[str]:
-        """Digest of each document's groups, written ``a1,a2|b1;a3|b2,b3``."""
+    def groups(self) -> list[bytes]:
+        """The groups of each unit, written ``a1,a2|b1;a3|b2,b3;``."""
         rank = np.concatenate([self.a_label, self.b_label])
         side = np.repeat([0, 1], [len(self.a), len(self.b)])
         order = np.lexsort((side, rank))  # stable: tokens of a side stay in order
         ids, rank, side = np.concatenate([self.a, self.b])[order], rank[order], side[order]
-        ends = np.cumsum(self.n_a + self.n_b)
-        mark = np.ones(len(ids), np.int64)
-        if len(ids):
-            last = np.append(rank[1:] != rank[:-1], True)
-            mark[np.append(side[1:] != side[:-1], False) & (side == 0)] = 2
-            mark[last] = 3
-            mark[ends - 1] = 0
+        mark = np.where(np.append(side[1:] != side[:-1], False) & (side == 0), 1, 0)
+        mark[np.append(rank[1:] != rank[:-1], True)] = 2
         data, offsets = joined(ids + mark * self.tokens.width, self.tokens.marked)
-        starts = ends - (self.n_a + self.n_b)
-        return [hashlib.sha256(data[offsets[s] : offsets[e]]).hexdigest() for s, e in zip(starts, ends)]
-
-
-def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs (a << 32 | b, rising) and times, per row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def align(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.num_rows
-        found = Aligned(tokens_from(a_path, b_path), texts_of(batch.column("text")))
-        per_doc = lambda v: np.bincount(found.docs, v, rows).astype(np.int64) if found.docs else np.zeros(rows, np.int64)
-        links = np.bincount(found.link_doc, minlength=len(found.docs))
-        digests = [""] * rows
-        for i, digest in zip(found.docs, found.groups()):
-            digests[i] = digest
-        pair = found.a[found.link_a] << 32 | found.b[found.link_b]
-        order = np.lexsort((pair, found.link_doc))
-        pair, doc = pair[order], found.link_doc[order]
-        new = np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1]))[: len(pair)]
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(pair)))
-        sizes = per_doc(np.bincount(doc[at], minlength=len(found.docs)))
-        ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-        lists = lambda v, t: pa.ListArray.from_arrays(ends, pa.array(v, t))
-        return pa.record_batch({
-            "doc_id": batch.column("doc_id"), "n_a": pa.array(per_doc(found.n_a)), "n_b": pa.array(per_doc(found.n_b)),
-            "n_groups": pa.array(per_doc(links)), "n_links": pa.array(per_doc(links)), "groups_sha256": pa.array(digests, pa.string()),
-            "pairs": lists(pair[at], pa.int64()), "times": lists(times, pa.int32()),
-        })
-
-    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
-    return docs.select("doc_id", "text").mapInArrow(per_batch(align), schema)
-
-
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """pair, links (over all documents), best (no pair of its B id has more)."""
-    posts = rows.select(F.explode(F.arrays_zip("pairs", "times")).alias("p"))
-    counts = posts.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("links"))
-    counts = written(counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))), "alignment-counts")
-    highest = counts.groupBy("b").agg(F.max("links").alias("highest"))
-    return counts.join(highest, "b").select("pair", "links", (F.col("links") == F.col("highest")).alias("best"))
+        ends = np.cumsum(self.n_a + self.n_b)
+        cuts = offsets[np.append(0, ends)].tolist()
+        return [bytes(data[s:e]) for s, e in zip(cuts, cuts[1:])]
+
+
+def unit_counts(docs: DataFrame) -> DataFrame:
+    """unit, n: how often each unit stands in texts with tokens."""
+    units = rows_of(docs.where(has_tokens(F.col("text"))), [], F.split("text", CUT), "unit")
+    return units.groupBy("unit").agg(F.count("*").alias("n"))
+
+
+def pair_counts(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """pair (a << 32 | b), links: over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(units: list[str], n: list[int]) -> pa.RecordBatch:
+            found = Aligned(tokens_from(a_path, b_path), units)
+            pair, at = np.unique(found.pair, return_inverse=True)
+            links = np.zeros(len(pair), np.int64)
+            np.add.at(links, at, np.repeat(n, found.n_links))
+            return pa.record_batch({"pair": pa.array(pair, pa.int64()), "links": pa.array(links, pa.int64())})
+
+        units, n, size = [], [], 0
+        for batch in batches:
+            units += batch.column("unit").to_pylist()
+            n += batch.column("n").to_pylist()
+            size += batch.nbytes
+            if len(units) >= TOGETHER or size >= 1 << 20:
+                yield some(units, n)
+                units, n, size = [], [], 0
+        if units:
+            yield some(units, n)
+
+    posts = units.mapInArrow(count, "pair long, links long")
+    return posts.groupBy("pair").agg(F.sum("links").alias("links"))
+
+
+def with_best(counts: DataFrame) -> DataFrame:
+    """pair, links, best: no pair of its B id has more links."""
+    b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    highest = counts.groupBy(b.alias("b")).agg(F.max("links").alias("highest"))
+    return counts.withColumn("b", b).join(highest, "b").select("pair", "links", (F.col("links") == F.col("highest")).alias("best"))
+
+
+class Scorer:
+    """Tokens, groups and scores of texts; what a unit has is kept between batches."""
+
+    def __init__(self, a_path: str, b_path: str, names: np.ndarray, links: np.ndarray, best: np.ndarray):
+        self.paths, self.names, self.links, self.best = (a_path, b_path), names, links, best
+        self.kept = WordTable(self.facts, KEPT_UNITS)
+
+    def facts(self, units: list[str]) -> list[tuple]:
+        """n_a, n_b, n_links, links that are best and sum of counts (frequent pairs), groups, other pairs."""
+        out = []
+        for i in range(0, len(units), TOGETHER):
+            some = units[i : i + TOGETHER]
+            found = Aligned(tokens_from(*self.paths), some)
+            at = np.searchsorted(self.names, found.pair)
+            known = at < len(self.names)
+            known[known] = self.names[at[known]] == found.pair[known]
+            unit = np.repeat(np.arange(len(some)), found.n_links)
+            n_best, sums = np.zeros((2, len(some)), np.int64)
+            np.add.at(n_best, unit[known], self.best[at[known]])
+            np.add.at(sums, unit[known], self.links[at[known]])
+            rare = found.pair[~known].tolist()
+            ends = np.cumsum(np.bincount(unit[~known], minlength=len(some))).tolist()
+            others = [rare[s:e] if s < e else () for s, e in zip([0, *ends], ends)]
+            numbers = (x.tolist() for x in (found.n_a, found.n_b, found.n_links, n_best, sums))
+            out += zip(*numbers, found.groups(), others)
+        return out
+
+    def values(self, units: list[str]) -> list[tuple]:
+        if max(map(len, units)) <= KEPT_UNIT:
+            return self.kept.values(units)
+        short = [u for u in units if len(u) <= KEPT_UNIT]
+        found = dict(zip(short, self.kept.values(short)))
+        long = [u for u in units if u not in found]
+        found |= zip(long, self.facts(long))
+        return [found[u] for u in units]
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[list[int]]]:
+        """Numbers (n_a, n_b, n_links, n_best, count_sum), digest and rare pairs of each text; None has no tokens."""
+        cut = re.compile(CUT).split
+        units = [[] if t is None else cut(t) for t in texts]
+        lengths = np.array([len(u) for u in units])
+        numbers, digests, rare = np.zeros((5, len(texts)), np.int64), [""] * len(texts), [[] for _ in texts]
+        if not lengths.sum():
+            return numbers, digests, rare
+        coded = pa.array([u for us in units for u in us], pa.large_string()).dictionary_encode()
+        facts = list(zip(*self.values(coded.dictionary.to_pylist())))
+        at = coded.indices.to_numpy()
+        ends = np.cumsum(lengths)
+        for row, fact in zip(numbers, facts[:5]):
+            sums = np.append(0, np.cumsum(np.array(fact, np.int64)[at]))
+            row[:] = sums[ends] - sums[ends - lengths]
+        groups = pa.array(facts[5], pa.large_binary()).take(pa.array(at))
+        offsets = np.frombuffer(groups.buffers()[1], np.int64)
+        data = memoryview(groups.buffers()[2]).cast("B")
+        has = np.array([bool(x) for x in facts[6]])[at]
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        for i in np.flatnonzero(lengths).tolist():
+            digests[i] = hashlib.sha256(data[offsets[ends[i] - lengths[i]] : offsets[ends[i]] - 1]).hexdigest()
+        for i, k in zip(doc[has].tolist(), at[has].tolist()):
+            rare[i] += facts[6][k]
+        return numbers, digests, rare
+
+
+FACTS = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
+SCORERS: dict[str, Scorer] = {}  # of a worker: the one of the last run
+
+
+def scorer_of(run: str, *parts) -> Scorer:
+    if run not in SCORERS:
+        SCORERS.clear()
+        SCORERS[run] = Scorer(*parts)
+    return SCORERS[run]
 
 
 def scored(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAVY) -> DataFrame:
@@ -242,46 +300,35 @@ def scored(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAVY) -> Dat
     The tokenizers are given as paths that every machine has.
     """
     spark = prepare(docs.sparkSession)
-    found = aligned(docs.select(docs["doc_id"], docs["text"]), a_path, b_path)
-    # a row's number is fixed by the written files
-    rows = written(found.withColumn("row", F.monotonically_increasing_id()), "alignment-rows")
-    counts = written(pair_counts(rows), "alignment-pairs")
-    total = rows.agg(F.sum("n_links")).first()[0] or 0
+    docs = docs.select(docs["doc_id"], docs["text"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sums = written(pair_counts(unit_counts(docs), a_path, b_path), "alignment-counts")
+    counts = written(with_best(sums), "alignment-pairs")
+    total = counts.agg(F.sum("links")).first()[0] or 0
     bound = total // heavy + 1
     frequent = counts.where(F.col("links") >= bound).toArrow()  # at most ``heavy`` rows: their links sum up to no more than all
     order = np.argsort(frequent.column("pair").to_numpy())
     known = spark.sparkContext.broadcast(tuple(frequent.column(c).to_numpy()[order] for c in ("pair", "links", "best")))
+    run = uuid.uuid4().hex
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, links, best = known.value
-        pairs, sizes = batch.column("pairs"), pc.list_value_length(batch.column("pairs")).to_numpy()
-        pair, times = pairs.flatten().to_numpy(), batch.column("times").flatten().to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.searchsorted(names, pair)
-        hit = at < len(names)
-        hit[hit] = names[at[hit]] == pair[hit]
-        sums = np.zeros((2, len(sizes)), np.int64)
-        np.add.at(sums[0], doc[hit], times[hit] * best[at[hit]])
-        np.add.at(sums[1], doc[hit], times[hit] * links[at[hit]])
-        ends = pa.array(np.append(0, np.cumsum(np.bincount(doc[~hit], minlength=len(sizes)))), pa.int32())
+        valid = batch.column("valid").to_pylist()
+        texts = [t.decode() if v else None for t, v in zip(texts_of(batch.column("text")), valid)]
+        numbers, digests, rare = scorer_of(run, a_path, b_path, *known.value).texts(texts)
         return pa.record_batch({
-            "row": batch.column("row"), "n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1]),
-            "pairs": pa.ListArray.from_arrays(ends, pa.array(pair[~hit], pa.int64())),
-            "times": pa.ListArray.from_arrays(ends, pa.array(times[~hit], pa.int32())),
+            "doc_id": batch.column("doc_id"), **{f: pa.array(n) for f, n in zip(FACTS, numbers)},
+            "groups_sha256": pa.array(digests, pa.string()), "rare": pa.array(rare, pa.list_(pa.int64())),
         })
 
-    parts = rows.select("row", "pairs", "times").mapInArrow(
-        per_batch(settle), "row long, n_best long, count_sum long, pairs array<long>, times array<int>"
-    )
-    parts = written(parts, "alignment-parts")
-    rare = parts.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p"))
-    rare = rare.select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
-    rare = rare.join(counts.where(F.col("links") < bound), "pair").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("best").cast("int")).alias("rare_best"), F.sum(F.col("times") * F.col("links")).alias("rare_sum")
+    schema = f"doc_id {kind}, {', '.join(f'{f} long' for f in FACTS)}, groups_sha256 string, rare array<long>"
+    found = docs.withColumn("valid", has_tokens(F.col("text"))).mapInArrow(per_batch(settle), schema)
+    # a row's number is fixed by the written files
+    rows = written(found.withColumn("row", F.monotonically_increasing_id()), "alignment-rows")
+    rare = rows_of(rows, ["row"], "rare", "pair").join(counts.where(F.col("links") < bound), "pair").groupBy("row").agg(
+        F.sum(F.col("best").cast("int")).alias("rare_best"), F.sum("links").alias("rare_sum")
     )
-    sums = parts.select("row", "n_best", "count_sum").join(rare, "row", "left").select(
-        "row", (F.col("n_best") + F.coalesce("rare_best", F.lit(0))).alias("n_best"),
-        (F.col("count_sum") + F.coalesce("rare_sum", F.lit(0))).alias("count_sum"),
+    more = lambda name, rest: (F.col(name) + F.coalesce(rest, F.lit(0))).alias(name)
+    return rows.join(rare, "row", "left").select(
+        "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", more("n_best", "rare_best"),
+        more("count_sum", "rare_sum"), "groups_sha256",
     )
-    out = rows.drop("pairs", "times").join(sums, "row")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

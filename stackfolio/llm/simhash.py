@@ -7,12 +7,17 @@ an odd distance have different parities, so each pair within the radius has a va
 three different bits two lie in the same half of the word, so of the variants with two changed bits
 those with both in one half are enough (992 of 2016).
 
+Variants are shuffled by cells. For each half there is a view of the variants in which cells are made of
+the other half and four more bits: two-bit changes of the half leave most variants in a few cells, so a
+fingerprint is sent once to each of its cells (64 rows on average) and its variants (some 600) are made
+behind the exchange. A variant is in one cell of a view, so all who emit it there meet.
+
 A variant has at most 1 + 64 + 992 fingerprints that emit it, whatever the table. All of them that are
 within the radius of each other by way of the variant are linked to the smallest of the nearest ones:
 a bucket gives one link a member, never a pair for two of them. Each link is verified by its bits.
 
 Copies are one fingerprint until the last join, which adaptive execution splits where a fingerprint is
-hot; the emissions of a table with n different fingerprints are 561 n rows of two numbers on average.
+hot.
 
 Cases: a null or empty text, or one without words, has the fingerprint zero and is linked like any
 other; a text with fewer words than a shingle is one shingle; a bit set in exactly half the hashes is
@@ -73,30 +78,69 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(per_batch(describe), f"doc_id {kind}, fp long")
 
 
-def masks(flips: int) -> list[int]:
-    """The changes of at most ``flips`` bits (0 to 2) that are needed, as signed numbers."""
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+LOW, HIGH = (1 << 32) - 1, ((1 << 32) - 1) << 32
+# of each view: the half in which two bits change, and the bits that make a cell
+VIEWS = {"low": (LOW, HIGH | 0xF), "high": (HIGH, LOW | 0xF << 60)}
+
+
+def changes(view: str, flips: int, radius: int) -> dict[int, list[int]]:
+    """What fingerprints that change up to ``flips`` bits emit in a view: change of the cell → changes of the variant."""
+    half, cell = VIEWS[view]
     one = [1 << i for i in range(BITS)]
-    half = BITS // 2
-    two = [a | b for i, a in enumerate(one) for b in one[i + 1 : (i // half + 1) * half]]
-    found = [0, *(one if flips > 0 else []), *(two if flips > 1 else [])]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in found]
+    inside = [x for x in one if x & half]
+    found = []
+    if view == "low":  # every pair within two bits meets here
+        found += [0, *(one if flips > 0 else [])]
+    elif radius == 3 and flips == 1:  # those who meet the two-bit changes of the high half
+        found += one
+    if flips > 1:
+        found += [a | b for i, a in enumerate(inside) for b in inside[i + 1 :]]
+    cells: dict[int, list[int]] = {}
+    for change in found:
+        cells.setdefault(signed(change & cell), []).append(signed(change))
+    return cells
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def emissions(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, variant, cell: dealt out by cell."""
+    down, up = radius // 2, radius - radius // 2
+    odd = F.bit_count("fp") % 2 == 1
+    kinds = [(view, many, changes(view, up if many else down, radius)) for view in VIEWS for many in (False, True)]
+    kinds = [(view, many, cells) for view, many, cells in kinds if cells]
+    to = F.concat(*[
+        F.when(odd == many, F.transform(F.lit(list(cells)), _sent(VIEWS[view][1], i))).otherwise(F.array().cast("array<struct<cell:bigint,step:bigint,kind:int>>"))
+        for i, (view, many, cells) in enumerate(kinds)
+    ])
+    sent = fps.select("fp", F.inline(to)).repartition("cell")
+    made = F.lit(None).cast("array<bigint>")
+    for i, (_, _, cells) in reversed(list(enumerate(kinds))):
+        table = F.create_map(*[x for step, found in cells.items() for x in (F.lit(step), F.lit(found))])
+        made = F.when(F.col("kind") == i, F.element_at(table, F.col("step"))).otherwise(made)
+    return sent.select("fp", "cell", F.explode(made).alias("change")).select(
+        "fp", "cell", F.col("fp").bitwiseXOR(F.col("change")).alias("variant")
+    )
+
+
+def _sent(cell: int, kind: int):
+    return lambda step: F.struct(
+        F.col("fp").bitwiseAND(F.lit(signed(cell))).bitwiseXOR(step).alias("cell"), step.alias("step"), F.lit(kind).alias("kind")
+    )
+
+
 def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between different fingerprints ``fp`` that give the components of all pairs within the radius."""
     if not 0 <= radius <= 3:
         raise ValueError(f"a radius of {radius} bits: variants are made for 0 to 3")
-    down, up = radius // 2, radius - radius // 2
-    odd = F.bit_count("fp") % 2 == 1
-    changes = F.when(odd, F.lit(masks(up))).otherwise(F.lit(masks(down)))
-    emitted = fps.select("fp", F.explode(changes).alias("change"))
-    emitted = emitted.select("fp", F.col("fp").bitwiseXOR(F.col("change")).alias("variant"))
-    near = F.when(distance(F.col("variant"), F.col("fp")) <= down, F.col("fp"))
-    bucket = emitted.withColumn("u", F.min(near).over(Window.partitionBy("variant")))
+    near = F.when(distance(F.col("variant"), F.col("fp")) <= radius // 2, F.col("fp"))
+    bucket = emissions(fps, radius).withColumn("u", F.min(near).over(Window.partitionBy("cell", "variant")))
     met = bucket.where("u <> fp").select("u", F.col("fp").alias("v"))
     return met.where(distance(F.col("u"), F.col("v")) <= radius).distinct()
 

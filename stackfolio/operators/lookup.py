@@ -20,6 +20,12 @@ def unique_keys(table: DataFrame) -> DataFrame:
     return table.groupBy("k").agg((F.max_by("v", "o") if "o" in table.columns else F.max("v")).alias("v"))
 
 
+def unique_rows(table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """(key, values) with one row per key: the last by column ``o`` where there is one, else the greatest."""
+    row = F.struct(*values)
+    return table.groupBy(key).agg((F.max_by(row, "o") if "o" in table.columns else F.max(row)).alias("_row")).select(key, "_row.*")
+
+
 def lookup(
     df: DataFrame, column: str, table: DataFrame, on_miss: str = "keep",
     default: str | None = None, out: str | None = None,
@@ -52,7 +58,7 @@ def lookup_chain(
 def lookup_any(df: DataFrame, column: str, tables: Sequence[DataFrame], out: str) -> DataFrame:
     """First table that knows the value, NULL if none does."""
     for i, table in enumerate(tables):
-        probe = table.select(F.col("k").alias(f"_k{i}"), F.col("v").alias(f"_v{i}"))
+        probe = unique_keys(table).select(F.col("k").alias(f"_k{i}"), F.col("v").alias(f"_v{i}"))
         df = df.join(probe, F.col(column) == F.col(f"_k{i}"), "left")
     value = F.coalesce(*[F.col(f"_v{i}") for i in range(len(tables))])
     return df.withColumn(out, value).drop(*[f"_{x}{i}" for i in range(len(tables)) for x in "kv"])
@@ -86,7 +92,7 @@ def lookup_array(
 
 def lookup_wide(df: DataFrame, column: str, table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Several values of one key in one join."""
-    probe = table.select(F.col(key).alias("_k"), *values)
+    probe = unique_rows(table, key, values).withColumnRenamed(key, "_k")
     return df.join(probe, F.col(column) == F.col("_k"), "left").drop("_k")
 
 

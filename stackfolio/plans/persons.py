@@ -10,9 +10,9 @@ from ..functions.identifiers import field_uri, place_uri, profession_uri
 from ..functions.rows import rows_of
 from ..functions.text import absent_if_empty
 from ..naming import Namespaces
-from ..operators.lookup import lookup
+from ..operators.lookup import lookup, unique_keys, unique_rows
 from ..operators.shape import vacuum
-from .labels import Vocabularies
+from .labels import Vocabularies, one_each
 from .legacy_titles import by_name, tag_value, tag_values
 
 # List fields, text groups and flags of a tagged person record.
@@ -126,8 +126,8 @@ def place_references(persons: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 def place_labels(references: DataFrame, places: DataFrame, more_places: DataFrame) -> DataFrame:
     """Label of each place reference: spatial tree, then place table; other text is its own label."""
-    first = places.select(F.col("k").alias("_k1"), F.col("v").alias("_v1"))
-    second = more_places.select(F.col("k").alias("_k2"), F.col("v").alias("_v2"))
+    first = unique_keys(places).select(F.col("k").alias("_k1"), F.col("v").alias("_v1"))
+    second = unique_keys(more_places).select(F.col("k").alias("_k2"), F.col("v").alias("_v2"))
     is_uri = F.col("value").rlike("^http.+")
     step = references.join(first, is_uri & (F.col("value") == F.col("_k1")), "left").withColumn(
         "_l1", F.coalesce("_v1", "value")
@@ -153,8 +153,8 @@ def professions(persons: DataFrame, vocab: Vocabularies) -> DataFrame:
     rows = rows_of(persons, ["local_id"], "profession", "id", "pos").withColumn(
         "_key", F.regexp_replace("id", r"^http.+/(\d.+)", "$1")
     )
-    local = vocab.headings.select(F.col("k").alias("_k1"), F.col("label").alias("_l1"), F.col("variants").alias("_variants"))
-    names = vocab.authorities.select(F.col("k").alias("_k2"), F.col("label").alias("_l2"))
+    local = one_each(vocab.headings).select(F.col("k").alias("_k1"), F.col("label").alias("_l1"), F.col("variants").alias("_variants"))
+    names = one_each(vocab.authorities).select(F.col("k").alias("_k2"), F.col("label").alias("_l2"))
     step = rows.join(local, F.col("_key") == F.col("_k1"), "left").withColumn("_n", F.coalesce("_l1", "_key"))
     step = step.join(names, F.col("_n") == F.col("_k2"), "left")
     return step.select(
@@ -167,7 +167,7 @@ def subject_categories(persons: DataFrame, categories: DataFrame, ns: Namespaces
     rows = rows_of(persons, ["local_id"], "subject_category", "value", "pos").withColumn(
         "_code", F.regexp_replace("value", r"^http.+/n?(\d.*)", "$1")
     )
-    known = categories.select(F.col("k").alias("_k"), F.col("v").alias("label"))
+    known = unique_keys(categories).select(F.col("k").alias("_k"), F.col("v").alias("label"))
     joined = rows.join(known, F.col("_code") == F.col("_k"), "left")
     prefix = F.when(F.col("label").isNotNull(), ns.subject_category).otherwise(ns.field)
     return joined.select("local_id", "pos", F.concat(prefix, "_code").alias("id"), "label")
@@ -178,8 +178,8 @@ def related_labels(persons: DataFrame, authorities: DataFrame, own_labels: DataF
     rows = rows_of(persons, ["local_id"], "related_person", "id", "pos")
     is_uri = F.col("id").rlike("^http.+")
     rows = rows.withColumn("_key", F.when(is_uri, F.regexp_replace("id", r"^http.+/([p\d].+)", "$1")))
-    a = authorities.select(F.col("k").alias("_k1"), F.col("label").alias("_l1"))
-    b = own_labels.select(F.col("k").alias("_k2"), F.col("v").alias("_l2"))
+    a = unique_rows(authorities, "k", ["label"]).select(F.col("k").alias("_k1"), F.col("label").alias("_l1"))
+    b = unique_keys(own_labels).select(F.col("k").alias("_k2"), F.col("v").alias("_l2"))
     step = rows.join(a, F.col("_key") == F.col("_k1"), "left").withColumn("_n", F.coalesce("_l1", "_key"))
     step = step.join(b, F.col("_n") == F.col("_k2"), "left")
     label = F.regexp_replace(F.coalesce("_l2", "_n", "id"), "¬", "")

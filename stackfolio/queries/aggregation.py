@@ -117,12 +117,12 @@ def main_headings(t):
 
 
 @query("""
-WITH c AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders WHERE o_totalprice > 400000 AND month(o_orderdate) = 2 GROUP BY 1)
+WITH c AS (SELECT 2 * year(o_orderdate) - 2000 AS y, count(*) AS n FROM orders GROUP BY 1)
 SELECT CAST(g AS INTEGER) AS year, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(y) FROM c), (SELECT max(y) FROM c) + 1)) AS g) LEFT JOIN c ON y = g
 """)
 def year_histogram(t):
-    rows = t.orders.where((F.col("o_totalprice") > 400000) & (F.month("o_orderdate") == 2))
-    return aggregates.year_histogram(rows, F.year("o_orderdate"), 1400, 2100)
+    """Every second year has no orders."""
+    return aggregates.year_histogram(t.orders, 2 * F.year("o_orderdate") - 2000, 1400, 2100)
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS total FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998")

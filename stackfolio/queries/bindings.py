@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,23 @@ def isbn12(key: Column) -> Column:
     return F.concat(F.lit("978"), F.lpad(key.cast("string"), 9, "0"))
 
 
-def _field(tag: str, indicators: str, *subs: tuple[str, str], when: str | None = None) -> str:
-    """SQL text of one data field; NULL subfields are left out later, the field when ``when`` fails."""
-    pairs = ", ".join(f"named_struct('code', '{code}', 'value', {value})" for code, value in subs)
-    field = f"named_struct('tag', '{tag}', 'ind1', '{indicators[0]}', 'ind2', '{indicators[1]}', 'subs', array({pairs}))"
-    return f"CASE WHEN {when} THEN {field} END" if when else field
+class MarcField(NamedTuple):
+    """A data field of a made MARC record: SQL expressions of its subfields, and when it is there."""
+
+    tag: str
+    indicators: str
+    subs: tuple[tuple[str, str], ...]
+    when: str | None
+
+    def struct(self) -> str:
+        """NULL subfields are left out later, the field when ``when`` fails."""
+        pairs = ", ".join(f"named_struct('code', '{code}', 'value', {value})" for code, value in self.subs)
+        field = f"named_struct('tag', '{self.tag}', 'ind1', '{self.indicators[0]}', 'ind2', '{self.indicators[1]}', 'subs', array({pairs}))"
+        return f"CASE WHEN {self.when} THEN {field} END" if self.when else field
+
+
+def _field(tag: str, indicators: str, *subs: tuple[str, str], when: str | None = None) -> MarcField:
+    return MarcField(tag, indicators, subs, when)
 
 
 # Fields of the MARC record of an order: u is the first letter of the priority, s the status, c the
@@ -97,6 +111,17 @@ MARC_008 = (
 )
 
 
+# every subfield of every made record, one row each
+MARC_SUBFIELDS = """
+f AS (
+  SELECT 'o' || o_orderkey AS rec_id, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS s, o_orderpriority AS p,
+    substring(o_orderpriority, 1, 1) AS u, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders
+), subfields AS (SELECT * FROM (""" + " UNION ALL ".join(
+    f"SELECT rec_id, '{f.tag}' AS tag, '{code}' AS code, {value} AS value FROM f WHERE {f.when or 'true'}"
+    for f in MARC_FIELDS for code, value in f.subs
+) + ") WHERE value IS NOT NULL)"
+
+
 def marc_rows(t) -> DataFrame:
     """One MARC record per order: (rec_id, leader, control, data)."""
     orders = t.wide("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
@@ -109,6 +134,6 @@ def marc_rows(t) -> DataFrame:
         "concat('00000n', CASE s WHEN 'O' THEN 'am' WHEN 'F' THEN 'as' ELSE 'em' END, ' a2200000 c', IF(u = '1', 'a', ' '), '4500') AS leader",
         "array(named_struct('tag', '001', 'value', concat('o', k)), named_struct('tag', '007', 'value', IF(u = '2', 'ss foo', 'tu')), "
         f"named_struct('tag', '008', 'value', {MARC_008})) AS control",
-        f"transform(filter(array({', '.join(MARC_FIELDS)}), f -> f IS NOT NULL), f -> named_struct('tag', f.tag, 'ind1', f.ind1, 'ind2', f.ind2, "
+        f"transform(filter(array({', '.join(f.struct() for f in MARC_FIELDS)}), f -> f IS NOT NULL), f -> named_struct('tag', f.tag, 'ind1', f.ind1, 'ind2', f.ind2, "
         "'subs', filter(f.subs, x -> x.value IS NOT NULL))) AS data",
     )

@@ -8,7 +8,7 @@ from ..naming import Namespaces
 from ..plans import marc as M
 from ..plans import marc_agents, marc_links, marc_notes, marc_records, marc_subjects, marc_titles, marc_types
 from ..sources import inline_lookup, marc_fields
-from .bindings import marc_rows
+from .bindings import MARC_SUBFIELDS, marc_rows
 from .registry import query
 
 NS = Namespaces()
@@ -281,7 +281,7 @@ def marc_levels(t):
 
 
 @query(O + """
-SELECT rec_id, '245' AS tag, 'Body ' || c || '. Unit' AS body, 'Event ' || u || ' (2 : Trier)' AS event, 'Person ' || c || ' II.' AS person FROM o WHERE s = 'P'
+SELECT rec_id, '245' AS tag, 'Body ' || c || '. Unit' AS body, CASE WHEN s = 'P' THEN 'Event ' || u || ' (2 : Trier)' END AS event, 'Person ' || c || ' II.' AS person FROM o
 """)
 def marc_heading_labels(t):
     """Combined labels of a body, an event and a person."""
@@ -289,21 +289,16 @@ def marc_heading_labels(t):
         make, codes = M.LABELS[kind]
         return F.get(M.each(spec, codes, make), F.lit(place))
 
-    maps = marc_rows(t).where("substring(leader, 7, 1) = 'e'")
-    return M.prepared(maps).select(
+    return M.prepared(marc_rows(t)).select(
         "rec_id", F.lit("245").alias("tag"), label("710??", "other", 0).alias("body"), label("6891?", "event", 0).alias("event"),
         label("6890?", "person", 1).alias("person"),
     )
 
 
-@query(O + """
-SELECT '245' AS tag, 'a' AS code, count(*) AS n FROM o UNION ALL SELECT '264', 'c', count(*) + count(*) FILTER (s = 'F') FROM o
-UNION ALL SELECT '650', 'a', 2 * count(*) + count(*) FILTER (u = '2') FROM o UNION ALL SELECT '710', '4', 2 * count(*) FROM o
-""")
+@query(f"WITH {MARC_SUBFIELDS} SELECT tag, code, count(*) AS n FROM subfields GROUP BY ALL")
 def marc_subfield_counts(t):
     """Long form of the rows, counted per subfield."""
-    rows = marc_fields(marc_rows(t)).where(F.concat("tag", "code").isin("245a", "264c", "650a", "7104"))
-    return rows.groupBy("tag", "code").agg(F.count(F.lit(1)).alias("n"))
+    return marc_fields(marc_rows(t)).groupBy("tag", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(O + f"""

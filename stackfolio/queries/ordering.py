@@ -100,7 +100,7 @@ def third_page(t):
 
 
 GERMAN_WORDS = """
-WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{L}]+')) AS word FROM documents WHERE lang = 'de')
+WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{L}]+')) AS word FROM documents)
 """
 
 
@@ -108,8 +108,8 @@ WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{L}]+')) AS wor
 SELECT word, row_number() OVER (ORDER BY word COLLATE de, word) AS rank FROM w WHERE word <> ''
 """)
 def ranked_german(t):
-    """Different words of the German documents in German order."""
-    found = t.wide("documents", "lang", "text").where("lang = 'de'").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
+    """Different words of all documents in German order."""
+    found = t.wide("documents", "text").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
     rows = found.where("word <> ''").distinct()
     return scan.ranked(rows, [], [sortkeys.german(F.col("word")).asc(), F.asc("word")])
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions.identifiers import AUTHORITY_ID
-from ..operators import tree
+from ..operators import changes, tree
 from ..sources import (
     decode_tagged, marc_fields, mine_ids, parse_beacon, parse_lookup, parse_marcxml, parse_ndjson, parse_skos,
     register_entries, rejected_lines, select_entity, tagged_line, to_marcxml,
 )
-from .bindings import concepts, marc_rows, text
+from .bindings import MARC_SUBFIELDS, concepts, marc_rows, text
 from .registry import query
 
 
@@ -178,19 +178,10 @@ def register_csv_entries(t):
     return register_entries(rows)
 
 
-@query("""
-WITH r AS (SELECT 'o' || o_orderkey AS rec_id, * FROM orders)
-SELECT rec_id, '264' AS tag, 'c' AS code, '[' || year(o_orderdate) || ']' AS value FROM r
-UNION ALL SELECT rec_id, '264', 'c', 'ca. ' || year(o_orderdate) || '-' FROM r WHERE o_orderstatus = 'F'
-UNION ALL SELECT rec_id, '100', 'a', 'Customer ' || o_custkey || ', A.' FROM r
-UNION ALL SELECT rec_id, '245', 'a', 'Order <' || o_orderpriority || '> & more /' FROM r
-UNION ALL SELECT rec_id, '924', 'g', 'K ' || o_custkey || '/' || year(o_orderdate) FROM r
-""")
+@query(f"WITH {MARC_SUBFIELDS} SELECT * FROM subfields")
 def marcxml_roundtrip(t):
-    """MARC rows written as XML, parsed again, in long form."""
-    parsed = parse_marcxml(to_marcxml(marc_rows(t)), "xml")
-    wanted = F.concat("tag", "code").isin("264c", "100a", "245a", "924g")
-    return marc_fields(parsed).where(wanted).select("rec_id", "tag", "code", "value")
+    """MARC rows written as XML, parsed again, in long form: every subfield of every record."""
+    return marc_fields(parse_marcxml(to_marcxml(marc_rows(t)), "xml")).select("rec_id", "tag", "code", "value")
 
 
 @query("""
@@ -222,17 +213,19 @@ SELECT c_custkey AS id, 'PUT' AS method, 'http://localhost/api/customers/' || c_
 FROM customer WHERE c_acctbal < 0
 """)
 def update_requests(t):
-    changed = t.customer.where("c_acctbal < 0")
+    """Requests for the customers whose segment was another one before."""
+    before = t.customer.withColumn("c_mktsegment", F.when(F.col("c_acctbal") < 0, "none").otherwise(F.col("c_mktsegment")))
+    changed = changes.changed_only(before, t.customer, "c_custkey", ["c_name", "c_mktsegment"])
     return sinks.build_updates(changed, "c_custkey", ["c_name", "c_mktsegment"], "http://localhost", "customers")
 
 
 @query("""
 SELECT 'POST' AS method, 'http://localhost/api/parts' AS url,
-  '{"data":{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}}' AS body FROM part WHERE p_type = 'SMALL'
+  '{"data":{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}}' AS body FROM part WHERE p_name LIKE '%bolt%'
 """)
 def create_requests(t):
-    rows = t.part.where("p_type = 'SMALL'").select("p_partkey", "p_name")
-    return sinks.build_creates(rows, F.lit(True), "http://localhost", "parts")
+    rows = t.part.select("p_partkey", "p_name")
+    return sinks.build_creates(rows, F.col("p_name").contains("bolt"), "http://localhost", "parts")
 
 
 @query("""
@@ -250,14 +243,16 @@ def prunable_snapshots(t):
 
 
 @query("""
-SELECT 'http://example.org/tree#c' || c_custkey AS id,
-  '<http://example.org/tree#c' || c_custkey || '>' || chr(10) || '    a skos:Concept ;' || chr(10) ||
-  '    skos:broader <http://example.org/tree#n' || c_nationkey || '> ;' || chr(10) ||
-  '    skos:inScheme <http://example.org/tree> ;' || chr(10) || '    skos:notation "c' || c_custkey || '" ;' || chr(10) ||
-  '    skos:prefLabel "' || c_name || '"@de .' || chr(10) AS value
-FROM customer
+WITH c AS (SELECT 'c' || c_custkey AS n, 'n' || c_nationkey AS up, c_name AS l FROM customer
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL, r_name FROM region)
+SELECT 'http://example.org/tree#' || n AS id,
+  '<http://example.org/tree#' || n || '>' || chr(10) || '    a skos:Concept ;' || chr(10) ||
+  CASE WHEN up IS NULL THEN '' ELSE '    skos:broader <http://example.org/tree#' || up || '> ;' || chr(10) END ||
+  '    skos:inScheme <http://example.org/tree> ;' || chr(10) || '    skos:notation "' || n || '" ;' || chr(10) ||
+  '    skos:prefLabel "' || l || '"@de .' || chr(10) AS value
+FROM c
 """)
 def skos_text(t):
-    nodes = tree.build_tree(concepts(t)).where("id LIKE '%#c%'")
+    nodes = tree.build_tree(concepts(t))
     with_notation = nodes.withColumn("notation", F.element_at(F.split("id", "#"), -1))
     return sinks.skos_blocks(with_notation, "http://example.org/tree")

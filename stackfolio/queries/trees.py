@@ -122,13 +122,13 @@ def without_deleted(t):
 
 
 @query("""
-WITH b AS (SELECT c_nationkey AS parent, c_mktsegment AS id, min(c_name) AS label FROM customer WHERE c_acctbal > 5000 GROUP BY 1, 2),
-e AS (SELECT c_nationkey AS parent, c_mktsegment AS id, 'extra' AS label FROM customer GROUP BY 1, 2)
+WITH b AS (SELECT c_nationkey AS parent, c_mktsegment AS id, min(c_name) AS label FROM customer GROUP BY 1, 2),
+e AS (SELECT c_nationkey + 1 AS parent, c_mktsegment AS id, 'extra' AS label FROM customer GROUP BY 1, 2)
 SELECT * FROM b UNION ALL SELECT e.* FROM e LEFT JOIN b ON b.parent = e.parent AND b.id = e.id WHERE b.id IS NULL
 """)
 def overlaid_children(t):
-    base = t.customer.where("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("parent"), F.col("c_mktsegment").alias("id")).agg(F.min("c_name").alias("label"))
-    extra = t.customer.select(F.col("c_nationkey").alias("parent"), F.col("c_mktsegment").alias("id"), F.lit("extra").alias("label")).distinct()
+    base = t.customer.groupBy(F.col("c_nationkey").alias("parent"), F.col("c_mktsegment").alias("id")).agg(F.min("c_name").alias("label"))
+    extra = t.customer.select((F.col("c_nationkey") + 1).alias("parent"), F.col("c_mktsegment").alias("id"), F.lit("extra").alias("label")).distinct()
     return sets.overlay_children(base, extra)
 
 

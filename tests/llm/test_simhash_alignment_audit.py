@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 from itertools import permutations
 
@@ -172,16 +173,21 @@ def test_alignment_ends():
         assert label.tolist() == want
 
 
-def test_slices_encode_as_the_whole():
+def test_units_encode_as_the_whole():
     tokens = alignment.tokens_from(*PATHS)
     rng = random.Random(9)
-    kinds = [text_of(rng, 600), "a" * 300, " " * 200 + "b  c " * 80, "don't we'll 12 34 ... !! " * 40, "é　 x  y \x1c z " * 30]
-    for text in kinds + ["".join(rng.choice(" \n\tab1.é日▁'s") for _ in range(2000)) for _ in range(40)]:
-        parts = alignment.slices(text, 50)
-        assert " ".join(parts) == text
-        assert [i for p in parts for i in tokens.encode_a([p])[0]] == tokens.encode_a([text])[0]
-        assert [i for p in parts for i in tokens.encode_b([p])[0]] == tokens.encode_b([text])[0]
-    assert len(alignment.slices(kinds[0], 50)) > 20
+    kinds = [text_of(rng, 600), "a" * 300, " " * 200 + "b  c " * 80, "don't we'll 12 34 ... !! " * 40, "é　 x  y \x1c z " * 30, "x y\n", " x"]
+    letters = [" \n\tab1.é日'sz", " \u2028 x\x85y", "a b'", "😀 é"]
+    for text in kinds + ["".join(rng.choice(letters[i % 4]) for _ in range(2000)) for i in range(40)]:
+        units = re.split(alignment.CUT, text)
+        assert " ".join(units) == text
+        a, n_a, b, n_b = tokens.ids(units)
+        assert a.tolist() == tokens.a.encode(" " + text, add_special_tokens=False).ids
+        assert b.tolist() == tokens.b.encode(text)
+        for unit, i, j, k, m in zip(units, np.cumsum(n_a) - n_a, np.cumsum(n_a), np.cumsum(n_b) - n_b, np.cumsum(n_b)):
+            assert [a[i:j].tolist()] == tokens.encode_a([unit]) and [b[k:m].tolist()] == tokens.encode_b([unit])
+    with pytest.raises(ValueError):
+        tokens.ids(["one▁two"])
 
 
 def plain_failed(rows):

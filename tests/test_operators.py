@@ -317,3 +317,23 @@ def test_a_search_reads_the_files_of_its_words(spark, tmp_path):
     columns = pq.ParquetFile(some).metadata.row_group(0)
     coded = {columns.column(i).path_in_schema: columns.column(i).encodings for i in range(columns.num_columns)}
     assert "DELTA_BINARY_PACKED" in coded["positions.list.element"] and "DELTA_BINARY_PACKED" in coded["rec_id"]
+
+
+def test_double_keys_in_all_lookups(spark):
+    """One row stays one row, whichever lookup meets a key twice; the last by reading order wins where it is given."""
+    from stackfolio.operators import lookup
+    from stackfolio.plans import persons
+
+    table = spark.createDataFrame([("a", "1", 0), ("a", "2", 1), ("c", "9", 0)], "k string, v string, o int")
+    df = spark.createDataFrame([("a",), ("b",)], "x string")
+    found = lookup.lookup_any(df, "x", [table.where("k = 'z'"), table], "y").collect()
+    assert sorted((r["x"], r["y"]) for r in found) == [("a", "2"), ("b", None)]
+    wide = spark.createDataFrame([("a", "1", "p", 1), ("a", "2", "q", 0), ("b", None, "r", 0)], "k string, v string, w string, o int")
+    found = lookup.lookup_wide(df, "x", wide, "k", ["v", "w"]).collect()
+    assert sorted((r["x"], r["v"], r["w"]) for r in found) == [("a", "1", "p"), ("b", None, "r")]
+    uri = spark.createDataFrame([("http://a", "A"), ("http://a", "B")], "k string, v string")
+    refs = spark.createDataFrame([("p1", "born", 0, "http://a")], "local_id string, role string, pos int, value string")
+    assert [r["label"] for r in persons.place_labels(refs, uri, uri).collect()] == ["B"]
+    names = spark.createDataFrame([("11", "N"), ("11", "M")], "k string, label string")
+    people = spark.createDataFrame([("p1", ["http://x/11"])], "local_id string, related_person array<string>")
+    assert [r["label"] for r in persons.related_labels(people, names, uri).collect()] == ["N"]
