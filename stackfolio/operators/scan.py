@@ -101,7 +101,8 @@ def scan(
     previous, following = previous or {}, following or {}
     rows = df.withColumn(PLACE, order_place(df, order))
     bounds = _bounds(rows, keys, chunk_rows)
-    chunk = (F.col(GROUP).cast("long") * (2 * CUTS) + _chunk_of(F.col("_bounds"), F.col(PLACE))).alias(CHUNK)
+    numbered = F.col(GROUP).cast("long") * (2 * CUTS) + _chunk_of(F.col("_bounds"), F.col(PLACE))
+    chunk = F.when(F.col(GROUP).isNotNull(), numbered).otherwise(F.lit(0)).alias(CHUNK)
     if keys:
         marked = rows.join(F.broadcast(bounds), _same(keys, "_h"), "left")
         cut = rows.join(F.broadcast(bounds), _same(keys, "_h"))
@@ -122,7 +123,7 @@ def scan(
             local = local.withColumn(f"_l_{out}", F.last(name, ignorenulls=True).over(running))
         return local
 
-    local = worked(marked.select(*df.columns, F.coalesce(chunk, F.lit(0)).alias(CHUNK)))
+    local = worked(marked.select(*df.columns, chunk))
     for out, name in previous.items():
         local = local.withColumn(f"_p_{out}", F.lag(name).over(within))
     for out, name in following.items():

@@ -137,6 +137,41 @@ def test_reconcile_against_brute_force(spark):
     assert got == want
 
 
+def test_reconcile_with_missing_properties_and_ties(spark):
+    rng = random.Random(6)
+    titles = [(i, rng.choice(["x", "x y", "x y z", "q", "", None, "y x"]), rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for i in range(60)]
+    cats = [(i, rng.choice(["x", "y x", "x y z w", "z", "", None]), rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for i in range(50)]
+    a = spark.createDataFrame(titles, "r int, t string, p string, q int")
+    b = spark.createDataFrame(cats, "c int, t string, p string, q long")
+    for weights in ({}, {"p": 0.25}, {"p": 0.25, "q": 0.5}, {"q": 0.0}):
+        got = {x["r"]: (x["c"], x["overlap"], round(x["score"], 6)) for x in reconcile(a, b, "r", "t", "c", "t", weights, 0.5).collect()}
+        want = {}
+        for r, t, p, q in titles:
+            own = set((t or "").split())
+            pairs = []
+            for c, u, p2, q2 in cats:
+                share = len(own & set((u or "").split())) / len(own) if own else 0
+                bonus = weights.get("p", 0) * (p is not None and p == p2) + weights.get("q", 0) * (q is not None and q == q2)
+                if share >= 0.5:
+                    pairs.append((-share - bonus, c, share))
+            if pairs:
+                want[r] = (min(pairs)[1], min(pairs)[2], round(-min(pairs)[0], 6))
+        assert got == want
+    with pytest.raises(ValueError):
+        reconcile(a, b, "r", "t", "c", "t", {"p": -1.0})
+
+
+def test_reconcile_of_one_frequent_word(spark):
+    """4000 records and 4000 titles with the same word make some thousand pairs."""
+    from stackfolio.operators.reconcile import Candidates
+
+    a = spark.range(4000).select(F.col("id").alias("r"), F.lit("x").alias("t"), F.pmod("id", F.lit(7)).alias("p"))
+    b = spark.range(4000).select(F.col("id").alias("c"), F.concat(F.lit("x w"), "id").alias("t"), F.pmod("id", F.lit(11)).alias("p"))
+    assert Candidates(a, b, "r", "t", "c", "t", ["p"], 0.8).pairs().count() < 8000
+    got = reconcile(a, b, "r", "t", "c", "t", {"p": 0.3}).collect()
+    assert len(got) == 4000 and all(x["c"] == x["r"] % 7 and x["score"] == 1.3 for x in got)
+
+
 def test_lookup_of_lists_keeps_empty_and_missing_lists(spark):
     df = spark.createDataFrame([(1, ["a", "x", "a"]), (2, []), (3, None)], "id int, v array<string>")
     got = {r["id"]: r["v"] for r in lookup.lookup_array(df, "id", "v", inline_lookup(spark, {"a": "A"})).collect()}
