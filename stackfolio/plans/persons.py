@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from ..operators.lookup import lookup, unique_keys, unique_rows
 from ..operators.shape import vacuum
 from .labels import Vocabularies, one_each
 from .legacy_titles import by_name, tag_value, tag_values
+from .resolver import chained, each, entry, resolve
 
 # List fields, text groups and flags of a tagged person record.
 LIST_FIELDS = {
@@ -186,10 +190,10 @@ def related_labels(persons: DataFrame, authorities: DataFrame, own_labels: DataF
     return step.select("local_id", "pos", "id", label.alias("label"))
 
 
-def linked_persons(persons: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:
-    """The part of a linked person that needs no lookup; join ``regroup`` results and ``link_out`` to it.
+def linked_persons(persons: DataFrame, ns: Namespaces = Namespaces(), keep: Sequence[str] = ()) -> DataFrame:
+    """The part of a linked person that needs no lookup, and the columns ``keep`` as they are.
 
-    Expected columns are those of ``legacy_persons``.
+    Expected columns are those of ``legacy_persons``. For whole records see ``whole_persons``.
     """
     def single(value: Column) -> Column:
         return F.filter(F.array(value), lambda v: v.isNotNull())
@@ -215,5 +219,80 @@ def linked_persons(persons: DataFrame, ns: Namespaces = Namespaces()) -> DataFra
             "publication",
             F.col("biography").alias("biographical_information"),
             F.struct(F.col("date_modified").alias("date_modified"), F.col("source").alias("source")).alias("described_by"),
+            *keep,
         )
     )
+
+
+@dataclass(frozen=True)
+class PersonVocabularies:
+    """Tables of ``resolver.vocabulary`` for person records; ``feeds`` are (k, url, label), in their order.
+
+    Places, professions and persons are looked up in two tables in turn.
+    """
+
+    places: DataFrame
+    more_places: DataFrame
+    headings: DataFrame
+    authorities: DataFrame
+    categories: DataFrame
+    persons: DataFrame
+    own_persons: DataFrame
+    images: DataFrame
+    feeds: Sequence[DataFrame] = ()
+
+
+def whole_persons(persons: DataFrame, vocab: PersonVocabularies, ns: Namespaces = Namespaces()) -> DataFrame:
+    """Whole linked persons: ``linked_persons`` with labels of all places, professions, categories and
+    relations, images and links to other sites. All lookups are one join (see ``resolver``).
+
+    Places and persons that are no address are their own label; codes of unknown categories get the
+    local address; a profession keeps its code as label if nothing is known.
+    """
+    raw = ["place_of_birth", "place_of_death", "place_of_activity", "profession", "subject_category", "related_person"]
+    rows = linked_persons(persons, ns, raw)
+    is_uri = lambda v: v.rlike("^http.+")
+    alone = lambda v: F.filter(F.array(v), lambda x: x.isNotNull())
+    places = {"place_of_birth": alone(F.col("place_of_birth")), "place_of_death": alone(F.col("place_of_death")), "place_of_activity": F.col("place_of_activity")}
+    code = {
+        "profession": lambda v: F.regexp_replace(v, r"^http.+/(\d.+)", "$1"),
+        "subject_category": lambda v: F.regexp_replace(v, r"^http.+/n?(\d.*)", "$1"),
+        "related_person": lambda v: F.when(is_uri(v), F.regexp_replace(v, r"^http.+/([p\d].+)", "$1")),
+    }
+    asked = {name: ("place", F.transform(listed, lambda v: F.when(is_uri(v), v))) for name, listed in places.items()}
+    asked |= {name: (name, F.transform(F.col(name), read)) for name, read in code.items()}
+    asked |= {"image": ("image", F.array("authority_id"))}
+    asked |= {f"feed{i}": (f"feed{i}", F.array("authority_id")) for i in range(len(vocab.feeds))}
+    tables = {
+        "place": chained(vocab.places, vocab.more_places), "profession": chained(vocab.headings, vocab.authorities),
+        "subject_category": vocab.categories, "related_person": chained(vocab.persons, vocab.own_persons), "image": vocab.images,
+    } | {f"feed{i}": feed for i, feed in enumerate(vocab.feeds)}
+    rows = resolve(rows, "local_id", asked, tables)
+
+    def labelled(value: Column, e: Column) -> Column:
+        return F.struct(value.alias("id"), F.coalesce(e["label"], value).alias("label"))
+
+    def profession(value: Column, e: Column) -> Column:
+        label = F.coalesce(e["label"], code["profession"](value))
+        return F.struct(value.alias("id"), label.alias("label"), F.split(e["variants"], "; ").alias("alt_label"))
+
+    def category(value: Column, e: Column) -> Column:
+        prefix = F.when(e["label"].isNotNull(), ns.subject_category).otherwise(ns.field)
+        return F.struct(F.concat(prefix, code["subject_category"](value)).alias("id"), e["label"].alias("label"))
+
+    def relation(value: Column, e: Column) -> Column:
+        label = F.coalesce(e["label"], code["related_person"](value), value)
+        return F.struct(value.alias("id"), F.regexp_replace(label, "¬", "").alias("label"))
+
+    image = entry("image", 0)
+    depiction = F.struct(image["label"].alias("id"), image["url"].alias("url"), image["thumbnail"].alias("thumbnail"))
+    links = [entry(f"feed{i}", 0) for i in range(len(vocab.feeds))]
+    same_as = [
+        F.when(e["url"].isNotNull(), F.struct(e["url"].alias("id"), F.struct(e["label"].alias("name")).alias("collection"))) for e in links
+    ]
+    out = {name: each(listed, name, labelled) for name, listed in places.items()}
+    out |= {name: each(F.col(name), name, make) for name, make in zip(code, (profession, category, relation))}
+    out["depiction"] = F.when(image.isNotNull(), F.array(depiction))
+    if same_as:
+        out["same_as"] = F.filter(F.array(*same_as), lambda x: x.isNotNull())
+    return vacuum(rows.select(*[c for c in rows.columns if c not in (*out, "found")], *[c.alias(n) for n, c in out.items()]))

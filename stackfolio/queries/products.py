@@ -11,6 +11,7 @@ from ..operators.sets import route_collections
 from ..plans import authorities, persons, titles
 from ..plans.labels import Vocabularies
 from ..plans.legacy_titles import legacy_titles
+from ..plans.resolver import vocabulary
 from ..sources import split_volumes
 from ..sources.tagged import checked_lines, tagged_line
 from .bindings import text
@@ -251,6 +252,76 @@ def linked_person_records(t):
     )
 
 
+# what the lookups of a person give, by (k, n)
+PERSON_LOOKUPS = PERSON + f"""
+, l AS (
+  SELECT p.*, CASE WHEN n_regionkey <> 0 THEN n_name || CASE WHEN n_regionkey = 2 THEN ' again' ELSE '' END ELSE '{NS.spatial}' || n END AS place,
+    CASE WHEN n_regionkey = 1 THEN n_name END AS category, c_acctbal > 0 AS known, n_regionkey <> 3 AND c_acctbal > 0 AS pictured,
+    CASE WHEN c_acctbal > 0 THEN '1' || k || '-5' ELSE 'Keine GND-Ansetzung für p' || k END AS gnd
+  FROM p JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'MACHINERY'
+)
+"""
+
+
+@query(PERSON_LOOKUPS + f"""
+SELECT 'p' || k AS local_id, CASE WHEN known THEN '{NS.authority}' || gnd ELSE '{NS.person}p' || k END AS id, gnd AS authority_id, '{NS.person_context}' AS context,
+  'AuthorityResource|Person|DifferentiatedPerson' AS type, c_name AS preferred_name, 'Var A' || k || '|Var B|Other' AS variant_name,
+  '{NS.gender}female=Weiblich' AS gender, '18' || lpad(n, 2, '0') || '-05-04' AS date_of_birth, 'März 1908' AS date_of_death, '' AS period_of_activity,
+  'First.' || chr(10) || chr(10) || 'Second ' || k || '|Third' AS biographical_information, '2024-03-12' AS date_modified, '' AS source, '' AS publication,
+  '{NS.spatial}' || n || '=' || place AS place_of_birth, 'Trier=Trier' AS place_of_death, '{NS.spatial}' || n || '=' || place || '|Mainz=Mainz' AS place_of_activity,
+  '{NS.authority}4' || k || '-1=' || CASE WHEN known THEN c_name ELSE '4' || k || '-1' END || '=|{NS.heading}b' || n || '=' || '{NS.heading}b' || n || '=' AS profession,
+  CASE WHEN category IS NOT NULL THEN '{NS.subject_category}' || n || '.2p=' || category ELSE '{NS.field}' || n || '.2p=' END AS subject_category,
+  '1' || k || '=1' || k || '|Other, A / 1800-=Other, A / 1800-' AS related_person,
+  CASE WHEN pictured THEN 'i' || gnd || '=http://img/' || gnd || '=http://img/small/' || gnd ELSE '' END AS depiction,
+  concat_ws('|', CASE WHEN known THEN 'http://a/' || gnd || '=A' END, CASE WHEN known AND c_acctbal > 5000 THEN 'http://b/' || k || '=Z' END) AS same_as
+FROM l
+""")
+def whole_person_records(t):
+    """Every field of a linked person, with all lookups in one join."""
+    known = t.customer.where("c_acctbal > 0").withColumn("gnd", F.concat(F.lit("1"), "c_custkey", F.lit("-5")))
+    twice = t.customer.where("c_acctbal > 5000").select(
+        F.concat(F.lit("1"), "c_custkey", F.lit("-5")).alias("k"), text("http://b/", "c_custkey").alias("url"),
+        F.explode(F.array(F.lit("B"), F.lit("Z"))).alias("name"),
+    )
+    words = vocabularies(t)
+    vocab = persons.PersonVocabularies(
+        places=vocabulary(t.nation.where("n_regionkey <> 0").select(text(NS.spatial, "n_nationkey").alias("k"), "n_name"), label="n_name"),
+        more_places=vocabulary(t.nation.where("n_regionkey = 2").select(F.col("n_name").alias("k"), F.concat("n_name", F.lit(" again")).alias("v")), label="v"),
+        headings=vocabulary(words.headings, label="label", variants="variants"),
+        authorities=vocabulary(words.authorities, label="label"),
+        categories=vocabulary(t.nation.where("n_regionkey = 1").select(F.concat("n_nationkey", F.lit(".2p")).alias("k"), "n_name"), label="n_name"),
+        persons=vocabulary(known, "gnd", label="c_name"),
+        own_persons=vocabulary(t.nation, "n_name", label="n_name"),
+        images=vocabulary(
+            known.join(t.nation.where("n_regionkey <> 3"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+                F.col("gnd").alias("k"), F.concat(F.lit("i"), "gnd").alias("id"), F.concat(F.lit("http://img/"), "gnd").alias("url"),
+                F.concat(F.lit("http://img/small/"), "gnd").alias("small"),
+            ), label="id", url="url", thumbnail="small",
+        ),
+        feeds=[
+            vocabulary(known.select(F.col("gnd").alias("k"), F.concat(F.lit("http://a/"), "gnd").alias("url"), F.lit("A").alias("name")), url="url", label="name"),
+            vocabulary(twice, url="url", label="name"),
+        ],
+    )
+    rows = persons.whole_persons(persons.legacy_persons(person_records(t)), vocab)
+
+    def listed(name, *parts):
+        one = lambda x: F.concat_ws("=", *[F.coalesce(p(x), F.lit("")) for p in parts])
+        return F.coalesce(F.array_join(F.transform(name, one), "|"), F.lit("")).alias(name)
+
+    field = lambda *names: [lambda x, n=n: x[n] for n in names]
+    return rows.select(
+        "local_id", "id", "authority_id", "context", F.array_join("type", "|").alias("type"), "preferred_name", F.array_join("variant_name", "|").alias("variant_name"),
+        listed("gender", *field("id", "label")), listed("date_of_birth", lambda x: x), listed("date_of_death", lambda x: x), listed("period_of_activity", lambda x: x),
+        listed("biographical_information", lambda x: x), F.col("described_by.date_modified").alias("date_modified"),
+        F.coalesce(F.array_join("described_by.source", "|"), F.lit("")).alias("source"), listed("publication", lambda x: x),
+        listed("place_of_birth", *field("id", "label")), listed("place_of_death", *field("id", "label")), listed("place_of_activity", *field("id", "label")),
+        listed("profession", *field("id", "label"), lambda x: F.array_join(x["alt_label"], ",")), listed("subject_category", *field("id", "label")),
+        listed("related_person", *field("id", "label")), listed("depiction", *field("id", "url", "thumbnail")),
+        listed("same_as", lambda x: x["id"], lambda x: x["collection"]["name"]),
+    )
+
+
 @query(PERSON + """
 , l AS (SELECT k, CASE WHEN n_regionkey <> 0 THEN n_name || CASE WHEN n_regionkey = 2 THEN ' again' ELSE '' END END AS place, n FROM p JOIN nation ON c_nationkey = n_nationkey)
 SELECT 'p' || k AS local_id, coalesce(place, '""" + NS.spatial + """' || n) || ', Mainz' AS active_in, coalesce(place, '""" + NS.spatial + """' || n) AS born_in, 'Trier' AS died_in FROM l
