@@ -285,7 +285,7 @@ def whole_persons(persons: DataFrame, vocab: PersonVocabularies, ns: Namespaces
         return F.struct(value.alias("id"), F.regexp_replace(label, "¬", "").alias("label"))
 
     image = entry("image", 0)
-    depiction = F.struct(image["label"].alias("id"), image["url"].alias("url"), image["thumbnail"].alias("thumbnail"))
+    depiction = F.struct(image["label"].alias("id"), image["url"].alias("url"), image["detail"].alias("thumbnail"))
     links = [entry(f"feed{i}", 0) for i in range(len(vocab.feeds))]
     same_as = [
         F.when(e["url"].isNotNull(), F.struct(e["url"].alias("id"), F.struct(e["label"].alias("name")).alias("collection"))) for e in links

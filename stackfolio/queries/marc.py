@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..naming import Namespaces
 from ..plans import marc as M
+from ..plans.resolver import vocabulary
 from ..plans import marc_agents, marc_links, marc_notes, marc_records, marc_subjects, marc_titles, marc_types
+from ..plans.resolver import vocabulary
 from ..sources import inline_lookup, marc_fields
 from .bindings import MARC_SUBFIELDS, marc_rows
 from .registry import query
@@ -312,3 +314,60 @@ def linked_marc_records(t):
         "rec_id", "id", F.get("publication", F.lit(0))["start_date"].alias("start_date"), F.size("contribution").alias("contributions"),
         F.size("has_item").alias("items"), F.get(first, F.lit(0))["other_value"].alias("other_script"),
     )
+
+
+@query(O + f"""
+, v AS (SELECT *, (u = '3') AS site FROM o)
+SELECT rec_id, '{NS.resource}' || rec_id || '#!' AS id, 'http://raw/' || rec_id || '?x' AS described_by,
+  concat_ws('|', CASE WHEN s <> 'P' THEN CASE u WHEN '1' THEN '{NS.language}eng=Englisch' ELSE '{NS.language}ger=Deutsch' END END,
+    CASE WHEN u = '2' THEN '{NS.language}fre=Französisch' END) AS language,
+  'Dewey-Dezimalklassifikation=' || u || '00=22=' || CASE WHEN u < '4' THEN 'Class ' || u ELSE '' END AS notation,
+  CASE u WHEN '1' THEN 'Festschrift=https://d-nb.info/gnd/4016928-5' WHEN '2' THEN '' WHEN '3' THEN 'Website=https://d-nb.info/gnd/4596172-4'
+    ELSE 'Statistik=https://d-nb.info/gnd/4056995-0' END AS nature_of_content,
+  'http://example.org/spatial#' || u || '=' || CASE WHEN u <> '5' THEN 'Place ' || u ELSE '' END || '=' || u || '='
+    || CASE WHEN u <> '5' THEN 'Q' || u || '=city+town=' || CAST(49.5 + CAST(u AS INT) AS VARCHAR) || '=8.25' ELSE '===' END AS spatial,
+  array_to_string(list_sort(list_filter([CASE WHEN s = 'F' THEN 'Zeitschriftendatenbank (ZDB)' END, CASE WHEN u = '5' THEN 'Journals' END, CASE WHEN u = '4' THEN 'Marked' END,
+    CASE u WHEN '1' THEN 'ZDB Collection' WHEN '2' THEN 'OERSI' WHEN '3' THEN NULL ELSE 'ZDB-x Collection' END], lambda x: x IS NOT NULL)), '|') AS in_collection,
+  array_to_string(list_sort(list_filter(['Free ' || u || ' / Sub', 'Loc ' || u, CASE WHEN u = '2' THEN 'Fast ' || u END, 'Topic ' || u, 'Mainz', 'Person ' || c || ' II.',
+    CASE WHEN s = 'P' THEN 'Event ' || u || ' (2 : Trier)' END], lambda x: x IS NOT NULL)), '|') AS subject_labels,
+  CASE WHEN site THEN 'http://example.org/o/' || o_orderkey || '=example.org/o/' || o_orderkey ELSE '' END AS web_page_archived,
+  y AS start_date, 4 + CASE WHEN s = 'P' THEN 1 ELSE 0 END AS contributions, 'Kyr ' || u AS other_script, 'Note ' || u AS note
+FROM v
+""")
+def whole_marc_records(t):
+    """The whole MARC plan with all lookups in one join: every field that a lookup or the assembly gives."""
+    made = lambda rows, names: t.spark.createDataFrame(rows, names)
+    terms = made([("Festschrift", "4016928-5"), ("Website", "4596172-4"), ("Statistik", "4056995-0"), ("CD", "4139307-7")], "k string, number string")
+    vocab = marc_records.MarcVocabularies(
+        languages=vocabulary(inline_lookup(t.spark, {"ger": "Deutsch", "eng": "Englisch", "fre": "Französisch"}), label="v"),
+        schemes=vocabulary(made([("rvk", "RVK", "https://d-nb.info/gnd/4449787-8"), ("x", "X", "no uri")], "k string, name string, uri string"), label="name", url="uri"),
+        notations=vocabulary(made([(f"ddc {i}00", f"Class {i}") for i in range(1, 4)], "k string, v string"), label="v"),
+        terms=vocabulary(terms, label="number"),
+        term_numbers=vocabulary(terms.toDF("label", "k"), label="label"),
+        places=vocabulary(
+            made(
+                [(f"http://example.org/spatial#{i}", f"Place {i}", f"Q{i}", "city, town", f"Point(8.25 {49.5 + i})") for i in range(1, 5)],
+                "k string, label string, focus string, types string, point string",
+            ), label="label", variants="types", url="focus", detail="point",
+        ),
+    )
+    rows = marc_records.whole_marc(
+        marc_rows(t), "DE-36", vocab, this_year=2026, url_rules=[("EZB", "http://x/ezb", "Journals")],
+        selection_rules=[("084??", "a", "^A4", "http://x/marked", "Marked")], places="http://example.org/spatial#", source=("http://raw/", "?x"),
+    )
+
+    def listed(name, *parts):
+        one = lambda x: F.concat_ws("=", *[F.coalesce(p(x).cast("string"), F.lit("")) for p in parts])
+        return F.coalesce(F.array_join(F.transform(name, one), "|"), F.lit("")).alias(name)
+
+    field = lambda *names: [lambda x, n=n: x[n] for n in names]
+    first = F.get("other_scripts", F.lit(0))["fields"]
+    return rows.select(
+        "rec_id", "id", F.col("described_by.object_id").alias("described_by"), listed("language", *field("id", "label")),
+        listed("notation", *field("scheme", "notation", "version", "label")), listed("nature_of_content", *field("label", "id")),
+        listed("spatial", *field("id", "label", "notation", "focus_id"), lambda x: F.array_join(x["focus_types"], "+"), *field("lat", "lon")),
+        F.array_join(F.array_sort(F.transform("in_collection", lambda c: c["label"])), "|").alias("in_collection"),
+        F.array_join(F.array_sort("subject_labels"), "|").alias("subject_labels"), listed("web_page_archived", *field("id", "label")),
+        F.get("publication", F.lit(0))["start_date"].alias("start_date"), F.size("contribution").alias("contributions"),
+        F.get(first, F.lit(0))["other_value"].alias("other_script"), joined("note", "note"),
+    )

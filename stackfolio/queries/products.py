@@ -296,7 +296,7 @@ def whole_person_records(t):
             known.join(t.nation.where("n_regionkey <> 3"), F.col("c_nationkey") == F.col("n_nationkey")).select(
                 F.col("gnd").alias("k"), F.concat(F.lit("i"), "gnd").alias("id"), F.concat(F.lit("http://img/"), "gnd").alias("url"),
                 F.concat(F.lit("http://img/small/"), "gnd").alias("small"),
-            ), label="id", url="url", thumbnail="small",
+            ), label="id", url="url", detail="small",
         ),
         feeds=[
             vocabulary(known.select(F.col("gnd").alias("k"), F.concat(F.lit("http://a/"), "gnd").alias("url"), F.lit("A").alias("name")), url="url", label="name"),
