@@ -33,6 +33,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,13 @@ from ..session import written
 from .base import WordTable, per_batch, prepare, texts_of
 
 HEAVY = 1 << 16
-CHUNK = 1 << 14  # bytes of units that are encoded as one text
+CHUNK = 1 << 12  # characters of units that are encoded as one text
 TOGETHER = 1 << 15  # units that are aligned at once
-KEPT_UNIT, KEPT_UNITS = 64, 200_000  # characters of a unit, and units of a worker, kept between batches
+KEPT_UNIT, KEPT_UNITS = 64, 400_000  # characters of a unit, and units of a worker, kept between batches
 BLANK = "▁"  # fixed value: the piece model's mark for a blank
 WHITE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK
 CUT = f"(?<=[^{WHITE}]) (?=[^{WHITE}])"
+MARGINS = {c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c)}
 
 
 def byte_of_char() -> dict[str, int]:
@@ -110,22 +112,24 @@ class Tokens:
         Units that may stand beside others are encoded together and told apart by their bytes.
         """
         texts, size = [], CHUNK
-        alone = re.compile(f"^[{WHITE}]|[{WHITE}]$")
         for unit in units:
-            single = not unit or alone.search(unit) is not None
-            if single or size >= CHUNK:
+            alone = not unit or unit[0] in MARGINS or unit[-1] in MARGINS
+            if alone or size >= CHUNK:
                 texts.append([unit])
+                size = 0
             else:
                 texts[-1].append(unit)
-            size = CHUNK if single else len(unit) + 1 if size >= CHUNK else size + len(unit) + 1
+            size = CHUNK if alone else size + len(unit) + 1
         whole = [" ".join(t) for t in texts]
-        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        starts = np.frombuffer(pa.array(units, pa.large_string()).buffers()[1], np.int64)[: len(units) + 1]
+        ends = starts[1:] + np.arange(1, len(units) + 1)
+        text = (" " + " ".join(units)).encode()
         out = []
         for found, sizes, entries in (
             (self.encode_a(whole), self.a_size, self.a_bytes), (self.encode_b(whole), self.b_size, self.b_bytes),
         ):
-            ids = np.concatenate([np.array(x, np.int64) for x in found])
-            if joined(ids, entries)[0] != "".join(f" {u}" for u in units).encode():
+            ids = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+            if joined(ids, entries)[0] != text:
                 raise ValueError("a tokenizer does not give back the bytes of its text")
             out += [ids, np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends, side="right"), prepend=0)]
         return tuple(out)
