@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import changes, lookup, sets
+from ..operators import areas, changes, lookup, sets
 from ..operators.reconcile import reconcile
 from ..plans import marc_titles
 from ..plans.marc import prepared
@@ -338,6 +338,28 @@ def points_in_polygon(t):
     return lookup.within_polygon(points, "lat", "lon", AREA).select("vec_id")
 
 
+CORNERS = [(-1.0, -1.0), (-0.2, 0.0), (-1.0, 1.0), (1.0, 0.25)]
+
+
+@query("""
+WITH a AS (SELECT s_suppkey AS area, ((s_suppkey * 37) % 101) / 250.0 - 0.2 AS y, ((s_suppkey * 53) % 97) / 250.0 - 0.2 AS x, (1 + s_suppkey % 7) * (s_suppkey % 3 + 0.5) / 64.0 AS r FROM supplier),
+c AS (SELECT area, [""" + ", ".join(f"{{'lat': y + {a} * r, 'lon': x + {b} * r}}" for a, b in CORNERS) + """] AS ring FROM a),
+e AS (SELECT area, ring[i].lat AS y1, ring[i].lon AS x1, ring[i % 4 + 1].lat AS y2, ring[i % 4 + 1].lon AS x2 FROM c, (SELECT unnest([1, 2, 3, 4]) AS i)),
+p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS lat, CAST(embedding[2] AS DOUBLE) AS lon FROM embeddings)
+SELECT vec_id, area FROM p, e WHERE ((y1 > lat) <> (y2 > lat)) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1
+""")
+def points_in_areas(t):
+    """Vectors as points within an area of each supplier; the areas have many sizes, overlap and are not convex."""
+    key, r = F.col("s_suppkey"), F.col("r")
+    y, x = (key * 37) % 101 / F.lit(250.0) - 0.2, (key * 53) % 97 / F.lit(250.0) - 0.2
+    sized = t.supplier.select(key, y.alias("y"), x.alias("x"), ((1 + key % 7) * (key % 3 + 0.5) / F.lit(64.0)).alias("r"))
+    corners = F.array(*[F.struct((F.col("y") + F.lit(a) * r).alias("lat"), (F.col("x") + F.lit(b) * r).alias("lon")) for a, b in CORNERS])
+    points = t.embeddings.select(
+        "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("lat"), F.get("embedding", F.lit(1)).cast("double").alias("lon")
+    )
+    return areas.within_areas(points, "lat", "lon", sized.select("s_suppkey", corners.alias("ring")), "s_suppkey", "ring").select("vec_id", "area")
+
+
 @query("""
 WITH p AS (SELECT p_partkey, [p_type, p_brand] AS old, [CASE p_type WHEN 'ECONOMY' THEN 'STANDARD' WHEN 'SMALL' THEN 'MEDIUM' ELSE p_type END,
   CASE p_brand WHEN 'Brand#1' THEN 'Brand#2' ELSE p_brand END] AS new FROM part)

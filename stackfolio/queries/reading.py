@@ -200,8 +200,8 @@ def lookup_tsv_lines(t):
 
 
 @query("""
-SELECT source AS v, CASE WHEN source = min(source) OVER () THEN '[' ELSE '' END || '"' || source || '"'
-  || CASE WHEN source = max(source) OVER () THEN ']' ELSE ',' END AS value FROM (SELECT DISTINCT source FROM documents)
+SELECT 1 AS place, source AS v, CASE WHEN source = min(source) OVER () THEN '' ELSE ',' END || '"' || source || '"' AS value
+FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT 0, NULL, '[' UNION ALL SELECT 2, NULL, ']'
 """)
 def json_value_list(t):
     return sinks.json_array_lines(t.documents, "source")

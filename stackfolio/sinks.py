@@ -44,20 +44,23 @@ def write_lookup_tsv(df: DataFrame, path: str, columns: Sequence[str], distinct:
 
 
 def json_array_lines(df: DataFrame, column: str) -> DataFrame:
-    """All different values as the lines of one JSON list: (v, value), to be read in the order of v.
+    """All different values as the lines of one JSON list: (place, v, value), to be read in the order of place and v.
 
-    The first line opens the list and the last one closes it, so a list may have any length.
+    The brackets are lines of their own, so an empty table gives an empty list, and every value but the
+    first begins with its comma, so a list may have any length. No job runs before the lines are read.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct()
-    ends = values.agg(F.min("v").alias("first"), F.max("v").alias("last")).first()
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v"))
+    first = known.agg(F.min("v")).scalar()
     item = F.regexp_extract(F.to_json(F.array("v")), r"(?s)^\[(.*)\]$", 1)
-    opening = F.when(F.col("v") == F.lit(ends["first"]), "[").otherwise("")
-    return values.select("v", F.concat(opening, item, F.when(F.col("v") == F.lit(ends["last"]), "]").otherwise(",")).alias("value"))
+    comma = F.when(F.col("v") == first, "").otherwise(",")
+    values = known.distinct().select(F.lit(1).alias("place"), "v", F.concat(comma, item).alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, None, "["), (2, None, "]")], "place int, v string, value string")
+    return values.unionByName(ends)
 
 
 def write_json_array(df: DataFrame, path: str, column: str) -> None:
     """The list over part files, whose order is that of their names."""
-    json_array_lines(df, column).orderBy("v").select("value").write.text(path)
+    json_array_lines(df, column).orderBy("place", "v").select("value").write.text(path)
 
 
 def build_updates(df: DataFrame, id_col: str, columns: Sequence[str], base_url: str, path: str) -> DataFrame:

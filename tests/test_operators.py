@@ -372,3 +372,32 @@ def test_double_keys_in_all_lookups(spark):
     names = spark.createDataFrame([("11", "N"), ("11", "M")], "k string, label string")
     people = spark.createDataFrame([("p1", ["http://x/11"])], "local_id string, related_person array<string>")
     assert [r["label"] for r in persons.related_labels(people, names, uri).collect()] == ["N"]
+
+
+def test_points_within_areas(spark):
+    """Random rings, among them self-crossing, tiny, huge and flat ones, against the crossing test of each pair."""
+    from stackfolio.operators.areas import within_areas
+
+    rng = random.Random(8)
+    rings = {}
+    for k in range(60):
+        size, y, x = 10 ** rng.uniform(-4, 2), rng.uniform(-50, 50), rng.uniform(-50, 50)
+        rings[k] = [(y + size * rng.uniform(-1, 1), x + size * rng.uniform(-1, 1)) for _ in range(rng.randrange(3, 9))]
+    rings |= {90: [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], 91: [(1.0, 1.0)], 92: [], 93: [(1.0, 1.0)] * 4, 94: [(0.0, 0.0), (0.0, 5.0), (0.0, 9.0)]}
+    points = [(i, rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(500)]
+    points += [(1000 + 20 * k + j, y + rng.uniform(-1, 1) * 10 ** -j, x + rng.uniform(-1, 1) * 10 ** -j) for k, ring in rings.items() for y, x in ring[:1] for j in range(6)]
+    points += [(5000 + i, float(i % 5 * 2), float(i // 5 * 2)) for i in range(25)]  # corners, sides and cell borders
+
+    def inside(y, x, ring):
+        odd = False
+        for (y1, x1), (y2, x2) in zip(ring, [*ring[1:], *ring[:1]]):
+            odd ^= (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return odd
+
+    want = {(i, k) for i, y, x in points for k, ring in rings.items() if inside(y, x, ring)}
+    areas = spark.createDataFrame(list(rings.items()), "k int, ring array<struct<lat: double, lon: double>>")
+    df = spark.createDataFrame([*points, (9999, None, 1.0)], "i int, y double, x double")
+    got = within_areas(df, "y", "x", areas, "k", "ring")
+    assert {(r["i"], r["area"]) for r in got.collect()} == want and len(want) > 150
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert within_areas(df, "y", "x", areas.limit(0), "k", "ring").count() == 0

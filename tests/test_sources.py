@@ -211,6 +211,15 @@ def test_tsv_and_json_list(spark, tmp_path):
     assert "".join(x for f in sorted((tmp_path / "j").glob("part-*")) for x in f.read_text().splitlines()) == '["a","b"]'
 
 
+def test_json_list_of_nothing_and_of_one(spark, tmp_path):
+    import json
+
+    for name, rows in (("none", []), ("nulls", [(None,)]), ("one", [('a"\n',)]), ("many", [(f"v{i % 700}",) for i in range(2000)])):
+        sinks.write_json_array(spark.createDataFrame(rows, "k string"), str(tmp_path / name), "k")
+        text = "\n".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*")))
+        assert json.loads(text) == sorted({r[0] for r in rows} - {None})
+
+
 def test_ndjson_leaves_absent_fields_out(spark, tmp_path):
     sinks.write_ndjson(spark.createDataFrame([("1", None)], "id string, x string"), str(tmp_path / "n"))
     assert [x for f in (tmp_path / "n").glob("part-*") for x in f.read_text().splitlines()] == ['{"id":"1"}']
