@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import changes, lookup, quality
+from ..operators import changes, contract, lookup, quality
 from ..session import scratch_path
 from ..sinks import read_snapshot, swap_snapshot
 from ..streaming.changes import read_log, replay_dedupe, replay_upserts
@@ -104,6 +105,66 @@ def contract_violations(t):
     return quality.validate(rows, "o_orderkey", checks)
 
 
+CONTRACT_FILES = {
+    "uri.json": {"type": "string", "format": "uri"},
+    "agent.json": {
+        "type": "object", "required": ["label"],
+        "properties": {
+            "label": {"type": "string", "pattern": "^Customer [1-9]"}, "id": {"$ref": "uri.json"},
+            "type": {"type": "array", "minItems": 1, "items": {"type": "string", "enum": ["Person", "CorporateBody"]}},
+        },
+    },
+}
+CONTRACT = {
+    "$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "required": ["id", "title", "contribution"],
+    "properties": {
+        "id": {"type": "string", "pattern": "^[0-9]+$"}, "title": {"type": "string"},
+        "contribution": {"type": "array", "items": {"type": "object", "properties": {
+            "agent": {"$ref": "agent.json"}, "role": {"type": "object", "properties": {"kind": {"const": "Role"}}},
+        }}},
+        "publication": {"oneOf": [{"required": ["year"]}, {"required": ["note"]}]},
+        "place": {"anyOf": [{"required": ["label"]}, {"properties": {"id": {"$ref": "uri.json"}}, "required": ["id"]}]},
+    },
+}
+
+
+@query("""
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS s, substr(o_orderpriority, 1, 1) AS u, o_custkey AS c, o_totalprice > 200000 AS dear FROM orders)
+SELECT id, 'title' AS path, 'required' AS rule FROM o WHERE u = '5'
+UNION ALL SELECT id, 'contribution/0/agent/id', 'format' FROM o WHERE s = 'F'
+UNION ALL SELECT id, 'contribution/0/agent/type/1', 'enum' FROM o WHERE s = 'P'
+UNION ALL SELECT id, 'contribution/1/agent/label', 'required' FROM o WHERE u = '1'
+UNION ALL SELECT id, 'contribution/1/agent/label', 'pattern' FROM o WHERE u = '2'
+UNION ALL SELECT id, 'contribution/1/agent/type', 'minItems' FROM o WHERE dear
+UNION ALL SELECT id, 'contribution/1/role/kind', 'const' FROM o WHERE u = '3'
+UNION ALL SELECT id, 'publication', 'oneOf' FROM o WHERE (s = 'O') = (u <> '4')
+UNION ALL SELECT id, 'place', 'anyOf' FROM o WHERE s <> 'F' AND c % 2 = 0
+""")
+def nested_contract_violations(t):
+    """A contract of several schema files over nested records; each violation with its place in the lists."""
+    s, u, c = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1), F.col("o_custkey").cast("string")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    first = F.struct(
+        text("Customer ", c).alias("label"), F.when(s == "F", "no address").otherwise(text("http://example.org/", c)).alias("id"),
+        F.when(s == "P", F.array(F.lit("Person"), F.lit("Ghost"))).otherwise(F.array(F.lit("Person"))).alias("type"),
+    )
+    second = F.struct(
+        F.when(u == "2", text("Body ", c)).when(u != "1", text("Customer ", c)).alias("label"), F.lit(None).cast("string").alias("id"),
+        F.when(F.col("o_totalprice") > 200000, F.array().cast("array<string>")).otherwise(F.array(F.lit("CorporateBody"))).alias("type"),
+    )
+    role = lambda kind: F.struct(kind.alias("kind"))
+    rows = t.orders.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(u != "5", "T").alias("title"),
+        F.array(
+            F.struct(first.alias("agent"), role(F.lit("Role")).alias("role")),
+            F.struct(second.alias("agent"), role(F.when(u == "3", "Rule").otherwise("Role")).alias("role")),
+        ).alias("contribution"),
+        F.struct(F.when(s == "O", 1999).alias("year"), F.when(u != "4", "n").alias("note")).alias("publication"),
+        F.struct(F.when(s == "F", "Town").alias("label"), F.when(F.col("o_custkey") % 2 == 1, "http://example.org/p").otherwise("p").alias("id")).alias("place"),
+    )
+    return contract.contract_violations(rows, "id", CONTRACT, CONTRACT_FILES)
+
+
 @query("""
 SELECT 'lang' AS path, 'enum' AS rule, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'de')
 UNION ALL SELECT 'text', 'pattern', count(*) FROM documents WHERE NOT regexp_matches(text, '^\\p{Lu}') HAVING count(*) > 0

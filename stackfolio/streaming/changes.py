@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.changes import final_versions
 from ..session import scratch_path
-from ..tables import BUCKETS, KeyedTable, read_table, write_whole
+from ..tables import BUCKET, BUCKETS, KeyedTable, path_exists, read_table, write_whole
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -18,20 +18,36 @@ def read_log(spark: SparkSession, path: str, schema: StructType, files_per_batch
     return reader.parquet(path)
 
 
-def stream_dedupe(log: DataFrame, key: str, target: str, checkpoint: str, event_time: str | None = None, within: str | None = None):
-    """First arrival per id into ``target``. With an event time, state older than ``within`` is let go.
+def stream_dedupe(
+    log: DataFrame, key: str, target: str, checkpoint: str, event_time: str | None = None, within: str | None = None, buckets: int = BUCKETS
+):
+    """First arrival per id into ``target``, whole rows.
+
+    With an event time, duplicates come within ``within`` of each other and state older than that is let
+    go. Without one there is no state at all: what has arrived is the target, dealt into hash buckets of
+    the id (column ``_bucket``), and a micro-batch is anti-joined with the ids of the buckets that it
+    touches. A batch that is repeated, after a failure or under a new checkpoint, adds nothing.
 
     First arrival is not the newest version; for that see ``upsert_stream``.
     """
     rows = log.where(F.col(key).isNotNull())
     if event_time and within:
         rows = rows.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key])
+        writer = rows.writeStream.format("parquet").option("path", target)
     else:
-        rows = rows.dropDuplicates([key])
-    return (
-        rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+        writer = rows.writeStream.foreachBatch(lambda batch, _: add_unknown(batch, key, target, buckets))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def add_unknown(batch: DataFrame, key: str, target: str, buckets: int = BUCKETS) -> None:
+    """Append one row of each id that ``target`` does not have."""
+    spark = batch.sparkSession
+    new = batch.dropDuplicates([key]).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if path_exists(spark, target):
+        touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most one a bucket
+        there = spark.read.schema(new.schema).parquet(target).where(F.col(BUCKET).isin(touched))
+        new = new.join(there.select(F.col(key).alias("_there")), F.col(key) == F.col("_there"), "left_anti")
+    new.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(target)
 
 
 def upsert_stream(

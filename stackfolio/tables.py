@@ -31,6 +31,11 @@ def _path(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _path(spark, path)
+    return fs.exists(hadoop)
+
+
 def _steps(root: str, name: str) -> str:
     return f"{root}/{name}/steps"
 
@@ -121,21 +126,22 @@ class KeyedTable:
 
     def append(self, rows: DataFrame) -> list[str]:
         """Add a batch with one row a key, ``_gone`` included; the buckets that it touches."""
-        self._whole_as_base()
-        _, state = newest_commit(self.spark, self.root, self.name)
-        part, sizes = self._write(rows, state["buckets"])
-        if not sizes:
-            return []
-
-        def change(now: dict) -> dict:
-            now["schema"] = _both_schemas(now["schema"], rows.schema)
-            now["sizes"][part] = len(sizes)
-            for bucket, n in sizes.items():
-                now["deltas"].setdefault(bucket, []).append([part, n])
-            return now
-
-        commit(self.spark, self.root, self.name, change)
-        return list(sizes)
+        while True:
+            self._whole_as_base()
+            _, state = newest_commit(self.spark, self.root, self.name)
+            part, sizes = self._write(rows, state["buckets"])
+
+            def change(now: dict) -> dict | None:
+                if now.get("buckets") != state["buckets"]:
+                    return None  # written whole meanwhile
+                now["schema"] = _both_schemas(now["schema"], rows.schema)
+                now["sizes"][part] = len(sizes)
+                for bucket, n in sizes.items():
+                    now["deltas"].setdefault(bucket, []).append([part, n])
+                return now
+
+            if not sizes or commit(self.spark, self.root, self.name, change):
+                return list(sizes)
 
     def fold(self, share: float = FOLD_SHARE, deltas: int = FOLD_DELTAS) -> list[str]:
         """Fold deltas into bases where they are due; where many are small, fold them into one delta."""
@@ -157,7 +163,7 @@ class KeyedTable:
                     # another writer may have added deltas; where it folded, this work is not wanted
                     same = [
                         b for b in chosen
-                        if now["base"].get(b) == state["base"].get(b) and now["deltas"].get(b, [])[: len(state["deltas"][b])] == state["deltas"][b]
+                        if "buckets" in now and now["base"].get(b) == state["base"].get(b) and now["deltas"].get(b, [])[: len(state["deltas"][b])] == state["deltas"][b]
                     ]
                     for b in same:
                         later = now["deltas"].pop(b)[len(state["deltas"][b]) :]

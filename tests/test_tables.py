@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stackfolio.operators.changes import apply_changes, final_versions
 from stackfolio.sinks import read_snapshot, swap_snapshot
-from stackfolio.streaming.changes import live_records
+from stackfolio.streaming.changes import live_records, read_log, stream_dedupe
 from stackfolio.tables import KeyedTable, commit, newest_commit, unused_parts, write_whole
 
 SCHEMA = "id long, version long, title string, op string"
@@ -136,3 +136,21 @@ def test_a_fold_keeps_deltas_that_came_meanwhile(spark, tmp_path, monkeypatch):
     assert newest_commit(spark, root, "t")[0] == step + 1 and not newest_commit(spark, root, "t")[1]["deltas"]
     assert {r["id"]: r["title"] for r in table.read().collect()} == {1: "a2", 2: "b"}
     assert table.append(batch(spark, [])) == []
+
+
+def test_first_arrivals_without_state(spark, tmp_path):
+    """Eight micro-batches with many repeated ids, and all of them again: one row an id, no state kept."""
+    folder, target = str(tmp_path / "log"), str(tmp_path / "target")
+    seen = {}
+    for n in range(8):
+        rows = [((n * 37 + 11 * i) % 150 if i % 9 else None, n, f"t{n}-{i}", "put") for i in range(120)]
+        for r in rows:
+            seen.setdefault(r[0], n)
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    for again in range(2):
+        query = stream_dedupe(read_log(spark, folder, schema, 1), "id", target, str(tmp_path / f"state{again}"), buckets=4)
+        query.awaitTermination()
+        assert len(query.recentProgress) >= 8 and not any(p["stateOperators"] for p in query.recentProgress)
+        got = spark.read.schema(schema).parquet(target).select("id", "version").collect()
+        assert len(got) == len(seen) - 1 and {r["id"] for r in got} == set(seen) - {None}
