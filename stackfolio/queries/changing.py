@@ -110,7 +110,7 @@ CONTRACT_FILES = {
     "agent.json": {
         "type": "object", "required": ["label"],
         "properties": {
-            "label": {"type": "string", "pattern": "^Customer [1-9]"}, "id": {"$ref": "uri.json"},
+            "label": {"type": "string", "pattern": "^Customer [0-9]"}, "id": {"$ref": "uri.json"},
             "type": {"type": "array", "minItems": 1, "items": {"type": "string", "enum": ["Person", "CorporateBody"]}},
         },
     },
