@@ -65,6 +65,7 @@ MARC_FIELDS = [
     _field("082", "0 ", ("a", "concat(u, '00')"), ("2", "'22'")),
     _field("084", "  ", ("a", "concat('A', u)"), ("2", "'rvk'")),
     _field("084", "  ", ("a", "concat('place_99_o', u, '_')")),
+    _field("084", "  ", ("a", "concat('NP ', u, '600')"), ("2", "'rvk'"), when="s = 'F'"),
     _field("100", "1 ", ("a", "concat('Customer ', c, ', A.')"), ("d", "concat('v43-', u)"), ("0", "concat('(DE-588)11', c, 'x')"), ("0", "concat('(DE-101)', c)")),
     _field("245", "10", ("6", "'880-01'"), ("a", "concat('Order <', p, '> & more /')"), ("b", "concat('status ', s, ' /')"), ("c", "concat('by ', c)"),
            ("n", "IF(s = 'P', concat('Vol. ', u), NULL)"), ("p", "IF(s <> 'O', 'A part.', NULL)")),

@@ -105,13 +105,15 @@ def marc_heading_chains(t):
 
 @query(O + f"""
 SELECT rec_id, 'Dewey-Dezimalklassifikation' AS scheme, u || '00' AS notation, '22' AS version, CASE WHEN u < '4' THEN 'Class ' || u END AS label FROM o
-UNION ALL SELECT rec_id, 'RVK', 'A' || u, NULL, NULL FROM o WHERE false
-UNION ALL SELECT rec_id, 'Places', 'place_99_o' || u || '_', NULL, NULL FROM o WHERE false
+UNION ALL SELECT rec_id, 'RVK', 'NP ' || u || '600', NULL, CASE WHEN u = '3' THEN 'Region 3' END FROM o WHERE s = 'F'
 """)
 def marc_notations(t):
     """Dewey numbers with labels; RVK notations of wrong form and codes without scheme are dropped."""
     schemes = t.spark.createDataFrame([("rvk", "RVK", "https://d-nb.info/gnd/4449787-8"), ("x", "X", "no uri")], "code string, name string, uri string")
-    labels = t.spark.createDataFrame([("ddc", f"{i}00", f"Class {i}") for i in range(1, 4)], "code string, notation string, label string")
+    labels = t.spark.createDataFrame(
+        [("ddc", f"{i}00", f"Class {i}") for i in range(1, 4)] + [("rvk", "NP 3600", "Region 3"), ("ddc", "NP 1600", "no"), ("rvk", "A1", "no")],
+        "code string, notation string, label string",
+    )
     return marc_subjects.marc_notations(marc_rows(t), schemes, labels).select("rec_id", "scheme", "notation", "version", "label")
 
 
@@ -321,7 +323,8 @@ def linked_marc_records(t):
 SELECT rec_id, '{NS.resource}' || rec_id || '#!' AS id, 'http://raw/' || rec_id || '?x' AS described_by,
   concat_ws('|', CASE WHEN s <> 'P' THEN CASE u WHEN '1' THEN '{NS.language}eng=Englisch' ELSE '{NS.language}ger=Deutsch' END END,
     CASE WHEN u = '2' THEN '{NS.language}fre=Französisch' END) AS language,
-  'Dewey-Dezimalklassifikation=' || u || '00=22=' || CASE WHEN u < '4' THEN 'Class ' || u ELSE '' END AS notation,
+  'Dewey-Dezimalklassifikation=' || u || '00=22=' || CASE WHEN u < '4' THEN 'Class ' || u ELSE '' END
+    || CASE WHEN s = 'F' THEN '|RVK=NP ' || u || '600==' || CASE WHEN u = '3' THEN 'Region 3' ELSE '' END ELSE '' END AS notation,
   CASE u WHEN '1' THEN 'Festschrift=https://d-nb.info/gnd/4016928-5' WHEN '2' THEN '' WHEN '3' THEN 'Website=https://d-nb.info/gnd/4596172-4'
     ELSE 'Statistik=https://d-nb.info/gnd/4056995-0' END AS nature_of_content,
   'http://example.org/spatial#' || u || '=' || CASE WHEN u <> '5' THEN 'Place ' || u ELSE '' END || '=' || u || '='
@@ -341,7 +344,7 @@ def whole_marc_records(t):
     vocab = marc_records.MarcVocabularies(
         languages=vocabulary(inline_lookup(t.spark, {"ger": "Deutsch", "eng": "Englisch", "fre": "Französisch"}), label="v"),
         schemes=vocabulary(made([("rvk", "RVK", "https://d-nb.info/gnd/4449787-8"), ("x", "X", "no uri")], "k string, name string, uri string"), label="name", url="uri"),
-        notations=vocabulary(made([(f"ddc {i}00", f"Class {i}") for i in range(1, 4)], "k string, v string"), label="v"),
+        notations=vocabulary(made([(f"ddc {i}00", f"Class {i}") for i in range(1, 4)] + [("rvk NP 3600", "Region 3")], "k string, v string"), label="v"),
         terms=vocabulary(terms, label="number"),
         term_numbers=vocabulary(terms.toDF("label", "k"), label="label"),
         places=vocabulary(
