@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..functions.identifiers import AUTHORITY_ID
 from ..operators import changes, tree
+from ..session import scratch_path
 from ..sources import (
     decode_tagged, marc_fields, mine_ids, parse_beacon, parse_lookup, parse_marcxml, parse_ndjson, parse_skos,
     register_entries, rejected_lines, select_entity, tagged_line, to_marcxml,
@@ -192,6 +193,22 @@ def bulk_lines(t):
     return sinks.bulk_lines(t.nation.select("n_nationkey", "n_name"), "n_nationkey", "titles", "resource")
 
 
+@query("""
+SELECT '{"key":' || c_custkey || ',"name":"' || c_name || '"' || CASE WHEN c_mktsegment <> 'MACHINERY' THEN ',"segments":["' || c_mktsegment || '"]' ELSE '' END
+  || CASE WHEN c_nationkey % 2 = 0 THEN ',"nation":{"id":' || c_nationkey || '}' ELSE '' END || '}' AS value FROM customer
+""")
+def ndjson_written(t):
+    """Records written as JSON lines and read back as text; absent fields are left out."""
+    segment, nation = F.col("c_mktsegment"), F.col("c_nationkey")
+    rows = t.customer.select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.when(segment != "MACHINERY", F.array(segment)).alias("segments"),
+        F.when(nation % 2 == 0, F.struct(nation.alias("id"))).alias("nation"),
+    )
+    path = scratch_path(t.spark, "ndjson")
+    sinks.write_ndjson(rows, path)
+    return t.spark.read.text(path)
+
+
 @query("""
 SELECT DISTINCT CAST(conv_id AS VARCHAR) AS conv_id, role, replace(text, chr(10), ';') AS text FROM conversations
 """)
