@@ -54,12 +54,12 @@ class WordTable:
     """Word → value, kept between batches of a worker.
 
     Two generations of at most ``size`` entries bound its memory: a word used again moves to the
-    young one, and the old one goes when the young one is full. It only saves time; values depend
-    on the word alone.
+    young one, and the old one goes when the young one is full. Words longer than ``longest`` are not
+    kept. It only saves time; values depend on the word alone.
     """
 
-    def __init__(self, make: Callable[[list], list], size: int = 300_000):
-        self.make, self.size = make, size
+    def __init__(self, make: Callable[[list], list], size: int = 300_000, longest: int = 64):
+        self.make, self.size, self.longest = make, size, longest
         self.young: dict = {}
         self.old: dict = {}
 
@@ -76,6 +76,9 @@ class WordTable:
             if missing:
                 young.update(zip(missing, self.make(missing)))
             found = list(map(young.get, words))
+            for word in missing:
+                if len(word) > self.longest:
+                    del young[word]
             if len(young) > self.size:
                 self.old, self.young = young, {}
         return found

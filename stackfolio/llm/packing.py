@@ -12,12 +12,12 @@ text hash); an empty table gives no rows; only id and text are read, so other co
 
 from __future__ import annotations
 
-import unicodedata
+import os
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,41 +28,49 @@ END = 2
 BUCKET_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # the parts are equal for a piece of 2048 tokens
 
-# Fixed value: where the tokenizer splits words.
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+TOGETHER = 512  # words that are encoded as one text
 
 
 class Ids:
     """Token ids (little-endian unsigned 32-bit) of texts.
 
-    The tokenizer drops white space, so the ids of a text are those of its words one after another, and
-    each different word is encoded once. Words of precomposed Latin letters, whose normal form is
-    their lower case, go to the model by pre-token; all others through the whole tokenizer.
+    The tokenizer drops white space, so the ids of a text are those of its words one after another. Each
+    different word is encoded once by the tokenizer itself, many together with blanks between them; a
+    token belongs to the word in which it begins.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.parts = WordTable(lambda parts: [self.part(p) for p in parts])
-        self.words = WordTable(lambda words: [self.word(w) for w in words])
-
-    def part(self, part: str) -> bytes:
-        if not part.isascii():
-            part = "".join(self.byte_chars[b] for b in part.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if "<|" in text or not (text.isascii() or max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.parts.values(PRE_TOKENS.findall(text.lower())))
+        self.words = WordTable(self.encoded)
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        whole = [" ".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
+        out: list[bytes] = []
+        for i, found in zip(range(0, len(texts), TOGETHER), self.tokenizer.encode_batch(whole, add_special_tokens=False)):
+            starts = np.fromiter((s for s, _ in found.offsets), np.int64, len(found))
+            ends = np.cumsum([len(t) + 1 for t in texts[i : i + TOGETHER]])
+            ids = np.array(found.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(starts, ends)).tolist()
+            out += [ids[s:e] for s, e in zip([0, *cuts], cuts)]
+        return out
 
     def text(self, text: bytes) -> bytes:
-        return b"".join(self.words.values(text.split()))
+        return self.texts([text])[0]
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        coded = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        found = pa.array(self.words.values(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        offsets = np.frombuffer(found.buffers()[1], np.int64)
+        data = memoryview(found.buffers()[2] or b"").cast("B")
+        cuts = offsets[np.append(0, np.cumsum([len(ws) for ws in words]))].tolist()
+        return [bytes(data[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
 @cache
@@ -120,7 +128,7 @@ def packed(
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = ids_from(tokenizer)
-        new = pa.array([ids.text(t) + tail for t in texts_of(batch.column("text"))], pa.binary())
+        new = pa.array([t + tail for t in ids.texts(texts_of(batch.column("text")))], pa.binary())
         return with_columns(batch.select(["doc_id", "place", "bucket"]), {"ids": new})
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:

@@ -260,3 +260,23 @@ def test_query(spark, name):
         assert canonical(out.columns, rows) == canonical(list(sql.columns), sql.fetchall())
     else:
         assert len(rows) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_packing_ids_are_those_of_the_tokenizer():
+    """Every code point between two letters and beside a blank, special tokens, and random texts with control characters."""
+    from stackfolio.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = packing.Ids(path)
+    plain = lambda texts: [e.ids for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(4)
+    some = points[:0x3100] + rng.sample(points, 6000)
+    texts = [f"a{c}b" for c in some] + [f"x {c}{d} {c} y" for c, d in zip(some, rng.sample(some, len(some)))]
+    letters = "ab é\x00\x01\x1c\x1f\x7f\x85  \t\n\r\x0b'st’3½́Σσİ<|endoftext|>日本"
+    texts += ["".join(rng.choice(letters) for _ in range(60)) for _ in range(500)]
+    texts += ["a<|endoftext|>b <|startoftext|> c", "<|endoftext|>", "", " ", "don't DON'T we'LL", "x" * 5000, "é" * 300 + " y"]
+    got = [np.frombuffer(i, "<u4").tolist() for i in ids.texts([t.encode() for t in texts])]
+    for text, mine, whole in zip(texts, got, plain(texts)):
+        assert mine == whole, ascii(text)
+    assert not any(len(w) > ids.words.longest for w in ids.words.young)
