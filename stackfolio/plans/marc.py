@@ -134,6 +134,7 @@ def without_brackets(text: Column) -> Column:
 
 # --- heading labels ---------------------------------------------------------------------------
 
+# Order of the subfields of a label.
 PERSON_CODES, EVENT_CODES, OTHER_CODES = "abcgxt", "abngdct", "apbcfgnxtz"
 
 
@@ -214,6 +215,7 @@ def variant_entries(specs: list[tuple[str, str]]) -> Column:
     return F.concat(*parts)
 
 
+# Enrichment fields with variant names.
 AGENT_VARIANTS = [("GPN??", "person"), ("GKS??", "event"), ("GEL??|GKT??|GST??|GGN??", "other")]
 CHAIN_VARIANTS = [("GPN??", "person"), ("GEL??|GKT??|GKS??|GST??|GGN??", "other")]
 SUBJECT_VARIANTS = [("GPN??", "person"), ("GKS??", "event"), ("GEL??|GKT??|GKS??|GST??|GGN??", "other")]

@@ -26,9 +26,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the warehouse, shared as well."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which must be shared as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share: the warehouse is a local one")
+        root = warehouse + "/scratch"
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
