@@ -47,7 +47,7 @@ from .base import WordTable, per_batch, prepare, texts_of
 HEAVY = 1 << 16
 CHUNK = 1 << 12  # characters of units that are encoded as one text
 TOGETHER = 1 << 15  # units that are aligned at once
-KEPT_UNIT, KEPT_UNITS = 64, 400_000  # characters of a unit, and units of a worker, kept between batches
+KEPT_UNIT, KEPT_UNITS = 64, 300_000  # characters of a unit, and units of a worker, kept between batches
 BLANK = "▁"  # fixed value: the piece model's mark for a blank
 WHITE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK
 CUT = f"(?<=[^{WHITE}]) (?=[^{WHITE}])"
