@@ -29,6 +29,7 @@ from .base import WordTable, per_batch, prepare, texts_of, with_columns
 
 MARK = "▁"
 END = -1  # key of a piece's id in the trie
+KEPT = 700_000  # words of a worker that are kept
 UNITS = re.compile(rb" *[^ \n]+| +|\n")
 
 
@@ -79,16 +80,17 @@ class Transducer:
             self.spelled[i] = bytes([byte])
         self.names = {i: p for p, i in self.pieces.items()}
         self.score = {p: model.get_score(i) for p, i in self.pieces.items()}
+        # a piece that merging its own characters does not give is on no path of finite weight
         self.trie: dict = {}
         for piece, i in self.pieces.items():
-            node = self.trie
-            for char in piece:
-                node = node.setdefault(char, {})
-            node[END] = i
-        self.stays: dict[int, bool] = {}
+            if self.merged(piece) == [piece]:
+                node = self.trie
+                for char in piece:
+                    node = node.setdefault(char, {})
+                node[END] = i
         self.fits: dict[int, bool] = {}
         self.size = size
-        self.words = WordTable(lambda units: [self.unit(u) for u in units])
+        self.words = WordTable(lambda units: [self.unit(u) for u in units], KEPT)
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging: the best-scored neighbours first, the leftmost of equals."""
@@ -104,44 +106,42 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def whole(self, piece: int) -> bool:
-        if (known := self.stays.get(piece)) is None:
-            known = self.stays[piece] = self.merged(self.names[piece]) == [self.names[piece]]
-        return known
-
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether two pieces stay as they are beside each other; a byte (below 0) merges with nothing."""
-        if left < 0 or right < 0:
-            return True
-        key = left * self.size + right
-        if (known := self.fits.get(key)) is None:
-            a, b = self.names[left], self.names[right]
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[key] = self.merged(a + b) == [a, b]
+        """Whether two pieces stay as they are beside each other."""
+        a, b = self.names[left], self.names[right]
+        if len(self.fits) > 2_000_000:
+            self.fits.clear()
+        known = self.fits[left * self.size + right] = self.merged(a + b) == [a, b]
         return known
 
     def path(self, text: str) -> list[int]:
         """Pieces of the shortest path; below 0: minus (1 + code point) of a character that goes by bytes."""
-        # states at a place: (weight, piece of the last arc, state before)
-        states: list[list] = [[] for _ in range(len(text) + 1)]
+        # states at a place: (weight, piece of the last arc, state before); a byte (below 0) merges with nothing
+        length, size, known = len(text), self.size, self.fits.get
+        states: list[list] = [[] for _ in range(length + 1)]
         states[0].append((0, -1, None))
-        for i in range(len(text)):
+        for i in range(length):
             here = states[i]
             if not here:
                 continue
             node, j, arcs = self.trie, i, []
-            while j < len(text) and (node := node.get(text[j])) is not None:
+            while j < length and (node := node.get(text[j])) is not None:
                 j += 1
-                if (piece := node.get(END)) is not None and (j == i + 1 or self.whole(piece)):
+                if (piece := node.get(END)) is not None:
                     arcs.append((j, piece))
             if not arcs or arcs[0][0] != i + 1:
                 arcs.append((i + 1, -2 - ord(text[i])))
             for j, piece in arcs:
                 best = None
                 for state in here:
-                    if (best is None or state[0] < best[0]) and self.neighbours(state[1], piece):
-                        best = state
+                    if best is None or state[0] < best[0]:
+                        left = state[1]
+                        if left < 0 or piece < 0:
+                            best = state
+                        else:
+                            fit = known(left * size + piece)
+                            if self.neighbours(left, piece) if fit is None else fit:
+                                best = state
                 if best is not None:
                     states[j].append((best[0] + 1, piece, best))
             states[i] = []
