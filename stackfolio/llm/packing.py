@@ -13,11 +13,12 @@ text hash); an empty table gives no rows; only id and text are read, so other co
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ BUCKET_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # the parts are equal for a piece of 2048 tokens
 
 TOGETHER = 512  # words that are encoded as one text
+GATHERED = 8 << 20  # bytes of rows that are encoded at once: the more, the fewer look-ups
+# a letter that normal forms leave alone, or a digit, and a mark that begins no contraction or special token
+BORDER = r"""([A-Za-z0-9À-ÖØ-öø-ÿ])([!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~])"""
 
 
 class Ids:
@@ -37,6 +41,10 @@ class Ids:
     The tokenizer drops white space, so the ids of a text are those of its words one after another. Each
     different word is encoded once by the tokenizer itself, many together with blanks between them; a
     token belongs to the word in which it begins.
+
+    It also cuts at each ``BORDER`` and lower-cases, so a mark behind a word is a word of its own, and
+    ASCII words are looked up in lower case. Others are not: normal form comes before lower case, and
+    J̌ in lower case has another one. Neither are words that may be special tokens.
     """
 
     def __init__(self, path: str):
@@ -62,14 +70,18 @@ class Ids:
         return self.texts([text])[0]
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        coded = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+        column = pa.array(texts, pa.large_binary()).view(pa.large_string())
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(column, BORDER, r"\1 \2"))
+        coded = words.flatten().dictionary_encode()
         if not len(coded):
             return [b""] * len(texts)
-        found = pa.array(self.words.values(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        known = coded.dictionary
+        plain = pc.and_not(pc.string_is_ascii(known), pc.match_substring(known, "<|"))
+        known = pc.if_else(plain, pc.ascii_lower(known), known).view(pa.large_binary())
+        found = pa.array(self.words.values(known.to_pylist()), pa.large_binary()).take(coded.indices)
         offsets = np.frombuffer(found.buffers()[1], np.int64)
         data = memoryview(found.buffers()[2] or b"").cast("B")
-        cuts = offsets[np.append(0, np.cumsum([len(ws) for ws in words]))].tolist()
+        cuts = offsets[words.offsets.to_numpy()].tolist()
         return [bytes(data[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
@@ -107,6 +119,18 @@ def pack(lengths: np.ndarray, size: int = SEQUENCE, linear: float = LINEAR, quad
     return pieces
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, until they hold ``least`` bytes."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.nbytes for b in some) >= least:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
+
+
 PIECES = "doc_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -151,5 +175,5 @@ def packed(
             }
         )
 
-    encoded = rows.mapInArrow(per_batch(tokens), f"doc_id {kind}, place long, bucket long, ids binary")
+    encoded = rows.mapInArrow(lambda batches: per_batch(tokens)(gathered(batches)), f"doc_id {kind}, place long, bucket long, ids binary")
     return encoded.groupBy("bucket").applyInArrow(fill, PIECES.format(key=kind))

@@ -280,3 +280,31 @@ def test_packing_ids_are_those_of_the_tokenizer():
     for text, mine, whole in zip(texts, got, plain(texts)):
         assert mine == whole, ascii(text)
     assert not any(len(w) > ids.words.longest for w in ids.words.young)
+
+
+def test_packing_encodes_a_word_once_whatever_its_case_and_marks():
+    """Words in other letter case or before a mark are no new words; where case or cut would matter they are."""
+    import pyarrow as pa
+
+    from stackfolio.llm import packing
+
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    plain = lambda text: ids.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["Word word, WORD. (word) word!! wörd; Wörd", "word word?"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids.texts([t.encode() for t in texts])] == [plain(t) for t in texts]
+    assert sorted(ids.words.young) == sorted(w.encode() for w in [",", ".", "(word", ")", "!!", "wörd", ";", "Wörd", "?", "word"])
+    odd = ["J̌ ǰ H̱ T̈x W̊ Y̊ İ KK", "<|ENDOFTEXT|> a<|endoftext|>,b A<|startoftext|>.", "a̸= a≠ é,́ x́, 1,2.5;3", "It's,'s A'S b.'T \"Q\"'re a''ll, É'VE."]
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    odd += [f"{a}{m}{b}" for m in marks for a in ("A", "é", "ÿ", "7", "β", "á", "<|", m, "'") for b in ("", "B", "'s", "̸", "|>", "́", m, "9")]
+    rng = random.Random(8)
+    letters = "aAbBjJsStTéÉÿß7½'\",.&|<>-̸̌̇́ \n\x85K"
+    odd += ["".join(rng.choice(letters) for _ in range(50)) for _ in range(3000)]
+    for text, got in zip(odd, ids.texts([t.encode() for t in odd])):
+        assert np.frombuffer(got, "<u4").tolist() == plain(text), ascii(text)
+    for broken in (b"A\xff,b \xc3, D\xe2\x82.", b"\xff", b"Caf\xc3,A"):
+        want = [i for w in broken.split() for i in plain(w.decode("utf-8", "replace"))]
+        assert np.frombuffer(ids.text(broken), "<u4").tolist() == want
+    batches = [pa.RecordBatch.from_pydict({"n": pa.array(range(k), pa.int64())}) for k in (0, 5, 3, 0, 9, 1)]
+    for least in (1, 60, 1 << 20):
+        assert [n for b in packing.gathered(iter(batches), least) for n in b.column("n").to_pylist()] == [n for b in batches for n in b.column("n").to_pylist()]
+    assert [b.num_rows for b in packing.gathered(iter(batches), 60)] == [8, 9, 1] and not list(packing.gathered(iter([])))
