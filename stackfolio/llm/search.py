@@ -4,8 +4,10 @@ Rows are dealt into shards of about ``SHARD_ROWS``. A task indexes one shard: po
 blocks of ``BLOCK`` neighbouring rows with the largest contribution of the term in each block. A query
 takes its terms rare first. The rows best by the rarest give a threshold; the pivot is the term after
 which the bounds of all terms together stay below it, so a row without a term before the pivot is
-never looked at; a row with one is skipped if its sum so far and the bounds of its block stay below
-the threshold, else it is scored whole. This is WAND's test, made for all rows of a list at a time.
+never looked at; the rows best by all terms up to the pivot raise the threshold, and a row is skipped
+if its sum so far and the bounds of its block stay below it; what is left is scored whole. This is
+WAND's test, made for all rows of a list at a time. Lists after the pivot are not gone through: the
+rows left look their contributions up, which frequent terms also have by row.
 Term weights and the mean length come from all rows, so scores of different shards compare and the
 best k of each shard's best k are the exact answer.
 
@@ -24,6 +26,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +39,10 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_ROWS = 32768
 QUERY_ROWS = 16384
+FEW = 8  # so many rows for each one wanted are scored at once
+MORE = 8  # terms that are looked up together
+TINY = 1e-300  # no contribution is smaller
+FREQUENT = 256  # so many terms of a shard also have their contributions by row
 DIGITS = 6
 
 
@@ -55,12 +62,12 @@ class Index:
         key, f = np.unique(term * len(texts) + np.repeat(np.arange(len(texts)), length.astype(np.int64)), return_counts=True)
         t, self.row, f = key // max(1, len(texts)), key % max(1, len(texts)), f.astype(np.float64)
         self.part = f * (K1 + 1) / (f + K1 * (1 - B + B * length[self.row] / mean)) if len(f) else f
-        self.numbers, self.rows = numbers, len(texts)
+        self.terms, self.rows = pa.array(list(numbers), pa.binary()), len(texts)
         # blocks of a term's postings: block number, largest contribution
         by_row = np.argsort(self.row, kind="stable")
         self.row_term, self.row_part = t[by_row], self.part[by_row]
         self.row_start = np.searchsorted(self.row[by_row], np.arange(len(texts) + 1))
-        self.weight = np.zeros(len(numbers))
+        self.weight, self.last = np.zeros(len(numbers)), np.zeros(len(texts), np.int64)
         key = t * (len(texts) // BLOCK + 1) + self.row // BLOCK
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         self.block = self.row[first] // BLOCK
@@ -68,68 +75,106 @@ class Index:
         self.of_term = np.searchsorted(t[first], np.arange(len(numbers) + 1))
         self.start = np.searchsorted(t, np.arange(len(numbers) + 1))
         self.top = np.maximum.reduceat(self.most, self.of_term[:-1]) if len(key) else self.most
-
-    def add(self, scores: np.ndarray, chosen: list[tuple[int, float]]) -> np.ndarray:
-        """Contributions of whole posting lists added up by row."""
-        if not chosen:
-            return scores
-        spans = [(int(self.start[n]), int(self.start[n + 1])) for n, _ in chosen]
-        rows = np.concatenate([self.row[a:b] for a, b in spans])
-        values = np.concatenate([self.part[a:b] * w for (a, b), (_, w) in zip(spans, chosen)])
-        return scores + np.bincount(rows, values, self.rows)
-
-    def exact(self, rows: np.ndarray, known: list[tuple[int, float]]) -> np.ndarray:
-        """Whole scores of some rows, from the terms of each."""
-        names = [n for n, _ in known]
-        self.weight[names] = [w for _, w in known]
-        size = self.row_start[rows + 1] - self.row_start[rows]
-        at = np.repeat(self.row_start[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        # frequent terms: number among them (else -1), contributions by row
+        frequent = np.zeros(len(numbers), bool)
+        frequent[np.argsort(-np.diff(self.start), kind="stable")[:FREQUENT]] = True
+        self.place = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.by_row = np.zeros((int(frequent.sum()), len(texts)))
+        self.by_row[self.place[t[frequent[t]]], self.row[frequent[t]]] = self.part[frequent[t]]
+
+    def known(self, queries: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query, the terms that the shard has and their weights, rare terms first."""
+        flat = pc.list_flatten(queries)
+        names = pc.fill_null(pc.index_in(flat.field("term"), self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        weights = flat.field("weight").to_numpy(zero_copy_only=False)
+        query = pc.list_parent_indices(queries).to_numpy(zero_copy_only=False)
+        order = np.lexsort((names, -weights, query))
+        order = order[names[order] >= 0]
+        names, weights = names[order], weights[order]
+        cuts = np.searchsorted(query[order], np.arange(len(queries) + 1)).tolist()
+        return [(names[a:b], weights[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def lists(self, names: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and contributions of whole posting lists."""
+        spans = list(zip(self.start[names].tolist(), self.start[names + 1].tolist()))
+        values = np.concatenate([self.part[a:b] for a, b in spans])
+        values *= np.repeat(weights, [b - a for a, b in spans])
+        return np.concatenate([self.row[a:b] for a, b in spans]), values
+
+    def of(self, names: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Contributions of some terms to some rows, which are in order."""
+        place = self.place[names]
+        sums = weights[place >= 0] @ self.by_row[place[place >= 0][:, None], rows]
+        for n, w in zip(names[place < 0].tolist(), weights[place < 0].tolist()):
+            a, b = self.start[n], self.start[n + 1]
+            at = np.minimum(np.searchsorted(self.row[a:b], rows), b - a - 1) + a
+            sums += w * self.part[at] * (self.row[at] == rows)
+        return sums
+
+    def bounds(self, names: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """By block, the sum of the largest contributions of some terms."""
+        if not len(names):
+            return np.zeros(self.rows // BLOCK + 1)
+        spans = list(zip(self.of_term[names].tolist(), self.of_term[names + 1].tolist()))
+        blocks = np.concatenate([self.block[a:b] for a, b in spans])
+        values = np.concatenate([self.most[a:b] for a, b in spans])
+        return np.bincount(blocks, values * np.repeat(weights, [b - a for a, b in spans]), self.rows // BLOCK + 1)
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """Whole scores of some rows, from the terms of each and the weights of the query."""
+        start = self.row_start[rows]
+        size = self.row_start[rows + 1] - start
+        ends = np.cumsum(size)
+        at = np.repeat(start - ends + size, size) + np.arange(ends[-1])
         values = self.weight[self.row_term[at]] * self.row_part[at]
-        self.weight[names] = 0
         return np.round(np.bincount(np.repeat(np.arange(len(rows)), size), values, len(rows)), DIGITS)
 
-    def best(self, query: list[tuple[bytes, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the best k and all that tie with the last of them."""
-        known = [(self.numbers[t], w) for t, w in query if t in self.numbers]
-        if not known:
+    def reached(self, rows: np.ndarray, sums: np.ndarray, k: int) -> float:
+        """A score that k rows reach, seen on those with the largest sums."""
+        if len(rows) < k:
+            return 0.0
+        if len(rows) > 2 * k:
+            rows = rows[np.argpartition(sums, len(sums) - 2 * k)[len(sums) - 2 * k :]]
+        return float(np.partition(self.exact(rows), len(rows) - k)[len(rows) - k])
+
+    def best(self, names: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the best k, and all that tie with the last of them, for terms and weights, rare first."""
+        if not len(names):
             return np.empty(0, np.int64), np.empty(0)
-        known.sort(key=lambda x: (-x[1], x[0]))  # rare terms first
-        names, weights = np.array([n for n, _ in known]), np.array([w for _, w in known])
-        total = np.cumsum(self.start[names + 1] - self.start[names])
-        bound = weights * self.top[names]
+        total, bound = np.cumsum(self.start[names + 1] - self.start[names]), weights * self.top[names]
+        self.weight[names] = weights
         # a first threshold: rows that are best by the rare terms, scored whole
-        rare = min(int(np.searchsorted(total, 8 * k + self.rows // 16, side="right")) + 1, len(known))
-        partial = self.add(np.zeros(self.rows), known[:rare])
-        some = np.flatnonzero(partial)
-        if len(some) > 2 * k:
-            some = some[np.argpartition(-partial[some], 2 * k)[: 2 * k]]
-        first = self.exact(some, known)
-        least = float(np.partition(first, len(first) - k)[len(first) - k]) if len(first) >= k else 0.0
+        rare = min(int(np.searchsorted(total, 8 * k + self.rows // 16, side="right")) + 1, len(names))
+        rows, values = self.lists(names[:rare], weights[:rare])
+        partial = np.bincount(rows, values, self.rows)
+        number = np.arange(len(rows))  # a row is there for each of its terms; the last one stays
+        self.last[rows] = number
+        rows = rows[self.last[rows] == number]
+        least = self.reached(rows, partial[rows], k)
         slack = 10.0**-DIGITS
         # pivot term: the bounds of the terms after it do not reach the threshold, a row needs one before it
-        after = np.concatenate([np.cumsum(bound[::-1])[::-1][1:], [0.0]])
-        pivot = int(np.argmax(after < least - slack)) + 1 if (after < least - slack).any() else len(known)
-        partial = self.add(partial, known[rare:pivot]) if pivot >= rare else self.add(np.zeros(self.rows), known[:pivot])
+        below = np.flatnonzero(np.append(np.cumsum(bound[:0:-1])[::-1], 0.0) < least - slack)
+        pivot = int(below[0]) + 1 if len(below) else len(names)
+        if pivot < rare:
+            partial = np.bincount(*self.lists(names[:pivot], weights[:pivot]), self.rows)
+        elif pivot > rare:
+            partial += np.bincount(*self.lists(names[rare:pivot], weights[rare:pivot]), self.rows)
         # block bounds of the rest: a row whose sum with that of its block stays below is skipped
-        rest = np.zeros(self.rows // BLOCK + 1)
-        for n, w in known[pivot:]:
-            a, b = self.of_term[n], self.of_term[n + 1]
-            rest[self.block[a:b]] += w * self.most[a:b]
-        found = np.flatnonzero(partial)
-        while True:
-            sums = partial[found]
-            if len(found) >= k:  # sums only grow, so the k-th best so far is a threshold as well
-                least = max(least, float(np.partition(sums, len(sums) - k)[len(sums) - k]) - slack)
-            found = found[sums + rest[found // BLOCK] >= least - slack]
-            if len(found) <= 8 * k or pivot >= len(known):
-                break
-            # still many: some more lists, whose bounds are then known sums
-            partial = self.add(partial, known[pivot : pivot + 4])
-            for n, w in known[pivot : pivot + 4]:
-                a, b = self.of_term[n], self.of_term[n + 1]
-                rest[self.block[a:b]] -= w * self.most[a:b]
-            pivot += 4
-        values = self.exact(found, known) if len(found) else np.empty(0)
+        rest = self.bounds(names[pivot:], weights[pivot:])
+        found = np.flatnonzero(partial >= max(least - slack - rest.max(), TINY))
+        # a second threshold: rows that are best by all terms up to the pivot
+        sums = partial[found]
+        least = max(least, self.reached(found, sums, k))
+        keep = sums + rest[found // BLOCK] >= least - slack
+        found, sums = found[keep], sums[keep]
+        # still many: some more terms for them alone, whose bounds are then known sums
+        while len(found) > FEW * k and pivot < len(names):
+            sums += self.of(names[pivot : pivot + MORE], weights[pivot : pivot + MORE], found)
+            pivot += MORE
+            keep = sums + self.bounds(names[pivot:], weights[pivot:])[found // BLOCK] >= least - slack
+            found, sums = found[keep], sums[keep]
+        values = self.exact(found) if len(found) else np.empty(0)
+        self.weight[names] = 0
         keep = values >= least
         return found[keep], values[keep]
 
@@ -141,8 +186,8 @@ def _search(mean: float, k: int, ids: Sequence[str]):
         rows = rows.take(pa.array(order, pa.int64()))
         index = Index(texts_of(rows.column("text").combine_chunks()), mean)
         at, hit, score = [], [], []
-        for q, found in enumerate(queries.column("terms").to_pylist()):
-            r, s = index.best([(x["term"], x["weight"]) for x in found], k)
+        for q, (names, weights) in enumerate(index.known(queries.column("terms").combine_chunks())):
+            r, s = index.best(names, weights, k)
             top = np.lexsort((r, -s))[:k]  # rows lie in the order of their ids
             at += [q] * len(top)
             hit += r[top].tolist()

@@ -308,3 +308,52 @@ def test_packing_encodes_a_word_once_whatever_its_case_and_marks():
     for least in (1, 60, 1 << 20):
         assert [n for b in packing.gathered(iter(batches), least) for n in b.column("n").to_pylist()] == [n for b in batches for n in b.column("n").to_pylist()]
     assert [b.num_rows for b in packing.gathered(iter(batches), 60)] == [8, 9, 1] and not list(packing.gathered(iter([])))
+
+
+def test_search_goes_through_no_list_after_the_pivot(monkeypatch):
+    """Best rows and ties as by brute force, though only lists up to the pivot are gone through."""
+    import pyarrow as pa
+
+    from stackfolio.llm import search
+
+    monkeypatch.setattr(search, "FEW", 1)
+    monkeypatch.setattr(search, "MORE", 3)
+    monkeypatch.setattr(search, "FREQUENT", 12)
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(3000)]
+    odds = [1 / (i + 1) for i in range(3000)]
+    texts = [" ".join(rng.choices(names, odds, k=rng.randint(0, 80))).encode() for _ in range(2500)]
+    texts += [texts[7]] * 30 + [b"", b"w0", b"w2999 w2999"]
+    found = [search.terms(t) for t in texts]
+    mean = sum(map(len, found)) / len(found)
+    counts = {}
+    for words in found:
+        for w in set(words):
+            counts[w] = counts.get(w, 0) + 1
+    weight = {w: float(np.log(1 + (len(texts) - n + 0.5) / (n + 0.5))) for w, n in counts.items()}
+    index = search.Index(texts, mean)
+    asked = [sorted(set(found[i])) for i in (*range(40), 2501, 2531, 2532)] + [[], [b"none"], [b"none", b"w1"], [b"w0", b"w1", b"w2"]]
+    rows = [[{"term": t, "weight": weight.get(t, 9.0)} for t in terms] for terms in asked]
+    kind = pa.list_(pa.struct([("term", pa.binary()), ("weight", pa.float64())]))
+    known = index.known(pa.array([[{"term": b"w5", "weight": 1.0}], *rows], kind).slice(1))
+    gone = []
+    lists = index.lists
+    monkeypatch.setattr(index, "lists", lambda n, w: gone.append(len(lists(n, w)[0])) or lists(n, w))
+    for terms, (numbers, weights) in zip(asked, known):
+        scores = np.zeros(len(texts))
+        for r, words in enumerate(found):
+            for t in terms:
+                f = words.count(t)
+                scores[r] += weight.get(t, 9.0) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / mean)) if f else 0
+        scores = np.round(scores, search.DIGITS)
+        want = [r for r in np.lexsort((np.arange(len(scores)), -scores)).tolist() if scores[r] > 0][:10]
+        r, s = index.best(numbers, weights, 10)
+        top = np.lexsort((r, -s))[:10]
+        assert len(set(r.tolist())) == len(r) and not index.weight.any()
+        assert r[top].tolist() == want or np.abs(np.sort(s[top]) - np.sort(scores[want])).max() < 1e-5
+        assert set(want) - set(r.tolist()) == set() or len(want) == 10
+    whole = sum(counts.get(t, 0) for terms in asked for t in terms)
+    assert 0 < sum(gone) < 0.6 * whole
+    assert [len(n) for n, _ in known[-4:]] == [0, 0, 1, 3]
+    empty = search.Index([], 1.0)
+    assert empty.known(pa.array([[{"term": b"a", "weight": 1.0}]], kind))[0][0].size == 0 and empty.known(pa.array([], kind)) == []
