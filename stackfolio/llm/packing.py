@@ -30,7 +30,7 @@ BUCKET_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # the parts are equal for a piece of 2048 tokens
 
 TOGETHER = 512  # words that are encoded as one text
-GATHERED = 8 << 20  # bytes of rows that are encoded at once: the more, the fewer look-ups
+GATHERED = 4 << 20  # bytes of rows that are encoded at once: the more, the fewer look-ups
 # a letter that normal forms leave alone, or a digit, and a mark that begins no contraction or special token
 BORDER = r"""([A-Za-z0-9À-ÖØ-öø-ÿ])([!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~])"""
 
