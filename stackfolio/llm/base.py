@@ -39,6 +39,14 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
 
+def give_back() -> None:
+    """Memory that Arrow's pool keeps without use goes back to the system.
+
+    Python workers live on between tasks; what one of them keeps is missing to all later steps.
+    """
+    pa.default_memory_pool().release_unused()
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]):
     """``f`` on each batch that has rows."""
 
@@ -46,6 +54,8 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]):
         for batch in batches:
             if batch.num_rows:
                 yield f(batch)
+        batch = None
+        give_back()
 
     return run
 

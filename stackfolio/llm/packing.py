@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordTable, per_batch, prepare, texts_of, with_columns
+from .base import WordTable, give_back, per_batch, prepare, texts_of, with_columns
 
 SEQUENCE = 4096
 END = 2
@@ -71,7 +71,9 @@ class Ids:
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         column = pa.array(texts, pa.large_binary()).view(pa.large_string())
-        words = pc.ascii_split_whitespace(pc.replace_substring_regex(column, BORDER, r"\1 \2"))
+        column = pc.replace_substring_regex(column, BORDER, r"\1 \2")
+        words = pc.ascii_split_whitespace(column)
+        del column
         coded = words.flatten().dictionary_encode()
         if not len(coded):
             return [b""] * len(texts)
@@ -120,13 +122,17 @@ def pack(lengths: np.ndarray, size: int = SEQUENCE, linear: float = LINEAR, quad
 
 
 def gathered(batches: Iterator[pa.RecordBatch], least: int = GATHERED) -> Iterator[pa.RecordBatch]:
-    """Neighbouring batches as one, until they hold ``least`` bytes."""
+    """Neighbouring batches as one, until they hold ``least`` bytes.
+
+    Encoding takes some ten times the bytes of a text for a while: they are given back after each.
+    """
     some: list[pa.RecordBatch] = []
     for batch in batches:
         some.append(batch)
         if sum(b.nbytes for b in some) >= least:
-            yield pa.concat_batches(some)
-            some = []
+            batch, some = pa.concat_batches(some), []
+            yield batch
+            give_back()
     if some:
         yield pa.concat_batches(some)
 
@@ -156,6 +162,7 @@ def packed(
         return with_columns(batch.select(["doc_id", "place", "bucket"]), {"ids": new})
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        give_back()  # what the bucket before needed
         bucket = key[0].as_py()
         ids = rows.column("ids").to_pylist()
         names, places = rows.column("doc_id").to_pylist(), rows.column("place").to_pylist()

@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ import public_tokenizers
 from stackfolio.llm import (
     html_text, language_id, licenses, ngram_join, packing, quality, search, sentence_pieces, sharding, suffix_dedup,
 )
+from stackfolio.llm.base import per_batch, texts_of
 from stackfolio.llm.components import components
 
 WORD = [f"w{i}" for i in range(300)] + ["straße", "ÉTÉ", "the", "of"]
@@ -259,6 +263,23 @@ def test_word_ids_are_those_of_the_whole_text(text):
     assert np.frombuffer(packing.ids_from(path).text(text.encode()), "<u4").tolist() == want
 
 
+def test_workers_keep_no_unused_memory():
+    """Python workers live on: what Arrow's pool keeps of a packing task is missing to all later steps."""
+    ids, rng = packing.ids_from(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
+    texts = ["".join(rng.choices("etaoinshr     \n.,", k=1 << 21)) for _ in range(6)]
+    pool = pa.default_memory_pool()
+    memory = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def encoded(batch):
+        return pa.record_batch({"ids": pa.array(ids.texts(texts_of(batch.column("text"))), pa.binary())})
+
+    pool.release_unused()
+    kept = sum(b.num_rows for b in per_batch(encoded)(packing.gathered(pa.record_batch({"text": [t]}) for t in texts)))
+    before = memory()
+    pool.release_unused()
+    assert kept == len(texts) and before - memory() < 16
+
+
 def brute_spans(texts, span):
     seen = Counter(b[i : i + span] for b in texts for i in range(len(b) - span + 1))
     out = []
