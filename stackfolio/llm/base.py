@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,11 +41,13 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
 
 
 def give_back() -> None:
-    """Memory that Arrow's pool keeps without use goes back to the system.
+    """Memory that Arrow's pool or malloc keeps without use goes back to the system.
 
     Python workers live on between tasks; what one of them keeps is missing to all later steps.
     """
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]):

@@ -30,7 +30,7 @@ BUCKET_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # the parts are equal for a piece of 2048 tokens
 
 TOGETHER = 512  # words that are encoded as one text
-GATHERED = 4 << 20  # bytes of rows that are encoded at once: the more, the fewer look-ups
+GATHERED = 2 << 20  # bytes of rows that are encoded at once: the more, the fewer look-ups and the more memory
 # a letter that normal forms leave alone, or a digit, and a mark that begins no contraction or special token
 BORDER = r"""([A-Za-z0-9À-ÖØ-öø-ÿ])([!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~])"""
 
@@ -55,12 +55,12 @@ class Ids:
         self.words = WordTable(self.encoded)
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        whole = [" ".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
         out: list[bytes] = []
-        for i, found in zip(range(0, len(texts), TOGETHER), self.tokenizer.encode_batch(whole, add_special_tokens=False)):
+        for i in range(0, len(words), TOGETHER):
+            texts = [w.decode("utf-8", "replace") for w in words[i : i + TOGETHER]]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             starts = np.fromiter((s for s, _ in found.offsets), np.int64, len(found))
-            ends = np.cumsum([len(t) + 1 for t in texts[i : i + TOGETHER]])
+            ends = np.cumsum([len(t) + 1 for t in texts])
             ids = np.array(found.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted(starts, ends)).tolist()
             out += [ids[s:e] for s, e in zip([0, *cuts], cuts)]
@@ -162,6 +162,7 @@ def packed(
         return with_columns(batch.select(["doc_id", "place", "bucket"]), {"ids": new})
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        ids_from.cache_clear()  # all ids are made
         give_back()  # what the bucket before needed
         bucket = key[0].as_py()
         ids = rows.column("ids").to_pylist()

@@ -280,6 +280,20 @@ def test_workers_keep_no_unused_memory():
     assert kept == len(texts) and before - memory() < 16
 
 
+def test_encoding_takes_little_memory():
+    """Two workers have room beside an executor's JVM: neither rows nor new words are encoded in large lots."""
+    ids, rng = packing.Ids(public_tokenizers.path("word_bpe_49k.json")), random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlu", k=7)) for _ in range(100_000)]
+    texts = [" ".join(rng.choices(words, k=1 << 14)) for _ in range(96)]
+    size = lambda name: int(re.search(rf"{name}:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    packing.give_back()
+    Path("/proc/self/clear_refs").write_text("5")  # the highest size counts from here
+    before = size("VmRSS")
+    for batch in packing.gathered(pa.record_batch({"text": [t]}) for t in texts):
+        ids.texts(texts_of(batch.column("text")))
+    assert size("VmHWM") - before < 118
+
+
 def brute_spans(texts, span):
     seen = Counter(b[i : i + span] for b in texts for i in range(len(b) - span + 1))
     out = []
