@@ -44,6 +44,7 @@ PAGES_PATTERN = r"^.*(S(?:\.|eiten?)\s+\d+(?:\s*-\s*\d+)?).*$"
 SEE_NUMBERING = "s. Zählung in numbering"
 SEE_PARTS = "s. spez. Felder (volume, issue, etc.)"
 NOT_GIVEN = "N/A"
+TYPED = "array<struct<value:string,type:string>>"
 
 
 @dataclass(frozen=True)
@@ -56,41 +57,61 @@ class CollectionNames:
 
 
 def by_name(records: DataFrame) -> DataFrame:
-    """Add ``by_name``: the fields of a record by the first three characters of their name."""
-    return records.withColumn(
-        "by_name",
-        F.expr(
-            "map_from_entries(transform(array_distinct(transform(segments, s -> substring(s, 1, 3))), p -> struct(p, "
-            "transform(filter(segments, s -> startswith(s, p)), "
-            "s -> struct(substring(s, 4, 1) AS last, substring(s, 5) AS value)))))"
-        ),
-    )
+    """Add the names of the fields of a record (``names``) and their first three characters (``stems``).
 
+    A rule looks up a name in these lists, and goes through the fields only when it is there. The lists
+    come out of a generator, so that later filters stay above it; pushed below, they would decode again.
+    """
+    first = lambda n: F.expr(f"transform(segments, s -> substring(s, 1, {n}))")
+    return records.select("*", F.inline_outer(F.array(F.struct(first(4).alias("names"), first(3).alias("stems")))))
 
-def tag_values(pattern: str) -> Column:
-    """Values of the fields whose name matches (``#40?``, ``#2[37]?``, ``#90e``), in document order."""
-    head, rest = pattern[0], pattern[1:]
-    places = []
+
+def _places(pattern: str) -> list[str]:
+    rest, places = pattern[1:], []
     while rest:
         end = rest.index("]") + 1 if rest[0] == "[" else 1
         places.append(rest[:end])
         rest = rest[end:]
-    first, second, last = places
-    parts = []
+    return [pattern[0], *places]
+
+
+def _chosen(pattern: str) -> list[tuple[str, str]]:
+    """SQL of each stem of the pattern: whether its fields can be there, and their values."""
+    head, first, second, last = _places(pattern)
+    out = []
     for a in first.strip("[]"):
         for b in second.strip("[]"):
-            listed = f"coalesce(try_element_at(by_name, '{head}{a}{b}'), cast(array() as array<struct<last:string,value:string>>))"
-            if last != "?":
-                letters = ", ".join(f"'{x}'" for x in last.strip("[]"))
-                listed = f"filter({listed}, f -> f.last IN ({letters}))"
-            parts.append(f"transform({listed}, f -> f.value)")
+            stem = f"{head}{a}{b}"
+            letters = last.strip("[]")
+            there, test = f"array_contains(stems, '{stem}')", f"startswith(s, '{stem}')"
+            if last != "?" and len(letters) == 1:
+                there, test = f"array_contains(names, '{stem}{letters}')", f"startswith(s, '{stem}{letters}')"
+            elif last != "?":
+                test = "substring(s, 1, 4) IN (" + ", ".join(f"'{stem}{x}'" for x in letters) + ")"
+            out.append((there, f"transform(filter(segments, s -> {test}), s -> substring(s, 5))"))
+    return out
+
+
+def tag_values(pattern: str) -> Column:
+    """Values of the fields whose name matches (``#40?``, ``#2[37]?``, ``#90e``), in document order."""
+    parts = [f"IF({there}, {listed}, cast(array() as array<string>))" for there, listed in _chosen(pattern)]
     return F.expr(parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")
 
 
 def tag_value(tag: str) -> Column:
+    """The first value; of a whole name without going through the fields."""
+    if len(tag) == 4 and "?" not in tag:
+        return F.expr(f"substring(get(segments, cast(array_position(names, '{tag}') AS int) - 1), 5)")
     return F.get(tag_values(tag), F.lit(0))
 
 
+def each_value(pattern: str, make, kind: str) -> Column:
+    """List of type ``kind`` made of each value; nothing is gone through where no field has the name."""
+    none = F.array().cast(kind)
+    parts = [F.when(F.expr(there), F.transform(F.expr(listed), make)).otherwise(none) for there, listed in _chosen(pattern)]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
 def series_parts(value: Column) -> Column:
     """``title ; number`` → (value, numbering): first and last part."""
     parts = F.split(value, " ; ")
@@ -102,18 +123,17 @@ def series_parts(value: Column) -> Column:
 
 
 def by_role(roles: dict[str, str], ns: Namespaces) -> Column:
-    return F.concat(*[_typed(tag_values(pattern), role, ns) for pattern, role in roles.items()])
-
+    def typed(pattern: str, role: str) -> Column:
+        return each_value(pattern, lambda v: F.struct(agent_uri(v, ns).alias("value"), F.lit(role).alias("type")), TYPED)
 
-def _typed(values: Column, role: str, ns: Namespaces) -> Column:
-    return F.transform(values, lambda v: F.struct(agent_uri(v, ns).alias("value"), F.lit(role).alias("type")))
+    return F.concat(*[typed(pattern, role) for pattern, role in roles.items()])
 
 
 def typed_values(kinds: dict[str, str]) -> Column:
     """All values of the given fields, each with the kind that its field stands for."""
 
     def typed(tag: str, kind: str) -> Column:
-        return F.transform(tag_values(tag), lambda v: F.struct(v.alias("value"), F.lit(kind).alias("type")))
+        return each_value(tag, lambda v: F.struct(v.alias("value"), F.lit(kind).alias("type")), TYPED)
 
     return F.concat(*[typed(tag, kind) for tag, kind in kinds.items()])
 
@@ -139,7 +159,7 @@ def legacy_titles(
     """
     text = tag_value
     base = by_name(records).select(
-        "by_name",
+        "segments", "names", "stems",
         F.col("rec_id").alias("local_id"),
         text("#01 ").alias("numbering"),
         F.when(text("#36 ") == "um", "u").otherwise(text("#36 ")).alias("kind"),
