@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from stackfolio.operators.shape import vacuum
+from stackfolio.plans import marc_records
 from stackfolio.plans.labels import Vocabularies
 from stackfolio.plans.legacy_titles import legacy_titles
 from stackfolio.plans.titles import as_entries, linked_titles
 from stackfolio.sources import split_volumes
+from stackfolio.sources.marcxml import CONTROL, DATA
 from stackfolio.sources.tagged import checked_lines
 
 LINES = [
@@ -58,3 +60,16 @@ def test_vacuum_says_each_value_once(spark):
     assert optimized(rows).count(".leaf") <= 4
     got = [r["top"] for r in rows.collect()]
     assert got[1] is None and got[0]["mid"][0]["low"][0]["leaf"] == "x" and got[0]["mid"][0]["low"][0]["none"] is None
+
+
+def marc_record(spark):
+    field = lambda tag, ind1, ind2, **subs: (tag, ind1, ind2, list(subs.items()))
+    data = [field("245", "1", "0", a="Title"), field("300", " ", " ", a="1 CD"), field("655", " ", "7", a="Statistik"), field("24|", " ", " ", a="x")]
+    return spark.createDataFrame([("r1", "00000nam a2200000 c 4500", [("001", "r1"), ("007", "tu")], data)], f"rec_id string, leader string, control {CONTROL}, data {DATA}")
+
+
+def test_fields_are_not_grouped_by_tag_to_be_found(spark):
+    rows = marc_records.described(marc_record(spark))
+    assert "map_from_entries" not in optimized(rows)
+    (row,) = rows.collect()
+    assert row["title"] == "Title" and row["form_terms"] == ["Statistik"] and "Statistics" in row["type"]
